@@ -16,6 +16,14 @@ def _sha256_of_ids(ids) -> Column:
     return F.sha2(F.array_join(ids, ","), 256)
 
 
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import held_out, learn, predict
+
+    docs = _table(spark, sf_dir, "documents")
+    found = predict(docs, learn(docs.where(~held_out())))
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -31,10 +39,26 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), _sha256_of_ids("items").alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
+
+
+def op10_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .resample import select
+
+    good = _table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0")
+    return select(_table(spark, sf_dir, "documents"), good)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_langid": op3_langid,
         "op5_bpe": op5_bpe,
         "op8_decontaminate": op8_decontaminate,
+        "op9_minhash": op9_minhash,
+        "op10_resample": op10_resample,
     }
 
 
