@@ -25,4 +25,52 @@ select d.doc_id, len(w)::bigint n_words, coalesce(n_hit, 0)::bigint n_hit, coale
 from d left join hits using (doc_id) left join items using (doc_id)
 """
 
-ORACLES = {"op8_decontaminate": OP8}
+_SPACED = "[^\\x20\\x09-\\x0D]+"
+
+OP7 = f"""
+with recursive d as (select doc_id, regexp_extract_all(coalesce(text, ''), '{_SPACED}') w from documents),
+g as (select doc_id, i, list_slice(w, i, i + 12) x from (select doc_id, w, unnest(range(1, len(w) - 11)) i from d where len(w) >= 13)),
+f as (select x, min(doc_id) first from g group by x having min(doc_id) < max(doc_id)),
+gone as (select distinct doc_id, p from (select doc_id, unnest(range(i, i + 13)) p from g join f using (x) where doc_id > first)),
+r as (select doc_id, list(p) ps from gone group by doc_id)
+select doc_id, len(w)::bigint n_words, coalesce(len(ps), 0)::bigint n_removed,
+  sha256(array_to_string(list_filter(w, (t, i) -> ps is null or not list_contains(ps, i)), ' ')) kept_sha256
+from d left join r using (doc_id)
+"""
+
+#: Components of ``pair`` (a, b) over the ids of ``node`` (id).
+_COMPONENTS = """
+edge as (select a, b from pair union select b, a from pair),
+reach(id, r) as (select id, id from node union select reach.id, edge.b from reach join edge on edge.a = reach.r),
+component as (select id, min(r) component_id from reach group by id)
+"""
+
+OP9 = f"""
+with recursive d as (select doc_id, regexp_extract_all({lower_ascii("coalesce(text, '')")}, '{_SPACED}') w from documents),
+s as (
+  select distinct doc_id, list_slice(w, i, i + least(5, len(w)) - 1) x
+  from (select doc_id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) i from d where len(w) > 0)),
+n as (select doc_id, count(*) n from s group by doc_id),
+common as (select a.doc_id a, b.doc_id b, count(*) k from s a join s b on a.x = b.x and a.doc_id < b.doc_id group by 1, 2),
+pair as (select a, b from common join n na on na.doc_id = a join n nb on nb.doc_id = b where 100 * k >= 85 * (na.n + nb.n - k)),
+node as (select doc_id id from d), {_COMPONENTS}
+select doc_id, coalesce(n, 0)::bigint n_shingles, component_id, doc_id = component_id kept
+from d left join n using (doc_id) join component on id = doc_id
+"""
+
+OP2 = f"""
+with recursive v as (
+  select vec_id, label, embedding::double[] e from embeddings
+  where label is not null and embedding is not null and len(embedding) > 0
+    and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0 and len(list_filter(embedding, x -> x <> 0)) > 0),
+u as (select *, sqrt(list_sum(list_transform(e, x -> x * x))) norm from v),
+pair as (
+  select a.vec_id a, b.vec_id b from u a join u b on a.label = b.label and a.vec_id < b.vec_id and len(a.e) = len(b.e)
+  where list_inner_product(a.e, b.e) / (a.norm * b.norm) >= 0.93),
+node as (select vec_id id from embeddings), {_COMPONENTS},
+links as (select id, count(*) n from (select a id from pair union all select b from pair) group by id)
+select vec_id, coalesce(n, 0)::bigint n_links, component_id, vec_id = component_id kept
+from embeddings join component c on c.id = vec_id left join links l on l.id = vec_id
+"""
+
+ORACLES = {"op2_rabitq": OP2, "op7_substring": OP7, "op9_minhash": OP9, "op8_decontaminate": OP8}
