@@ -32,6 +32,12 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, digest=True)
 
 
+def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring import dedupe
+
+    return dedupe(_table(spark, sf_dir, "documents"), digest=True)
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import contamination
 
@@ -56,6 +62,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_langid": op3_langid,
         "op5_bpe": op5_bpe,
+        "op7_substring": op7_substring,
         "op8_decontaminate": op8_decontaminate,
         "op9_minhash": op9_minhash,
         "op10_resample": op10_resample,

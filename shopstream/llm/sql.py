@@ -34,7 +34,7 @@ f as (select x, min(doc_id) first from g group by x having min(doc_id) < max(doc
 gone as (select distinct doc_id, p from (select doc_id, unnest(range(i, i + 13)) p from g join f using (x) where doc_id > first)),
 r as (select doc_id, list(p) ps from gone group by doc_id)
 select doc_id, len(w)::bigint n_words, coalesce(len(ps), 0)::bigint n_removed,
-  sha256(array_to_string(list_filter(w, (t, i) -> ps is null or not list_contains(ps, i)), ' ')) kept_sha256
+  sha256(array_to_string(list_filter(w, lambda t, i: ps is null or not list_contains(ps, i)), ' ')) kept_sha256
 from d left join r using (doc_id)
 """
 
@@ -62,8 +62,8 @@ OP2 = f"""
 with recursive v as (
   select vec_id, label, embedding::double[] e from embeddings
   where label is not null and embedding is not null and len(embedding) > 0
-    and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0 and len(list_filter(embedding, x -> x <> 0)) > 0),
-u as (select *, sqrt(list_sum(list_transform(e, x -> x * x))) norm from v),
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+u as (select *, sqrt(list_sum(list_transform(e, lambda x: x * x))) norm from v),
 pair as (
   select a.vec_id a, b.vec_id b from u a join u b on a.label = b.label and a.vec_id < b.vec_id and len(a.e) = len(b.e)
   where list_inner_product(a.e, b.e) / (a.norm * b.norm) >= 0.93),
