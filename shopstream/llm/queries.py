@@ -16,6 +16,12 @@ def _sha256_of_ids(ids) -> Column:
     return F.sha2(F.array_join(ids, ","), 256)
 
 
+def op2_rabitq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vectors import near_vectors
+
+    return near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import held_out, learn, predict
 
@@ -60,6 +66,7 @@ def op10_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_rabitq": op2_rabitq,
         "op3_langid": op3_langid,
         "op5_bpe": op5_bpe,
         "op7_substring": op7_substring,
