@@ -30,6 +30,13 @@ def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lines import dedupe_lines
+
+    found = dedupe_lines(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_exact", "n_near", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -68,6 +75,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_rabitq": op2_rabitq,
         "op3_langid": op3_langid,
+        "op4_lines": op4_lines,
         "op5_bpe": op5_bpe,
         "op7_substring": op7_substring,
         "op8_decontaminate": op8_decontaminate,

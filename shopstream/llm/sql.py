@@ -38,6 +38,32 @@ select doc_id, len(w)::bigint n_words, coalesce(len(ps), 0)::bigint n_removed,
 from d left join r using (doc_id)
 """
 
+_WORDS = "regexp_extract_all({}, '[^\\x20\\x09-\\x0D]+')"
+
+OP4 = f"""
+with l as (
+  select doc_id, line - 1 line, {_WORDS.format("body")} w
+  from (select doc_id, unnest(string_split(text, chr(10))) body, unnest(range(1, len(string_split(text, chr(10))) + 1)) line from documents where text is not null)),
+f as (select w, min((doc_id, line)) f from l where len(w) >= 5 group by w),
+e as (select doc_id, line from l join f using (w) where (doc_id, line) <> f),
+c as (select w, f, len(w) n, list_slice(w, 1, 5) p, list_slice(w, len(w) - 4, len(w)) s from f where len(w) >= 10),
+k as (
+  select * from c where p in (select p from c group by p having count(*) > 1) or s in (select s from c group by s having count(*) > 1)),
+v as (
+  select f, md5(array_to_string(list_slice(w, 1, i), ' ') || chr(10) || array_to_string(list_slice(w, i + 2, n), ' ')) x
+  from (select *, unnest(range(0, n)) i from k)
+  union select f, md5(array_to_string(list_slice(w, 1, i), ' ') || chr(10) || array_to_string(list_slice(w, i + 1, n), ' '))
+  from (select *, unnest(range(0, n + 1)) i from k)),
+g as (select x, min(f) g from v group by x having min(f) < max(f)),
+r as (select distinct f[1] doc_id, f[2] line from v join g using (x) where f > g),
+gone as (select doc_id, line, true exact from e union all select doc_id, line, false from r),
+t as (
+  select doc_id, count(*) filter (exact) n_exact, count(*) filter (not exact) n_near, list(line) lines from gone group by doc_id)
+select d.doc_id, coalesce(len(string_split(text, chr(10))), 0)::bigint n_lines, coalesce(n_exact, 0)::bigint n_exact, coalesce(n_near, 0)::bigint n_near,
+  sha256(array_to_string(list_filter(string_split(text, chr(10)), lambda x, i: t.lines is null or not list_contains(t.lines, i - 1)), chr(10))) kept_sha256
+from documents d left join t using (doc_id)
+"""
+
 #: Components of ``pair`` (a, b) over the ids of ``node`` (id).
 _COMPONENTS = """
 edge as (select a, b from pair union select b, a from pair),
@@ -73,4 +99,4 @@ select vec_id, coalesce(n, 0)::bigint n_links, component_id, vec_id = component_
 from embeddings join component c on c.id = vec_id left join links l on l.id = vec_id
 """
 
-ORACLES = {"op2_rabitq": OP2, "op7_substring": OP7, "op9_minhash": OP9, "op8_decontaminate": OP8}
+ORACLES = {"op4_lines": OP4, "op2_rabitq": OP2, "op7_substring": OP7, "op9_minhash": OP9, "op8_decontaminate": OP8}
