@@ -45,6 +45,13 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, digest=True)
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan
+
+    found = scan(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base_labels", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score")
+
+
 def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring import dedupe
 
@@ -77,6 +84,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_langid": op3_langid,
         "op4_lines": op4_lines,
         "op5_bpe": op5_bpe,
+        "op6_licenses": op6_licenses,
         "op7_substring": op7_substring,
         "op8_decontaminate": op8_decontaminate,
         "op9_minhash": op9_minhash,
