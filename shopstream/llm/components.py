@@ -8,13 +8,17 @@ from pyspark.sql import functions as F
 from .scratch import Scratch
 
 
-def _star(edges: DataFrame, mins: DataFrame, tables: Scratch, name: str) -> DataFrame:
-    """Hangs the far end ``v`` of each edge (u, v) on the least neighbour of ``u``.
+#: Rows of a file that a round writes; a small rest of edges takes one small job a step.
+FILE_ROWS = 500_000
 
-    The minima are written first: both sides of the join are then plain shuffles of tables, and
-    Spark splits the partition of a node that has a large part of all edges.
+
+def _star(edges: DataFrame, mins: DataFrame) -> DataFrame:
+    """Hangs the far end ``v`` of each edge (u, v) on the least neighbour of ``u``, if it has a smaller one.
+
+    The minima are a written table: both sides of the join are then plain shuffles, and Spark splits
+    the partition of a node that has a large part of all edges.
     """
-    mins = tables.put(mins, name).withColumnRenamed("u", "w")
+    mins = mins.withColumnRenamed("u", "w")
     return edges.join(mins, F.col("u") == F.col("w"), "left").select("v", F.coalesce("m", "u").alias("m"))
 
 
@@ -33,19 +37,19 @@ def connected_components(edges: DataFrame, tables: Scratch, name: str = "cc") ->
     own = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     own, k = tables.put(own, f"{name}-0"), 0
     before, now = None, _state(own)
-    while now != before:
+    while now != before and now[0]:
         k += 1
+        files = 1 + 2 * now[0] // FILE_ROWS
+        put = lambda df, part: tables.put(df.coalesce(files), f"{name}-{k}{part}")  # noqa: B023, E731
         # large-star: the larger neighbours of each node get its least neighbour, or itself
-        both = own.unionAll(own.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        mins = both.groupBy("u").agg(F.min("v").alias("m")).where("m < u")
-        out = _star(own.select(F.col("v").alias("u"), F.col("u").alias("v")), mins, tables, f"{name}-{k}-large-min")
-        large = tables.put(out.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), f"{name}-{k}-large")
+        away = own.select(F.col("v").alias("u"), F.col("u").alias("v"))
+        mins = put(own.unionAll(away).groupBy("u").agg(F.min("v").alias("m")).where("m < u"), "-large-min")
+        large = put(_star(away, mins).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "-large")
         # small-star: a node and its smaller neighbours get the least of these
-        mins = large.groupBy("u").agg(F.min("v").alias("m"))
-        out = _star(large, mins, tables, f"{name}-{k}-small-min").where("v != m")
-        out = out.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(mins.select("u", F.col("m").alias("v")))
-        small = tables.put(out.distinct(), f"{name}-{k}")
-        for old in (f"{name}-{k - 1}", f"{name}-{k}-large", f"{name}-{k}-large-min", f"{name}-{k}-small-min"):
+        mins = put(large.groupBy("u").agg(F.min("v").alias("m")), "-small-min")
+        out = _star(large, mins).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        own = put(out.unionAll(mins.select("u", F.col("m").alias("v"))).distinct(), "")
+        for old in (f"{name}-{k - 1}", *(f"{name}-{k}{part}" for part in ("-large-min", "-large", "-small-min"))):
             tables.drop(old)
-        own, before, now = small, now, _state(small)
+        before, now = now, _state(own)
     return own.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(own.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

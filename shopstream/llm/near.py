@@ -7,7 +7,8 @@
 3. The texts of a component come together in blocks of bounded size. In a block (and in each pair
    of blocks, if a component has several) pairs are judged by their minima and confirmed on the
    full sets; pairs that are linked already by others need no look.
-4. The components of all confirmed links are the result.
+4. In a block, linked documents get the least of their ids as a class. Only classes of components
+   of several blocks can be linked further, and their components are the result.
 """
 
 from __future__ import annotations
@@ -107,7 +108,7 @@ class _Union:
 
 
 def _link(ids: list, texts: list[str], classes: list, sides: list[int], width: int, percent: int) -> Iterator[tuple]:
-    """Links (later, earlier) that connect all documents of a block which links connect at all.
+    """Ties (class, least linked class) of a block; at first each document is its own class.
 
     With two sides only pairs across are looked at; documents of one class are connected already.
     """
@@ -137,7 +138,7 @@ def _link(ids: list, texts: list[str], classes: list, sides: list[int], width: i
             both = len(np.intersect1d(sets[j], sets[k], assume_unique=True))
             if 100 * both >= percent * (len(sets[j]) + len(sets[k]) - both):
                 linked.join(j, k)
-                yield ids[order[k]], ids[order[j]]
+    yield from {(classes[i], classes[order[linked.root(k)]]) for k, i in enumerate(order) if classes[i] != classes[order[linked.root(k)]]}
 
 
 def _links(members: DataFrame, width: int, percent: int) -> DataFrame:
@@ -205,18 +206,21 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_
     groups = tables.put(groups, "blocks")
     texts = docs.where("doc_id is not null").join(groups, "doc_id")
     rows = texts.select("component", "block", "doc_id", F.col("doc_id").alias("class"), F.lit(0).alias("side"), "text")
-    links = tables.put(_links(rows, shingle, percent), "links")
+    classes = tables.put(_links(rows, shingle, percent).toDF("doc_id", "class"), "in-blocks")
+    whole = copies.join(classes.withColumnRenamed("doc_id", "first"), "first", "left").select("doc_id", F.coalesce("class", "first").alias("class"))
+    whole = classes.unionAll(whole)
     if not large.isEmpty():  # components of several blocks: each two blocks meet
-        inner = connected_components(links, tables, "inner")
-        inner = inner.select(F.col("node").alias("doc_id"), F.col("component").alias("class"))
-        of = groups.where("blocks > 1").join(inner, "doc_id", "left").withColumn("class", F.coalesce("class", "doc_id"))
+        of = groups.where("blocks > 1").join(classes, "doc_id", "left").withColumn("class", F.coalesce("class", "doc_id"))
         of = of.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("other != block")
         of = of.select("component", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "doc_id", "class", "block")
         rows = docs.where("doc_id is not null").join(of, "doc_id").select("component", "one", "two", "doc_id", "class", F.col("block").alias("side"), "text")
-        links = links.unionAll(tables.put(_links(rows, shingle, percent), "cross"))
-    found = connected_components(links.unionAll(copies.toDF(*links.columns)), tables, "found")
-    component = F.coalesce("component", "doc_id")
-    return profile.select("doc_id", "n_shingles").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+        further = connected_components(tables.put(_links(rows, shingle, percent), "across"), tables, "found")
+        further = tables.put(further.select(F.col("node").alias("class"), "component"), "further")
+        whole = whole.join(further, "class", "left").select("doc_id", F.coalesce("component", "class").alias("class"))
+        whole = whole.unionAll(further.where("class != component").select("class", "component"))
+    whole = tables.put(whole, "whole")
+    component = F.coalesce("class", "doc_id")
+    return profile.select("doc_id", "n_shingles").join(whole, "doc_id", "left").select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def first_of_each(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
