@@ -191,7 +191,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_
     classes = some.groupBy(same).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
     classes = tables.put(classes, "classes")
     copies = some.select("doc_id", *same).join(classes, same).where("doc_id != first").select("doc_id", "first")
-    copies = tables.put(copies.distinct(), "copies")
+    copies = tables.put(copies.groupBy("doc_id").agg(F.min("first").alias("first")), "copies")
     bands = some.join(copies.select("doc_id"), "doc_id", "left_anti").select("doc_id", F.explode("keys").alias("key"))
     shared = bands.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
     shared = tables.put(shared, "shared")
