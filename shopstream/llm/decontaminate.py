@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import Scratch
 from .words import ALNUM, Chunk, chunks
 
 #: A benchmark of more bytes is dealt with in several passes over the documents, so this bounds
@@ -187,4 +188,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, *, id
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, *, id_col: str = "doc_id", **options) -> DataFrame:
     """The documents without any hit, with all their columns. Null ids are kept."""
     bad = contamination(docs, benchmark, window, id_col=id_col, **options).where("n_hit > 0")
-    return docs.join(bad.select(F.col("doc_id").alias(id_col)).distinct(), id_col, "left_anti").select(docs.columns)
+    bad = bad.select(F.col("doc_id").alias(id_col)).distinct()
+    bad = Scratch(docs.sparkSession, "decontaminate").put(bad, "bad")  # of known size: the join shuffles texts only if it must
+    return docs.join(bad, id_col, "left_anti").select(docs.columns)

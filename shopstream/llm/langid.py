@@ -132,6 +132,16 @@ def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     return {lang: v / (np.linalg.norm(v) or 1) for lang, v in sorted(out.items())}
 
 
+def _named(texts: list[str | None], langs: list[str], table: np.ndarray) -> Iterator[tuple[int, list[str], np.ndarray]]:
+    """For consecutive texts: place of the first one, languages, scores."""
+    for at, vecs, some in vectors(texts):
+        some &= bool(langs)
+        cosines = vecs @ table.T if langs else np.zeros((len(vecs), 1))
+        best = cosines.argmax(axis=1)
+        score = np.where(some, np.clip(cosines[np.arange(len(best)), best], 0, 1), 0).astype(float)
+        yield at, [langs[k] if s else "und" for k, s in zip(best.tolist(), some.tolist())], score
+
+
 def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred and score for every row, from its whole text alone.
 
@@ -146,12 +156,20 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], *, id_col: str =
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, table = sent.value
         for b in batches:
-            for at, vecs, some in vectors(b.column(1).to_pylist()):
-                some &= bool(langs)
-                cosines = vecs @ table.T if langs else np.zeros((len(vecs), 1))
-                best = cosines.argmax(axis=1)
-                score = np.where(some, np.clip(cosines[np.arange(len(best)), best], 0, 1), 0).astype(float)
-                names = [langs[k] if s else "und" for k, s in zip(best.tolist(), some.tolist())]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(vecs)), pa.array(names, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
+            for at, names, score in _named(b.column(1).to_pylist(), langs, table):
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(names)), pa.array(names, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
 
     return docs.mapInArrow(judge, f"doc_id {kind}, lang_pred string, score double")
+
+
+def keep_recognised(docs: DataFrame, prototypes: dict[str, np.ndarray], *, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose language ``predict`` would name, that is not ``und``."""
+    sent = docs.sparkSession.sparkContext.broadcast((list(prototypes), np.array([*prototypes.values()], np.float32).reshape(-1, DIMENSIONS)))
+    place = docs.columns.index(text_col)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at, names, _ in _named(b.column(place).to_pylist(), *sent.value):
+                yield b.slice(at, len(names)).filter(pa.array([n != "und" for n in names]))
+
+    return docs.mapInArrow(keep, docs.schema)

@@ -115,3 +115,18 @@ def dedupe_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     near = F.array_except("near", "exact")
     kept = F.array_join(F.filter("lines", lambda _, i: ~F.array_contains("places", i)), "\n")
     return rows.withColumn("places", places).select("doc_id", F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_lines"), size("exact").alias("n_exact"), size(near).alias("n_near"), kept.alias("kept"))
+
+
+def without_repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents, with all their columns, without the lines that ``dedupe_lines`` removes.
+
+    A document goes if lines were removed and no word is left; all others stay.
+    """
+    tables = Scratch(docs.sparkSession, "lines")
+    plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    gone = removed_lines(plain.where("doc_id is not null and text is not null"), tables)
+    gone = gone.select(F.col("doc_id").alias("_removed_in"), F.array_union("exact", "near").alias("_places"))
+    rows = docs.join(gone, F.col(id_col) == F.col("_removed_in"), "left")
+    kept = F.array_join(F.filter(F.split(text_col, "\n"), lambda _, i: ~F.array_contains("_places", i)), "\n")
+    rows = rows.withColumn(text_col, F.when(F.col("_places").isNull(), F.col(text_col)).otherwise(kept))
+    return rows.where(F.col("_places").isNull() | F.col(text_col).rlike("[^\\x20\\x09-\\x0D]")).select(docs.columns)

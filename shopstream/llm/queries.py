@@ -16,6 +16,13 @@ def _sha256_of_ids(ids) -> Column:
     return F.sha2(F.array_join(ids, ","), 256)
 
 
+def op1_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .urls import filter_urls
+
+    rules = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+    return filter_urls(_table(spark, sf_dir, "pages"), rules)
+
+
 def op2_rabitq(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .vectors import near_vectors
 
@@ -80,6 +87,7 @@ def op10_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_urls": op1_urls,
         "op2_rabitq": op2_rabitq,
         "op3_langid": op3_langid,
         "op4_lines": op4_lines,
