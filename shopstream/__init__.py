@@ -1,0 +1 @@
+"""Analytics over e-commerce and user-behaviour data as Spark jobs."""
