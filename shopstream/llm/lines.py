@@ -6,8 +6,8 @@ words. Two lines share a variant (the same words before and behind the gap) exac
 was replaced, left out or put in. All lines of a variant are within the bound of each other, so the
 earliest one stands for them and no pairs are made; the edit distance to it is verified on the words.
 
-An edit of one word leaves the first or the last ``EDGE`` words of a line as they are. So only lines
-that share one of these ends with another line emit variants.
+An edit of one word leaves the first or the second half of a line as it is. So only lines that share
+such an end with another line emit variants.
 """
 
 from __future__ import annotations
@@ -19,15 +19,32 @@ from .scratch import Scratch
 
 #: Lines of fewer words stay, and shorter lines than the second are only compared as they are.
 MIN_WORDS, MIN_NEAR_WORDS = 5, 10
-EDGE = MIN_NEAR_WORDS // 2
 
 
 def _words(line: Column) -> Column:
-    return F.filter(F.split(line, "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    return F.array_remove(F.split(line, "[\\x20\\x09-\\x0D]+"), "")
 
 
-def _at(doc_id: str | Column, line: str | Column) -> Column:
-    return F.struct(F.col(doc_id).alias("doc_id"), F.col(line).alias("line"))
+def _at(doc_id: str = "doc_id", line: str = "line") -> Column:
+    """A line's place as one number: by document, then by line."""
+    return F.col(doc_id).cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(11,0)") + F.col(line).cast("decimal(11,0)")
+
+
+def _ends(words: str) -> Column:
+    """Hashes of both ends of a line that may have near lines, else null.
+
+    An end has 5, 10, 20, ... words, half of the line's words at most and more than a quarter. A line
+    of just 10, 20, ... words has the shorter ends, too, as a near line can have one word less.
+    """
+    n = F.size(words)
+    step = F.floor(F.log2(n / F.lit(MIN_NEAR_WORDS)) + 1e-9).cast("int")
+    size = F.lit(MIN_NEAR_WORDS // 2) * F.pow(F.lit(2), step).cast("int")
+
+    def both(k: Column) -> Column:
+        return F.array(F.xxhash64(F.lit(1), k, F.slice(words, F.lit(1), k)), F.xxhash64(F.lit(2), k, F.slice(words, n - k + 1, k)))
+
+    shorter = (n == 2 * size) & (n > MIN_NEAR_WORDS)
+    return F.when(n >= MIN_NEAR_WORDS, F.when(shorter, F.concat(both(size), both((size / 2).cast("int")))).otherwise(both(size)))
 
 
 def _chain(words: Column) -> Column:
@@ -42,7 +59,7 @@ def _variants(words: str) -> Column:
     # before[i]: the first i words; behind[i]: the words from i on
     cut = F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.element_at("before", i), F.element_at("behind", i + 1)))
     gap = F.transform(F.sequence(F.lit(1), n + 1), lambda i: F.xxhash64(F.element_at("before", i), F.element_at("behind", i)))
-    return F.array_distinct(F.concat(cut, gap))
+    return F.concat(cut, gap)
 
 
 def _one_edit(a: Column, b: Column) -> Column:
@@ -61,33 +78,34 @@ def _one_edit(a: Column, b: Column) -> Column:
 def removed_lines(docs: DataFrame, tables: Scratch) -> DataFrame:
     """(doc_id, exact, near): the places, from 0, of lines that have an earlier equal or near line."""
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "body")).select("doc_id", "line", _words(F.col("body")).alias("words"))
-    n = F.size("words")
-    ends = F.when(n >= MIN_NEAR_WORDS, F.array(F.xxhash64(F.lit(1), F.slice("words", 1, EDGE)), F.xxhash64(F.lit(2), F.slice("words", F.greatest(n - EDGE + 1, F.lit(1)), EDGE))))
-    lines = lines.where(n >= MIN_WORDS).select("doc_id", "line", F.xxhash64("words").alias("h"), F.xxhash64(F.lit(3), "words").alias("g"), ends.alias("ends"))
-    first = lines.groupBy("h", "g").agg(F.min(_at("doc_id", "line")).alias("at"), F.min("ends").alias("ends"), F.count(F.lit(1)).alias("n"))
+    lines = lines.where(F.size("words") >= MIN_WORDS).select("doc_id", "line", F.xxhash64("words").alias("h"), F.xxhash64(F.lit(3), "words").alias("g"), _ends("words").alias("ends"))
+    lines = tables.put(lines, "lines").withColumn("at", _at())
+    first = lines.groupBy("h", "g").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
     first = tables.put(first, "first")
 
-    repeated = tables.put(first.where("n > 1").select("h", "g", "at"), "repeated")
-    exact = lines.select("doc_id", "line", "h", "g").join(repeated, ["h", "g"]).where(_at("doc_id", "line") != F.col("at")).select("doc_id", "line", F.lit(True).alias("exact"))
+    # sides that grow with the corpus are shuffled at any size
+    repeated = tables.put(first.where("n > 1").select("h", "g", "first"), "repeated")
+    exact = lines.join(repeated.hint("merge"), ["h", "g"]).where("at != first").select("doc_id", "line", F.lit(True).alias("exact"))
     exact = tables.put(exact, "exact")
 
-    ends = first.where("ends is not null").select("at", F.explode("ends").alias("end"))
+    ends = lines.where("ends is not null").join(first.select("h", "g", "first").hint("merge"), ["h", "g"]).where("at = first").select("doc_id", "line", F.explode("ends").alias("end"))
+    ends = tables.put(ends, "ends")
     shared = tables.put(ends.groupBy("end").count().where("count > 1").select("end"), "shared")
-    near = ends.join(shared, "end", "left_semi").select("at.doc_id", "at.line").distinct()
-    near = tables.put(near.groupBy("doc_id").agg(F.collect_list("line").alias("at")), "near-places")
-    bodies = docs.join(near, "doc_id").select("doc_id", F.explode("at").alias("line"), F.split("text", "\n").alias("lines"))
-    bodies = bodies.select("doc_id", "line", _words(F.element_at("lines", F.col("line") + 1)).alias("words"))
+    near = ends.join(shared.hint("merge"), "end", "left_semi").groupBy("doc_id").agg(F.collect_set("line").alias("places"))
+    near = tables.put(near, "near-places")
+    bodies = docs.join(near.hint("merge"), "doc_id").select("doc_id", F.explode("places").alias("line"), F.split("text", "\n").alias("lines"))
+    bodies = bodies.select("doc_id", "line", _words(F.get("lines", F.col("line"))).alias("words"))
     # a repeated id may have other lines at these places
-    bodies = tables.put(bodies.where(F.size("words") >= MIN_NEAR_WORDS), "bodies")
-    keys = bodies.select("doc_id", "line", "words", _chain(F.col("words")).alias("before"), F.reverse(_chain(F.reverse("words"))).alias("behind"))
-    keys = keys.select(_at("doc_id", "line").alias("at"), F.explode(_variants("words")).alias("key"))
+    bodies = tables.put(bodies.where(F.size("words") >= MIN_NEAR_WORDS), "bodies").withColumn("at", _at())
+    keys = bodies.select("at", "words", _chain(F.col("words")).alias("before"), F.reverse(_chain(F.reverse("words"))).alias("behind"))
+    keys = keys.select("at", F.explode(_variants("words")).alias("key"))
     groups = keys.groupBy("key").agg(F.min("at").alias("earliest"), F.max("at").alias("latest")).where("earliest < latest").drop("latest")
     groups = tables.put(groups, "variants")
-    pairs = keys.join(groups, "key").where(F.col("at") > F.col("earliest")).select("at", "earliest").distinct()
+    pairs = keys.join(groups.hint("merge"), "key").where("at > earliest").select("at", "earliest").distinct()
     pairs = tables.put(pairs, "pairs")
-    body = bodies.select(_at("doc_id", "line").alias("at"), "words")
-    pairs = pairs.join(body.withColumnRenamed("words", "a"), "at").join(body.select(F.col("at").alias("earliest"), F.col("words").alias("b")), "earliest")
-    near = pairs.where(_one_edit(F.col("a"), F.col("b"))).select("at.doc_id", "at.line", F.lit(False).alias("exact"))
+    pairs = pairs.join(bodies.withColumnRenamed("words", "a").hint("merge"), "at")
+    pairs = pairs.join(bodies.select(F.col("at").alias("earliest"), F.col("words").alias("b")).hint("merge"), "earliest")
+    near = pairs.where(_one_edit(F.col("a"), F.col("b"))).select("doc_id", "line", F.lit(False).alias("exact"))
     both = exact.unionAll(tables.put(near.distinct(), "near"))
     places = lambda flag: F.array_sort(F.collect_set(F.when(flag, F.col("line"))))
     return tables.put(both.groupBy("doc_id").agg(places(F.col("exact")).alias("exact"), places(~F.col("exact")).alias("near")), "removed")
@@ -109,7 +127,7 @@ def dedupe_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     tables = Scratch(docs.sparkSession, "lines")
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     gone = removed_lines(docs.where("doc_id is not null and text is not null"), tables)
-    rows = docs.join(gone, "doc_id", "left").withColumn("lines", F.split("text", "\n"))
+    rows = docs.join(gone.hint("merge"), "doc_id", "left").withColumn("lines", F.split("text", "\n"))
     places = F.coalesce(F.array_union("exact", "near"), F.array().cast("array<int>"))
     size = lambda x: F.coalesce(F.size(F.filter(x, lambda i: i < F.size("lines"))), F.lit(0)).cast("long")
     near = F.array_except("near", "exact")
@@ -126,7 +144,7 @@ def without_repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     gone = removed_lines(plain.where("doc_id is not null and text is not null"), tables)
     gone = gone.select(F.col("doc_id").alias("_removed_in"), F.array_union("exact", "near").alias("_places"))
-    rows = docs.join(gone, F.col(id_col) == F.col("_removed_in"), "left")
+    rows = docs.join(gone.hint("merge"), F.col(id_col) == F.col("_removed_in"), "left")
     kept = F.array_join(F.filter(F.split(text_col, "\n"), lambda _, i: ~F.array_contains("_places", i)), "\n")
     rows = rows.withColumn(text_col, F.when(F.col("_places").isNull(), F.col(text_col)).otherwise(kept))
     return rows.where(F.col("_places").isNull() | F.col(text_col).rlike("[^\\x20\\x09-\\x0D]")).select(docs.columns)
