@@ -1,7 +1,8 @@
 """License scan with ordered signature rules, in DataFrame functions only.
 
-A rule has a keyword, a regex, a priority and a label. Texts without any keyword are only counted;
-for the others, a rule's regex runs only if its keyword occurs. Where detections overlap, one that lies
+A rule has a keyword, a regex, a priority and a label. Texts without any word of the gate, one of which
+is in all that rules can match, are only counted; in the others, a rule's regex runs only if its own
+keyword occurs, and its places are looked up only if it matches. Where detections overlap, one that lies
 inside another is dropped if the other has a better priority or, at the same priority, is longer.
 """
 
@@ -27,6 +28,16 @@ class Rule:
     priority: int
 
 
+#: Words that don't tell one license from another.
+_COMMON = set("a and agreement free general index license licence library name new of open or public software source the to".split())
+
+
+def keyword(words: str) -> str:
+    """The word that a rule of a phrase looks for first."""
+    own = words.split()
+    return min([w for w in own if w not in _COMMON] or own, key=lambda w: (-len(w), w))
+
+
 def phrase(words: str) -> str:
     """A regex of whole consecutive words."""
     return f"(?i)(?<!{WORD}){GAP.join(words.split())}(?!{WORD})"
@@ -115,19 +126,23 @@ SENTENCES = {
 }
 
 
+#: Each rule's matches hold one of these, or the words cc by.
+GATE = {"licen", "spdx", "creative", *map(keyword, SENTENCES.values())}
+
+
 def rules() -> list[Rule]:
     """All rules in order: tags (1), sentences and names with a version (2), names alone (3), hints (4)."""
-    out = [Rule(label, "cc" if label == "cc-by" else "license", phrase(words), 3) for words, label in BASE.items()]
+    out = [Rule(label, keyword(words), phrase(words), 3) for words, label in BASE.items()]
     tag = rf"(?i)spdx{GAP}license{GAP}identifier\s*:\s*"
     for family, (name, versions) in FAMILIES.items():
-        keyword = "licence" if name.endswith("licence") else "license"
-        out += [Rule(family, keyword, phrase(name), 3), Rule(family, "spdx", rf"{tag}{family}(?![\w.-])", 1)]
+        word = keyword(name)
+        out += [Rule(family, word, phrase(name), 3), Rule(family, "spdx", rf"{tag}{family}(?![\w.-])", 1)]
         for version in versions.split():
             short = version.removesuffix(".0")
             number = version.replace(".", r"\.") if short == version else rf"{short}(?:\.0)?"
             between = rf"(?:{GAP}(?:version|v|ver))?{GAP}v?"
             out += [
-                Rule(f"{family}-{version}", keyword, rf"(?i)(?<!{WORD}){GAP.join(name.split())}{between}{number}(?!{WORD}|\.\d)", 2),
+                Rule(f"{family}-{version}", word, rf"(?i)(?<!{WORD}){GAP.join(name.split())}{between}{number}(?!{WORD}|\.\d)", 2),
                 Rule(f"{family}-{version}", "spdx", rf"{tag}{family}-{number}(?:-only|-or-later|\+)?(?![\w-]|\.\d)", 1),
             ]
     for form, name in CC_FORMS.items():
@@ -143,7 +158,7 @@ def rules() -> list[Rule]:
                 Rule(f"CC-{form}-{version}", "creativecommons.org", rf"(?i)creativecommons\.org/licenses/{form}/{number}", 2),
             ]
     for label, words in SENTENCES.items():
-        out.append(Rule(label, max(words.split(), key=len), phrase(words), 2 if len(words) > 30 else 4))
+        out.append(Rule(label, keyword(words), phrase(words), 2 if len(words) > 30 else 4))
     return out
 
 
@@ -170,13 +185,15 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     table = F.array(*[F.struct(F.lit(r.label).alias("label"), F.lit(r.keyword).alias("keyword"), F.lit(r.regex).alias("regex"), F.lit(r.priority).alias("priority")) for r in own])
     text = F.coalesce(F.col(text_col), F.lit(""))
     docs = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
-    low = F.lower("text")
-    keywords = sorted({r.keyword for r in own} - {"cc"})
-    gate = reduce(or_, [F.contains(low, F.lit(k)) for k in keywords]) | (F.contains(low, F.lit("cc")) & F.col("text").rlike(rf"(?i)(?<!{WORD})cc{GAP}by(?!{WORD})"))
-    picked = F.filter(table, lambda r: F.contains(low, r["keyword"]))
-    found = F.flatten(F.transform(picked, lambda r: F.transform(_places(F.col("text"), r["regex"]), lambda p: F.struct(p["begin"].alias("begin"), (p["begin"] + p["size"]).alias("end"), r["priority"].alias("priority"), r["label"].alias("label")))))
+    # columns of their own, each computed once a row
+    low = F.col("low")
+    gate = reduce(or_, [F.contains(low, F.lit(k)) for k in sorted(GATE)]) | (F.contains(low, F.lit("cc")) & F.col("text").rlike(rf"(?i)(?<!{WORD})cc{GAP}by(?!{WORD})"))
+    picked = F.filter(table, lambda r: F.contains(low, r["keyword"]) & F.rlike("text", r["regex"]))
+    places = lambda r: F.transform(_places(F.col("text"), r["regex"]), lambda p: F.struct(p["begin"].alias("begin"), (p["begin"] + p["size"]).alias("end"), r["priority"].alias("priority"), r["label"].alias("label")))
+    found = F.flatten(F.transform(picked, places))
     none = F.array().cast("array<struct<begin:int,end:int,priority:int,label:string>>")
-    rows = docs.select("doc_id", "text", F.regexp_count("text", F.lit(f"{WORD}+")).cast("long").alias("n_words"), F.when(gate, found).otherwise(none).alias("found"))
+    rows = docs.withColumn("low", F.lower("text")).withColumn("gated", gate)
+    rows = rows.select("doc_id", "text", F.regexp_count("text", F.lit(f"{WORD}+")).cast("long").alias("n_words"), F.when(F.col("gated"), found).otherwise(none).alias("found"))
     base = F.array(*[F.lit(x) for x in BASE.values()])
     rows = rows.withColumn("base", F.filter("found", lambda d: F.array_contains(base, d["label"])))
     better = lambda d, e: (e["begin"] <= d["begin"]) & (e["end"] >= d["end"]) & ((e["priority"] < d["priority"]) | ((e["priority"] == d["priority"]) & (e["end"] - e["begin"] > d["end"] - d["begin"])))
