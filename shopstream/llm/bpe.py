@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 from .words import OF_BYTE, POWERS, mix
 
 #: Distinct pieces whose ids a task remembers; beyond it forgets all and goes on.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 #: Texts of so many characters are split and encoded together.
-GROUP_CHARS = 2_000_000
+GROUP_CHARS = 1_000_000
 _NEVER = 1 << 62
 
 
@@ -95,7 +95,7 @@ class Vocabulary:
                 i += 1
             else:
                 j += 1
-        if len(self._pairs) >= 4 * REMEMBERED:
+        if len(self._pairs) >= REMEMBERED:
             self._pairs.clear()
         self._pairs[one, two] = good
         return good
@@ -178,7 +178,7 @@ class _Table:
 class _Many:
     """``Encoding`` for many short pieces at once: the same entries, filled one end after the other."""
 
-    LONGEST, SLOTS = 40, 1 << 21
+    LONGEST, SLOTS = 40, 1 << 20
 
     def __init__(self, vocabulary: Vocabulary):
         v = self.vocabulary = vocabulary
@@ -262,7 +262,7 @@ class _Many:
 class Encoder(dict):
     """Ids of pieces as packed little-endian numbers."""
 
-    SLAB = 20_000
+    SLAB = 10_000
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         import regex
@@ -311,10 +311,11 @@ class Encoder(dict):
         return self.flat[to].tobytes()
 
 
-def _groups(texts: list[str], size: int) -> Iterator[list[str]]:
-    """Consecutive texts of about ``size`` characters together."""
+def _groups(column: pa.Array, size: int) -> Iterator[list[str]]:
+    """Consecutive texts of about ``size`` characters together; a null is empty."""
     group, n = [], 0
-    for text in texts:
+    for text in column:
+        text = text.as_py() or ""
         group.append(text)
         n += len(text)
         if n >= size:
@@ -344,16 +345,18 @@ def encode(docs: DataFrame, tokenizer: str, pattern: str, *, id_col: str = "doc_
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lines, split = sent.value
         encoder = Encoder(load_ranks(lines), split)
+        types = (pa.string(), pa.string()) if digest else (pa.list_(pa.int32()), pa.binary())
         for b in batches:
-            n, ids, decoded = [], [], []
-            for texts in _groups(b.column(1).fill_null("").to_pylist(), GROUP_CHARS):
+            at = 0
+            for texts in _groups(b.column(1), GROUP_CHARS):
+                n, ids, decoded = [], [], []
                 for packed in encoder.encode_all(texts):
                     back = encoder.decode(packed)
                     n.append(len(packed) // 4)
                     ids.append(hashlib.sha256(packed).hexdigest() if digest else np.frombuffer(packed, "<i4"))
                     decoded.append(hashlib.sha256(back).hexdigest() if digest else back)
-            types = (pa.string(), pa.string()) if digest else (pa.list_(pa.int32()), pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, types[0]), pa.array(decoded, types[1])], names=["doc_id", "n_tokens", *columns])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(n)), pa.array(n, pa.int64()), pa.array(ids, types[0]), pa.array(decoded, types[1])], names=["doc_id", "n_tokens", *columns])
+                at += len(n)
 
     types = "ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>, decoded binary"
     return docs.mapInArrow(work, f"doc_id {kind}, n_tokens long, {types}")
