@@ -108,7 +108,8 @@ def removed_lines(docs: DataFrame, tables: Scratch) -> DataFrame:
     near = pairs.where(_one_edit(F.col("a"), F.col("b"))).select("doc_id", "line", F.lit(False).alias("exact"))
     both = exact.unionAll(tables.put(near.distinct(), "near"))
     places = lambda flag: F.array_sort(F.collect_set(F.when(flag, F.col("line"))))
-    return tables.put(both.groupBy("doc_id").agg(places(F.col("exact")).alias("exact"), places(~F.col("exact")).alias("near")), "removed")
+    removed = both.groupBy("doc_id").agg(places(F.col("exact")).alias("exact"), places(~F.col("exact")).alias("near"))
+    return tables.keep(tables.put(removed, "removed"), "removed")
 
 
 def dedupe_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -218,7 +218,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_
         further = tables.put(further.select(F.col("node").alias("class"), "component"), "further")
         whole = whole.join(further, "class", "left").select("doc_id", F.coalesce("component", "class").alias("class"))
         whole = whole.unionAll(further.where("class != component").select("class", "component"))
-    whole = tables.put(whole, "whole")
+    whole = tables.keep(tables.put(whole, "whole"), "whole", "profile")
     component = F.coalesce("class", "doc_id")
     return profile.select("doc_id", "n_shingles").join(whole, "doc_id", "left").select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 

@@ -37,6 +37,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.names: list[str] = []
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         """Writes ``df`` and returns the table as read back, which cuts the lineage."""
@@ -47,10 +48,18 @@ class Scratch:
             df.write.parquet(path)
         finally:
             self.spark.conf.set(_CLEANUP, before)
+        self.names.append(name)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def keep(self, df: DataFrame, *names: str) -> DataFrame:
+        """Deletes all tables but the named ones, which alone ``df`` reads, and returns ``df``."""
+        for name in [n for n in self.names if n not in names]:
+            self.drop(name)
+        return df
+
     def drop(self, name: str) -> None:
         """Deletes a table that no later step reads."""
+        self.names.remove(name)
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -122,7 +122,7 @@ def dedupe(docs: DataFrame, window: int = 13, *, id_col: str = "doc_id", text_co
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     gone = repeated_windows(docs, window, tables).groupBy("doc_id").agg(F.collect_set("place").alias("places"))
-    gone = tables.put(gone, "gone")
+    gone = tables.keep(tables.put(gone, "gone"), "gone")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -89,7 +89,8 @@ def templates(urls: DataFrame, tables: Scratch) -> DataFrame:
     purity = (F.sum("hits") + PRIOR_WEIGHT * prior) / (F.sum("labelled") + PRIOR_WEIGHT)
     judged = tables.put(leaves.groupBy(*node).agg((purity >= PURITY).alias("rejected")), "judged")
     template = F.concat_ws("/", *node)
-    return tables.put(leaves.join(judged, node).select(F.concat_ws("/", "host", *names).alias("leaf"), template.alias("template"), "rejected"), "templates")
+    found = leaves.join(judged, node).select(F.concat_ws("/", "host", *names).alias("leaf"), template.alias("template"), "rejected")
+    return tables.keep(tables.put(found, "templates"), "templates")
 
 
 def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], *, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
