@@ -30,6 +30,12 @@ def _at(doc_id: str = "doc_id", line: str = "line") -> Column:
     return F.col(doc_id).cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(11,0)") + F.col(line).cast("decimal(11,0)")
 
 
+def _of(at: str, kind: str) -> tuple[Column, Column]:
+    """The document and the line of a place."""
+    line = f"pmod({at}, cast({1 << 31} as decimal(11,0)))"
+    return F.expr(f"({at} - {line}) div {1 << 31}").cast(kind).alias("doc_id"), F.expr(line).cast("int").alias("line")
+
+
 def _ends(words: str) -> Column:
     """Hashes of both ends of a line that may have near lines, else null.
 
@@ -77,10 +83,13 @@ def _one_edit(a: Column, b: Column) -> Column:
 
 def removed_lines(docs: DataFrame, tables: Scratch) -> DataFrame:
     """(doc_id, exact, near): the places, from 0, of lines that have an earlier equal or near line."""
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "body")).select("doc_id", "line", _words(F.col("body")).alias("words"))
+    # words are made before the lines are exploded, so that a filter on them doesn't make them again
+    lines = docs.select("doc_id", F.posexplode(F.transform(F.split("text", "\n"), _words)).alias("line", "words"))
     lines = lines.where(F.size("words") >= MIN_WORDS).select("doc_id", "line", F.xxhash64("words").alias("h"), F.xxhash64(F.lit(3), "words").alias("g"), _ends("words").alias("ends"))
-    lines = tables.put(lines, "lines").withColumn("at", _at())
-    first = lines.groupBy("h", "g").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    ends = [F.get("ends", F.lit(k)).alias(f"e{k}") for k in range(4)]
+    lines = tables.put(lines.select("doc_id", "line", "h", "g", *ends), "lines").withColumn("at", _at())
+    # a line's ends follow from its words, so that any of them serves
+    first = lines.groupBy("h", "g").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"), *[F.min(f"e{k}").alias(f"e{k}") for k in range(4)])
     first = tables.put(first, "first")
 
     # sides that grow with the corpus are shuffled at any size
@@ -88,7 +97,7 @@ def removed_lines(docs: DataFrame, tables: Scratch) -> DataFrame:
     exact = lines.join(repeated.hint("merge"), ["h", "g"]).where("at != first").select("doc_id", "line", F.lit(True).alias("exact"))
     exact = tables.put(exact, "exact")
 
-    ends = lines.where("ends is not null").join(first.select("h", "g", "first").hint("merge"), ["h", "g"]).where("at = first").select("doc_id", "line", F.explode("ends").alias("end"))
+    ends = first.where("e0 is not null").select(*_of("first", docs.schema["doc_id"].dataType.simpleString()), F.explode(F.array("e0", "e1", "e2", "e3")).alias("end")).where("end is not null")
     ends = tables.put(ends, "ends")
     shared = tables.put(ends.groupBy("end").count().where("count > 1").select("end"), "shared")
     near = ends.join(shared.hint("merge"), "end", "left_semi").groupBy("doc_id").agg(F.collect_set("line").alias("places"))
