@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from .scratch import Scratch
 
-#: Lines of fewer words stay, and shorter lines than the second are only compared as they are.
+#: Lines of fewer words stay, and shorter lines than the second are only compared as they are,
+#: unless every line is asked for.
 MIN_WORDS, MIN_NEAR_WORDS = 5, 10
 
 
@@ -25,6 +26,11 @@ def _words(line: Column) -> Column:
     return F.array_remove(F.split(line, "[\\x20\\x09-\\x0D]+"), "")
 
 
+def _units(words: Column, every: bool) -> Column:
+    """What an edit is counted in: words; if every line counts, the characters of lines of few words."""
+    return F.when(F.size(words) < MIN_NEAR_WORDS, F.split(F.array_join(words, " "), "")).otherwise(words) if every else words
+
+
 def _at(doc_id: str = "doc_id", line: str = "line") -> Column:
     """A line's place as one number: by document, then by line."""
     return F.col(doc_id).cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(11,0)") + F.col(line).cast("decimal(11,0)")
@@ -53,10 +59,9 @@ def _ends(words: str) -> Column:
     return F.when(n >= MIN_NEAR_WORDS, F.when(shorter, F.concat(both(size), both((size / 2).cast("int")))).otherwise(both(size)))
 
 
-def _chain(words: Column) -> Column:
+def _chain(words: Column, seed: str) -> Column:
     """Hashes of the first 0, 1, ... words."""
-    start = F.array(F.lit(17).cast("long"))
-    return F.aggregate(words, start, lambda done, w: F.concat(done, F.array(F.xxhash64(F.element_at(done, -1), w))))
+    return F.aggregate(words, F.array(F.col(seed)), lambda done, w: F.concat(done, F.array(F.xxhash64(F.element_at(done, -1), w))))
 
 
 def _variants(words: str) -> Column:
@@ -81,11 +86,12 @@ def _one_edit(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), replaced).when(F.size(a) == F.size(b) + 1, inserted(a, b)).when(F.size(b) == F.size(a) + 1, inserted(b, a)).otherwise(False)
 
 
-def removed_lines(docs: DataFrame, tables: Scratch) -> DataFrame:
+def removed_lines(docs: DataFrame, tables: Scratch, every: bool = False) -> DataFrame:
     """(doc_id, exact, near): the places, from 0, of lines that have an earlier equal or near line."""
     # words are made before the lines are exploded, so that a filter on them doesn't make them again
     lines = docs.select("doc_id", F.posexplode(F.transform(F.split("text", "\n"), _words)).alias("line", "words"))
-    lines = lines.where(F.size("words") >= MIN_WORDS).select("doc_id", "line", F.xxhash64("words").alias("h"), F.xxhash64(F.lit(3), "words").alias("g"), _ends("words").alias("ends"))
+    lines = lines.where(F.size("words") >= (1 if every else MIN_WORDS)).withColumn("units", _units(F.col("words"), every))
+    lines = lines.select("doc_id", "line", F.xxhash64("words").alias("h"), F.xxhash64(F.lit(3), "words").alias("g"), _ends("units").alias("ends"))
     ends = [F.get("ends", F.lit(k)).alias(f"e{k}") for k in range(4)]
     lines = tables.put(lines.select("doc_id", "line", "h", "g", *ends), "lines").withColumn("at", _at())
     # a line's ends follow from its words, so that any of them serves
@@ -104,9 +110,12 @@ def removed_lines(docs: DataFrame, tables: Scratch) -> DataFrame:
     near = tables.put(near, "near-places")
     bodies = docs.join(near.hint("merge"), "doc_id").select("doc_id", F.explode("places").alias("line"), F.split("text", "\n").alias("lines"))
     bodies = bodies.select("doc_id", "line", _words(F.get("lines", F.col("line"))).alias("words"))
+    # variants in words and in characters are kept apart
+    seed = F.when(F.size("words") < MIN_NEAR_WORDS, 18).otherwise(17).cast("long")
+    bodies = bodies.select("doc_id", "line", _units(F.col("words"), every).alias("words"), seed.alias("seed"))
     # a repeated id may have other lines at these places
     bodies = tables.put(bodies.where(F.size("words") >= MIN_NEAR_WORDS), "bodies").withColumn("at", _at())
-    keys = bodies.select("at", "words", _chain(F.col("words")).alias("before"), F.reverse(_chain(F.reverse("words"))).alias("behind"))
+    keys = bodies.select("at", "words", _chain(F.col("words"), "seed").alias("before"), F.reverse(_chain(F.reverse("words"), "seed")).alias("behind"))
     keys = keys.select("at", F.explode(_variants("words")).alias("key"))
     groups = keys.groupBy("key").agg(F.min("at").alias("earliest"), F.max("at").alias("latest")).where("earliest < latest").drop("latest")
     groups = tables.put(groups, "variants")
@@ -121,7 +130,7 @@ def removed_lines(docs: DataFrame, tables: Scratch) -> DataFrame:
     return tables.keep(tables.put(removed, "removed"), "removed")
 
 
-def dedupe_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedupe_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", every: bool = False) -> DataFrame:
     """Removes each line that equals an earlier line, or differs from one by one word.
 
     Earlier is a line of a document with a smaller id, or a line before in the same document; lines
@@ -129,6 +138,10 @@ def dedupe_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     ASCII white space, and two lines are equal if their words are. Lines of fewer than ``MIN_WORDS``
     words are left alone; a word's difference counts from ``MIN_NEAR_WORDS`` words on.
 
+    With ``every``, all lines with a word count: equal ones go at any length, and lines of fewer than
+    ``MIN_NEAR_WORDS`` words (those of scripts without spaces, too) go if they differ by one character
+    from an earlier one of so few words, if they have as many characters (a space between words).
+
     Returns a row for every row of ``docs``: doc_id, n_lines, n_exact and n_near (lines removed), and
     kept, the other lines joined by ``\\n``. A null text has no lines and stays null. Rows with a
     null id are left as they are. Rows that repeat an id are one document: a line's place counts for
@@ -136,7 +149,7 @@ def dedupe_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """
     tables = Scratch(docs.sparkSession, "lines")
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    gone = removed_lines(docs.where("doc_id is not null and text is not null"), tables)
+    gone = removed_lines(docs.where("doc_id is not null and text is not null"), tables, every)
     rows = docs.join(gone.hint("merge"), "doc_id", "left").withColumn("lines", F.split("text", "\n"))
     places = F.coalesce(F.array_union("exact", "near"), F.array().cast("array<int>"))
     size = lambda x: F.coalesce(F.size(F.filter(x, lambda i: i < F.size("lines"))), F.lit(0)).cast("long")

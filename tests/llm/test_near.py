@@ -155,6 +155,28 @@ def test_lines(spark):
         assert r.kept == "\n".join(x for k, x in enumerate(own) if (i, k) not in exact | close)
 
 
+def test_every_line(spark):
+    rng = np.random.default_rng(12)
+    lines = [prose(rng, int(n)) for n in rng.integers(1, 16, 40)] + ["".join(chr(0x4E00 + int(k)) for k in rng.integers(0, 900, n)) for n in (3, 9, 10, 11, 30)]
+    for line in list(lines):
+        own, k = list(line), int(rng.integers(0, len(line)))
+        own[k : k + 1] = [[], ["\u6c34"], ["\u6c34", own[k]]][int(rng.integers(0, 3))]
+        lines.append("".join(own))
+    lines += ["OK", "", " ", "abcdefghij", "a b c d e f g h i j"]
+    docs = [(i, "\n".join(lines[int(k)] for k in rng.integers(0, len(lines), 4))) for i in range(40)]
+    flat = [(i, k, x.split()) for i, t in docs for k, x in enumerate(t.split("\n"))]
+    exact = {(i, k) for i, k, w in flat if w and any((j, m) < (i, k) and v == w for j, m, v in flat)}
+    firsts = [(i, k, len(w) < 10, list(" ".join(w)) if len(w) < 10 else w) for i, k, w in flat if (i, k) not in exact]
+    firsts = [x for x in firsts if len(x[3]) >= 10]
+    close = {(i, k) for i, k, s, w in firsts if any((j, m) < (i, k) and s == z and edit_distance_one(v, w) for j, m, z, v in firsts)}
+    short = {(i, k) for i, k, w in flat if len(w) < 5}
+    assert len(exact & short) > 5 and len(close & short) > 2
+    found = {r.doc_id: r for r in dedupe_lines(documents(spark, docs), every=True).collect()}
+    for i, t in docs:
+        assert found[i].kept == "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in exact | close)
+        assert (found[i].n_exact, found[i].n_near) == (sum(x[0] == i for x in exact), sum(x[0] == i for x in close))
+
+
 def test_lines_odd_rows(spark):
     line = "one two three four five six seven"
     rows = [(1, line), (2, line + "\nother"), (3, line), (None, line), (4, None), (4, ""), (1, line)]
