@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.jsons import project_json
 from .skew import bounded_join
 
-ENVELOPE = "struct<database:string,tableName:string,before:map<string,string>,after:map<string,string>,type:string>"
+ENVELOPE = "struct<database:string,tableName:string,before:map<string,string>,after:map<string,string>,type:string,position:bigint>"
 
 
 def cdc_db(topic: str) -> Column:
@@ -24,14 +24,19 @@ def cdc_op(op: str) -> Column:
     return F.when(F.lower(op) == "create", "insert").otherwise(F.lower(op))
 
 
+def _position(rows: DataFrame) -> list[str]:
+    """The place of a change among those of its table, if the source tells it."""
+    return ["position"] if "position" in rows.columns else []
+
+
 def normalize_cdc(raw: DataFrame) -> DataFrame:
-    """(topic, op, before, after) to database, tableName, before, after, type."""
+    """(topic, op, before, after) to database, tableName, before, after, type; a position stays."""
     none = F.create_map().cast("map<string,string>")
-    return raw.select(cdc_db("topic").alias("database"), cdc_table("topic").alias("tableName"), F.coalesce("before", none).alias("before"), F.coalesce("after", none).alias("after"), cdc_op("op").alias("type"))
+    return raw.select(cdc_db("topic").alias("database"), cdc_table("topic").alias("tableName"), F.coalesce("before", none).alias("before"), F.coalesce("after", none).alias("after"), cdc_op("op").alias("type"), *_position(raw))
 
 
 def to_envelope(cdc: DataFrame) -> DataFrame:
-    return cdc.select(F.to_json(F.struct("database", "tableName", "before", "after", "type")).alias("value"))
+    return cdc.select(F.to_json(F.struct("database", "tableName", "before", "after", "type", *_position(cdc))).alias("value"))
 
 
 def from_envelope(lines: DataFrame, value: str = "value") -> DataFrame:
@@ -63,6 +68,11 @@ def unmatched(rows: DataFrame) -> DataFrame:
     return rows.where("sink_type is null")
 
 
+def unrouted(rows: DataFrame, sinks: list[str]) -> DataFrame:
+    """Rows with a route to none of ``sinks``."""
+    return rows.where(F.col("sink_type").isNotNull() & ~F.col("sink_type").isin(sinks))
+
+
 def latest_per_key(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The last row of each key; grouped, so nothing is sorted and a key's rows are reduced where they are."""
     rest = [c for c in rows.columns if c not in keys]
@@ -72,7 +82,7 @@ def latest_per_key(rows: DataFrame, keys: list[str], order: list[str]) -> DataFr
 
 def merge_latest(old: DataFrame, new: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Upsert as a table: of each key the last row of both."""
-    return latest_per_key(old.unionByName(new), keys, order)
+    return latest_per_key(old.unionByName(new, allowMissingColumns=True), keys, order)
 
 
 def lookup_dim(rows: DataFrame, dim: DataFrame, key: str) -> DataFrame:

@@ -68,8 +68,10 @@ def ensure_table(spark: SparkSession, database: str, table: str, columns: str, p
 def route_stream(envelopes: DataFrame, config: Callable[[], DataFrame], root: str) -> None:
     """Routes change records by a configuration that is read anew for each batch.
 
-    Records for Kafka go out by sink table, those for dimensions are upserted by key, and what has no
-    route is kept. The loop is over the configured dimension tables, whose number is that of the rules.
+    Records for Kafka go out by sink table, those for dimensions are upserted by key, those for any
+    other sink are kept in ``unrouted`` and what has no route in ``unmatched``. Of a key's changes the
+    one of the highest ``position`` wins; of records without one, that of the last batch, and in a
+    batch the greatest value, as nothing else tells their order. The loop is over the configured dimension tables, whose number is that of the rules.
     """
 
     def each(batch: DataFrame, batch_id: int) -> None:
@@ -77,10 +79,12 @@ def route_stream(envelopes: DataFrame, config: Callable[[], DataFrame], root: st
         rows = cdc.route_cdc(cdc.drop_deletes(cdc.from_envelope(batch)), rules).persist()
         cdc.routed(rows, "kafka").write.mode("overwrite").partitionBy("sink_table").parquet(f"{root}/kafka/batch={batch_id}")
         write_batch(cdc.unmatched(rows).select("tableName", "type", F.to_json("after").alias("after")), f"{root}/unmatched", batch_id)
+        other = cdc.unrouted(rows, ["kafka", "hbase"])
+        write_batch(other.select("sink_type", "sink_table", F.to_json("payload").alias("value")), f"{root}/unrouted", batch_id)
         for rule in rules.where("sink_type = 'hbase'").select("sink_table", F.coalesce("sink_pk", F.lit("id")).alias("pk")).distinct().collect():
             own = rows.where((F.col("sink_type") == "hbase") & (F.col("sink_table") == rule["sink_table"]))
-            keyed = own.select(F.col("payload")[rule["pk"]].alias("key"), F.to_json("payload").alias("value"), F.lit(batch_id).alias("batch"))
-            upsert_dim(keyed, f"{root}/dim/{rule['sink_table']}", ["key"], ["batch", "value"], batch_id)
+            keyed = own.select(F.col("payload")[rule["pk"]].alias("key"), F.to_json("payload").alias("value"), F.lit(batch_id).alias("batch"), "position")
+            upsert_dim(keyed, f"{root}/dim/{rule['sink_table']}", ["key"], ["position", "batch", "value"], batch_id)
         rows.unpersist()
 
     run_batches(envelopes, each, f"{root}/_checkpoint")

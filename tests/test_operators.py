@@ -1,6 +1,8 @@
+from pyspark.sql import functions as F
+
 from shopstream.operators import cdc, logs, portrait, sessions, skew, variables, warehouse
 from shopstream.sources import io
-from shopstream.streaming import pipelines
+from shopstream.streaming import pipelines, streams
 
 
 def actions(spark, *rows):
@@ -87,6 +89,21 @@ def test_dim_upsert_survives_a_repeated_batch(spark, tmp_path):
     assert pipelines.read_dim(spark, f"{path}-none") is None
 
 
+def test_route_stream_loses_nothing(spark, tmp_path):
+    root = f"file://{tmp_path}"
+    rules = [("d", "insert", "hbase", "dim_d", "id,v", "id"), ("d", "update", "hbase", "dim_d", "id,v", "id"), ("c", "insert", "clickhouse", "ck_c", "id", None), ("k", "insert", "kafka", "k", "id", None)]
+    config = spark.createDataFrame(rules, "source_table string, operate_type string, sink_type string, sink_table string, sink_columns string, sink_pk string")
+    changes = [("s.db.d", "INSERT", {"id": "1", "v": "z"}, 1), ("s.db.d", "UPDATE", {"id": "1", "v": "a"}, 2), ("s.db.c", "INSERT", {"id": "2"}, 3), ("s.db.c", "INSERT", {"id": "3"}, 4), ("s.db.k", "INSERT", {"id": "4"}, 5), ("s.db.x", "INSERT", {"id": "5"}, 6)]
+    raw = spark.createDataFrame(changes, "topic string, op string, after map<string,string>, position long").withColumn("before", F.lit(None).cast("map<string,string>"))
+    cdc.to_envelope(cdc.normalize_cdc(raw)).coalesce(1).write.text(f"{root}/lines")
+    pipelines.route_stream(streams.read_stream(spark, {"path": f"{root}/lines"}), lambda: config, root)
+    found = spark.read.parquet(f"{root}/unrouted").orderBy("value").collect()
+    assert [(r.sink_type, r.sink_table, r.value) for r in found] == [("clickhouse", "ck_c", '{"id":"2"}'), ("clickhouse", "ck_c", '{"id":"3"}')]
+    dim = pipelines.read_dim(spark, f"{root}/dim/dim_d").select("key", F.get_json_object("value", "$.v").alias("v"))
+    assert [(r.key, r.v) for r in dim.collect()] == [("1", "a")]
+    assert (spark.read.parquet(f"{root}/kafka").count(), spark.read.parquet(f"{root}/unmatched").count()) == (1, 1)
+
+
 def test_warehouse_roundtrip(spark, tmp_path):
     root, house = f"file://{tmp_path}/land", f"file://{tmp_path}/ods"
     source = lambda name: spark.createDataFrame([("1", None, "2024-01-01 10:00:00"), ("2", "a\\b", "2024-01-02 00:00:00")], "id string, name string, create_time string")
