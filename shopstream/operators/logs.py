@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.jsons import parse_json_obj
 from ..functions.text import Named, col
+from .skew import bounded_join
 
 LOG = "struct<common:struct<mid:string,is_new:string>,start:map<string,string>,page:map<string,string>,displays:array<map<string,string>>>"
 EVENT = "struct<ap:string,cm:map<string,string>,et:array<struct<ett:string,en:string,kv:map<string,string>>>>"
@@ -45,11 +46,30 @@ def clean(parsed: DataFrame) -> DataFrame:
     return parsed.where("log is not null")
 
 
+def first_new(rows: DataFrame, mid: Column, is_new: Column, order: list[str]) -> DataFrame:
+    """(_mid, _first): the least order of a device's rows that say 1; a device's rows are reduced where they are."""
+    return rows.where(is_new == "1").groupBy(mid.alias("_mid")).agg(F.min(F.struct(*order)).alias("_first"))
+
+
+def repeated_new(rows: DataFrame, first: DataFrame, mid: Column, is_new: Column, order: list[str]) -> DataFrame:
+    """Adds ``_repeated``: says 1, but is not its device's row in ``first``.
+
+    Rows are joined and counted by device and order together, so the rows of one device are spread.
+    """
+    at = F.struct(*order)
+    found = bounded_join(rows, first, mid.eqNullSafe(F.col("_mid")) & (at == F.col("_first")) & (is_new == "1"), "left")
+    hit = F.col("_first").isNotNull()
+    # of rows that tie for the first place one counts
+    rank = F.row_number().over(Window.partitionBy(mid, at, hit).orderBy(F.lit(1)))
+    return found.withColumn("_repeated", (is_new == "1") & ~(hit & (rank == 1))).drop("_mid", "_first")
+
+
 def fix_is_new(parsed: DataFrame, order: list[str]) -> DataFrame:
     """Of the logs of a device that say ``is_new`` 1, only the first keeps it; batch form."""
-    own = Window.partitionBy("log.common.mid", F.col("log.common.is_new") == "1").orderBy(*order)
-    repeated = (F.col("log.common.is_new") == "1") & (F.row_number().over(own) > 1)
-    return parsed.withColumn("log", F.when(repeated, F.col("log").withField("common.is_new", F.lit("0"))).otherwise(F.col("log")))
+    mid, is_new = F.col("log.common.mid"), F.col("log.common.is_new")
+    rows = repeated_new(parsed, first_new(parsed, mid, is_new, order), mid, is_new, order)
+    log = F.when(F.col("_repeated"), F.col("log").withField("common.is_new", F.lit("0"))).otherwise(F.col("log"))
+    return rows.withColumn("log", log).drop("_repeated")
 
 
 def _is_start() -> Column:

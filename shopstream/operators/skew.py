@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A side is broadcast only if its estimated size is at most this.
@@ -14,7 +14,7 @@ def size_estimate(df: DataFrame) -> int:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
-def bounded_join(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner", bound: int = BROADCAST_BYTES) -> DataFrame:
+def bounded_join(left: DataFrame, right: DataFrame, on: str | list[str] | Column, how: str = "inner", bound: int = BROADCAST_BYTES) -> DataFrame:
     """Sends ``right`` to all executors if it is small; else a plain join, which Spark plans."""
     return left.join(F.broadcast(right) if size_estimate(right) <= bound else right, on, how)
 

@@ -410,7 +410,7 @@ def new_visitor_batch(spark, sf):
 def new_visitor_stream(spark, sf):
     root = shared_path(spark, "visitors")
     rows = visitors.flat_logs(logs.clean(logs.parse_logs(b.app_log(streams.events_stream(spark, sf)))))
-    streams.run_batches(visitors.fix_is_new_stream(rows, ["ts", "event_id"]), lambda df, k: streams.write_batch(df, f"{root}/rows", k), f"{root}/_checkpoint")
+    visitors.fix_is_new_stream(rows, ["ts", "event_id"], root)
     return spark.read.parquet(f"{root}/rows").select("event_id", "mid", "is_new")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import cdc, logs
@@ -38,17 +38,21 @@ def _versions(spark: SparkSession, path: str) -> list[int]:
     return sorted(int(n[2:]) for n in done)
 
 
-def read_dim(spark: SparkSession, path: str) -> DataFrame | None:
-    """The newest complete version of a dimension table."""
-    found = _versions(spark, path)
+def read_dim(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
+    """The newest complete version of a dimension table, or the newest ``before`` a version."""
+    found = [v for v in _versions(spark, path) if before is None or v < before]
     return spark.read.parquet(f"{path}/v={found[-1]}") if found else None
 
 
-def upsert_dim(batch: DataFrame, path: str, keys: list[str], order: list[str], batch_id: int) -> None:
-    """Writes the next version of a dimension: of each key the last row. A repeated batch changes nothing."""
+def upsert_dim(batch: DataFrame, path: str, keys: list[str], order: list[str], batch_id: int, keep: Column | None = None) -> None:
+    """Writes the next version of a dimension: of each key the last row. A repeated batch changes nothing.
+
+    ``keep`` says which rows of the version before still count.
+    """
     spark = batch.sparkSession
     before = [v for v in _versions(spark, path) if v < batch_id]
     old = spark.read.parquet(f"{path}/v={before[-1]}") if before else batch.limit(0)
+    old = old if keep is None else old.where(keep)
     cdc.merge_latest(old, batch, keys, order).write.mode("overwrite").parquet(f"{path}/v={batch_id}")
     for v in before[:-1]:  # readers may still hold the version before
         place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v={v}")

@@ -2,45 +2,38 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import time
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-PROVIDER = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-
-
-class FirstSeen(StatefulProcessor):
-    """Keeps one flag per device. Rows of a batch are put in order first, so a rerun gives the same."""
-
-    def __init__(self, order: list[str], ttl_ms: int | None = None):
-        self.order, self.ttl_ms = order, ttl_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        schema = T.StructType([T.StructField("seen", T.BooleanType())])
-        self.seen = handle.getValueState("seen", schema, self.ttl_ms) if self.ttl_ms else handle.getValueState("seen", schema)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        own = pd.concat(rows).sort_values(self.order)
-        new = own["is_new"] == "1"
-        if new.any():
-            again = new if self.seen.exists() else new & (new.cumsum() > 1)
-            own.loc[again, "is_new"] = "0"
-            self.seen.update((True,))
-        yield own
-
-    def close(self) -> None:
-        pass
-
-
-def fix_is_new_stream(logs: DataFrame, order: list[str], ttl_ms: int | None = None) -> DataFrame:
-    """``logs`` has mid and is_new, among others. A time to live bounds the state of devices not seen again."""
-    logs.sparkSession.conf.set(*PROVIDER)
-    processor = FirstSeen(order, ttl_ms)
-    return logs.groupBy("mid").transformWithStateInPandas(statefulProcessor=processor, outputStructType=logs.schema, outputMode="Append", timeMode="ProcessingTime" if ttl_ms else "None")
+from ..operators import logs
+from . import pipelines, streams
+
+
+def fix_is_new_stream(rows: DataFrame, order: list[str], root: str, ttl_ms: int | None = None) -> None:
+    """Writes the repaired rows of each batch into ``root``/rows; ``rows`` has mid and is_new, among others.
+
+    The state, a row per device, is a table of versions below ``root``: a batch reads the version
+    before its own, so a rerun gives the same. A device's rows never come together; only its first
+    ``is_new`` row of a batch is looked for. A time to live bounds the state of devices not seen again.
+    """
+    mid, is_new = F.col("mid"), F.col("is_new")
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        now = int(time.time() * 1000)
+        alive = F.col("at") > now - ttl_ms if ttl_ms else F.lit(True)
+        first = logs.first_new(batch, mid, is_new, order).persist()
+        seen = pipelines.read_dim(batch.sparkSession, f"{root}/seen", batch_id)
+        new = first if seen is None else first.join(seen.where(alive).select(F.col("mid").alias("_mid")), "_mid", "left_anti")
+        fixed = logs.repeated_new(batch, new, mid, is_new, order)
+        fixed = fixed.withColumn("is_new", F.when(F.col("_repeated"), "0").otherwise(is_new)).select(batch.columns)
+        streams.write_batch(fixed, f"{root}/rows", batch_id)
+        state = first.select(F.col("_mid").alias("mid"), F.lit(now).cast("long").alias("at"))
+        pipelines.upsert_dim(state, f"{root}/seen", ["mid"], ["at"], batch_id, alive)
+        first.unpersist()
+
+    streams.run_batches(rows, each, f"{root}/_checkpoint")
 
 
 def flat_logs(parsed: DataFrame) -> DataFrame:

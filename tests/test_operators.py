@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 from shopstream.operators import cdc, logs, portrait, sessions, skew, variables, warehouse
 from shopstream.sources import io
-from shopstream.streaming import pipelines, streams
+from shopstream.streaming import pipelines, streams, visitors
 
 
 def actions(spark, *rows):
@@ -104,6 +104,25 @@ def test_route_stream_loses_nothing(spark, tmp_path):
     assert (spark.read.parquet(f"{root}/kafka").count(), spark.read.parquet(f"{root}/unmatched").count()) == (1, 1)
 
 
+def test_first_seen_spreads_a_device(spark, tmp_path):
+    rows = [("a", "1", 2, 1), ("a", "1", 2, 1), ("a", "0", 0, 2), ("a", "1", 3, 3), ("b", "0", 1, 4)], [("a", "1", 1, 5), ("b", "1", 9, 6), ("b", "1", 8, 7), ("c", None, 1, 8)]
+    kind = "mid string, is_new string, ts long, event_id long"
+    parsed = spark.createDataFrame(rows[0] + rows[1], kind).withColumn("log", F.struct(F.struct("mid", "is_new").alias("common")))
+    fixed = logs.fix_is_new(parsed, ["ts", "event_id"])
+    assert sorted((r.event_id, r.log.common.is_new) for r in fixed.collect() if r.log.common.is_new == "1") == [(5, "1"), (7, "1")]
+    hot = spark.range(400).selectExpr("id", "named_struct('common', named_struct('mid', 'm', 'is_new', '1')) log")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    parts = logs.fix_is_new(hot, ["id"]).groupBy(F.spark_partition_id()).count().collect()
+    spark.conf.unset("spark.sql.adaptive.enabled")
+    assert len(parts) > 1 and max(r["count"] for r in parts) < 200
+    for own in rows:
+        spark.createDataFrame(own, kind).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+        visitors.fix_is_new_stream(spark.readStream.schema(kind).parquet(f"file://{tmp_path}/in"), ["ts", "event_id"], f"file://{tmp_path}/out")
+    found = spark.read.parquet(f"file://{tmp_path}/out/rows")
+    assert found.count() == 9 and sorted(r.event_id for r in found.where("is_new = '1'").collect()) == [1, 7]
+    assert sorted(r.mid for r in pipelines.read_dim(spark, f"file://{tmp_path}/out/seen").collect()) == ["a", "b"]
+
+
 def test_warehouse_roundtrip(spark, tmp_path):
     root, house = f"file://{tmp_path}/land", f"file://{tmp_path}/ods"
     source = lambda name: spark.createDataFrame([("1", None, "2024-01-01 10:00:00"), ("2", "a\\b", "2024-01-02 00:00:00")], "id string, name string, create_time string")
