@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 
 from .scratch import Scratch
 
-#: Levels of a tree; deeper segments count as one.
+#: Levels of every tree; a branch whose labels differ goes on as deep as its paths do.
 DEPTH = 3
-#: A value stays a branch if it has this share of its parent's urls, so a node has 50 branches at most.
-MIN_SHARE = 0.02
+#: A value may stay a branch if it has this share of its parent's urls, or so many labelled ones.
+MIN_SHARE, MIN_LABELLED = 0.02, 5
 #: Branches are merged if a two-proportion test doesn't tell their labels from the siblings' at this z.
 SIMILAR_Z = 1.96
 #: Labelled urls that the prior counts for, and the purity from which on a template is rejected.
@@ -54,42 +54,58 @@ def match_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> Colu
 
 
 def _segments(path: Column) -> list[Column]:
+    """The first segments, empty where the path ends, and an array of the others."""
     parts = F.filter(F.split(path, "/"), lambda s: s != "")
-    own = [F.get(parts, F.lit(k)) for k in range(DEPTH - 1)] + [F.when(F.size(parts) == DEPTH, F.get(parts, F.lit(DEPTH - 1))).when(F.size(parts) > DEPTH, F.lit("**"))]
-    return [F.coalesce(F.when(s.rlike(_VARIABLE), F.lit("*")).otherwise(s), F.lit("")) for s in own]
+    parts = F.transform(parts, lambda s: F.when(s.rlike(_VARIABLE), F.lit("*")).otherwise(s))
+    rest = F.filter(parts, lambda _, i: i >= DEPTH)
+    return [*(F.coalesce(F.get(parts, F.lit(k)), F.lit("")) for k in range(DEPTH)), rest]
 
 
 def templates(urls: DataFrame, tables: Scratch) -> DataFrame:
-    """leaf (host and first segments as ``_segments`` gives them), template and rejected.
+    """leaf (host and segments as ``_segments`` gives them), template and rejected.
 
-    ``urls`` has host, s0, s1, ... and blocked (true, false or null). Everything after the first
-    grouping works on distinct leaves, whatever the number of their urls.
+    ``urls`` has host, s0, s1, ..., blocked (true, false or null) and, if paths may be longer, rest.
+    Everything after the first grouping works on distinct leaves, whatever the number of their urls.
     """
-    names = [f"s{k}" for k in range(DEPTH)]
-    sums = [F.sum(c).cast("long").alias(c) for c in ("n", "labelled", "hits")]
-    leaves = urls.groupBy("host", *names).agg(F.count(F.lit(1)).alias("n"), F.count("blocked").alias("labelled"), F.sum(F.coalesce(F.col("blocked").cast("long"), F.lit(0))).alias("hits"))
-    leaves = tables.put(leaves, "leaves")
-    node = ["host"]
-    for k, name in enumerate(names):
-        branches = tables.put(leaves.groupBy(*node, name).agg(*sums), f"branches-{k}")
-        parents = tables.put(branches.groupBy(*node).agg(*[F.sum(c).alias(f"all_{c}") for c in ("n", "labelled", "hits")]), f"parents-{k}")
+    rest = ["rest"] if "rest" in urls.columns else []
+    totals = ("n", "labelled", "hits")
+    sums = [F.sum(c).cast("long").alias(c) for c in totals]
+    leaves = urls.groupBy("host", F.concat_ws("/", "host", *[f"s{k}" for k in range(DEPTH)], *rest).alias("leaf"))
+    leaves = leaves.agg(F.count(F.lit(1)).alias("n"), F.count("blocked").alias("labelled"), F.sum(F.coalesce(F.col("blocked").cast("long"), F.lit(0))).alias("hits"))
+    leaves = tables.put(leaves.withColumnRenamed("host", "node"), "leaves")
+    k = 0
+    while True:
+        parts = F.split("leaf", "/")
+        own = leaves.withColumn("value", F.coalesce(F.get(parts, F.lit(k + 1)), F.lit("")))
+        branches = tables.put(own.groupBy("node", "value").agg(*sums), f"branches-{k}")
+        parents = branches.groupBy("node").agg(*[F.sum(c).alias(f"all_{c}") for c in totals])
+        if k >= DEPTH:  # only where labels differ and paths go on
+            parents = parents.where("all_hits > 0 and all_hits < all_labelled")
+            parents = parents.join(own.where(F.size(parts) > k + 1).select("node").distinct(), "node", "left_semi")
+        parents = tables.put(parents, f"parents-{k}")
+        if k >= DEPTH and parents.isEmpty():
+            break
         others = F.col("all_labelled") - F.col("labelled")
         blocked = F.try_divide(F.col("all_hits"), F.col("all_labelled"))
         error = F.sqrt(blocked * (1 - blocked) * (F.try_divide(F.lit(1.0), F.col("labelled")) + F.try_divide(F.lit(1.0), others)))
         apart = F.abs(F.try_divide(F.col("hits"), F.col("labelled")) - F.try_divide(F.col("all_hits") - F.col("hits"), others))
         # a branch without labels, or with all that there are, is not like any other
         differs = F.coalesce((apart > 0) & (apart >= SIMILAR_Z * error), F.lit(True))
-        stays = branches.join(parents, node).where((F.col(name) != "*") & (F.col("n") >= MIN_SHARE * F.col("all_n")) & differs).select(*node, name)
-        stays = tables.put(stays.withColumn(f"t{k}", F.col(name)), f"stays-{k}")
-        leaves = leaves.join(stays, [*node, name], "left").withColumn(f"t{k}", F.coalesce(f"t{k}", F.lit("*")))
+        enough = (F.col("n") >= MIN_SHARE * F.col("all_n")) | (F.col("labelled") >= MIN_LABELLED)
+        stays = branches.join(parents, "node").where((F.col("value") != "*") & enough & differs).select("node", "value", F.col("value").alias("kept"))
+        stays = tables.put(stays, f"stays-{k}")
+        level = F.concat_ws("/", "node", F.coalesce("kept", F.lit("*")))
+        if k >= DEPTH:
+            own = own.join(parents.select("node", F.lit(True).alias("goes_on")), "node", "left")
+            level = F.when(F.col("goes_on"), level).otherwise(F.col("node"))
+        leaves = own.join(stays, ["node", "value"], "left").select(level.alias("node"), "leaf", *totals)
         leaves = tables.put(leaves, f"leaves-{k}")
-        node.append(f"t{k}")
+        k += 1
     prior = leaves.agg(((F.sum("hits") + 1) / (F.sum("labelled") + 2)).alias("prior")).first()["prior"]
     prior = 0.5 if prior is None else prior
     purity = (F.sum("hits") + PRIOR_WEIGHT * prior) / (F.sum("labelled") + PRIOR_WEIGHT)
-    judged = tables.put(leaves.groupBy(*node).agg((purity >= PURITY).alias("rejected")), "judged")
-    template = F.concat_ws("/", *node)
-    found = leaves.join(judged, node).select(F.concat_ws("/", "host", *names).alias("leaf"), template.alias("template"), "rejected")
+    judged = tables.put(leaves.groupBy("node").agg((purity >= PURITY).alias("rejected")), "judged")
+    found = leaves.join(judged, "node").select("leaf", F.col("node").alias("template"), "rejected")
     return tables.keep(tables.put(found, "templates"), "templates")
 
 
@@ -109,9 +125,10 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], *, id_col: str =
     blocks = [r for v, r in rules if v == "block"]
     by_rule = reduce(lambda x, r: x | (F.col("rule") == r), blocks, F.lit(False))
     blocked = F.when(F.col("rule").isNotNull(), by_rule)
-    names = [s.alias(f"s{k}") for k, s in enumerate(_segments(F.col("path")))]
+    *first, rest = _segments(F.col("path"))
+    names = [*(s.alias(f"s{k}") for k, s in enumerate(first)), rest.alias("rest")]
     found = templates(pages.where("host != ''").select("host", blocked.alias("blocked"), *names), tables)
-    leaf = F.when(F.col("host") != "", F.concat_ws("/", "host", *_segments(F.col("path"))))
+    leaf = F.when(F.col("host") != "", F.concat_ws("/", "host", *first, rest))
     rows = pages.withColumn("leaf", leaf).join(found, "leaf", "left")
     bad = F.coalesce(blocked, F.col("rejected"), F.lit(False))
     return rows.select("page_id", "host", "path", "rule", F.when(bad, "block").otherwise("allow").alias("verdict"), "template")

@@ -193,6 +193,22 @@ def test_templates(spark):
     assert found["g/a/*/"].template == found["g/b/*/"].template  # alike, so merged
 
 
+def test_templates_of_deep_and_wide_hosts(spark):
+    paths = [(f"deep/{a}/{b}/x{k}", b == "spam") for a in ("p", "q") for b in ("spam", "good") for k in range(60)]
+    paths += [(f"far/a/b/c/{d}/{k}/end", d == "bad") for d in ("bad", "fine") for k in range(60)]
+    paths += [(f"wide/s{k % 100}/y{k}", k % 100 == 7) for k in range(6000)]
+    rules = [("block", "h.com/deep/p/spam/"), ("block", "h.com/far/a/b/c/bad/"), ("block", "h.com/wide/s7/"), ("allow", "h.com/")]
+    rows = [(k, f"http://h.com/{p}", bad) for k, (p, bad) in enumerate(paths)]
+    df = spark.createDataFrame(rows, "page_id long, url string, bad boolean")
+    found = {r.page_id: r for r in urls.filter_urls(df, rules).collect()}
+    own = lambda begin: {found[k].template for k, u, _ in rows if u.startswith(f"http://h.com/{begin}/")}
+    for one, other in (("deep/p/spam", "deep/p/good"), ("far/a/b/c/bad", "far/a/b/c/fine"), ("wide/s7", "wide/s8")):
+        assert own(one) and not own(one) & own(other), one
+    parts = spark.createDataFrame([("h", *u.split("/")[3:6], u.split("/")[6:], bad) for _, u, bad in rows], "host string, s0 string, s1 string, s2 string, rest array<string>, blocked boolean")
+    rejected = {r.leaf: r.rejected for r in urls.templates(parts, Scratch(spark, "t")).collect()}
+    assert all(rejected["h/" + u.split("h.com/")[1]] == bad for _, u, bad in rows)
+
+
 # ---- resampling
 
 
