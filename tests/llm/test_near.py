@@ -177,6 +177,13 @@ def test_every_line(spark):
         assert (found[i].n_exact, found[i].n_near) == (sum(x[0] == i for x in exact), sum(x[0] == i for x in close))
 
 
+def test_an_id_with_several_texts_keeps_all_links(spark):
+    a, b, c, d = (prose(np.random.default_rng(30 + k), 80) for k in range(4))
+    rows = [(1, a), (2, b), (3, a), (3, b), (4, a), (4, c), (5, c + " tail"), (6, d), (7, d), (8, prose(np.random.default_rng(40), 80))]
+    found = {r.doc_id: r.component_id for r in near.near_duplicates(documents(spark, rows)).collect()}
+    assert found == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 6: 6, 7: 6, 8: 8}
+
+
 def test_lines_odd_rows(spark):
     line = "one two three four five six seven"
     rows = [(1, line), (2, line + "\nother"), (3, line), (None, line), (4, None), (4, ""), (1, line)]
