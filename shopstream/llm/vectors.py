@@ -26,9 +26,22 @@ from pyspark.sql import types as T
 from .components import connected_components
 from .scratch import Scratch
 
+
+
+def missed(cosine: float, bits: int, bands: int) -> float:
+    """The probability that two vectors share no band: they agree in a bit with 1 - angle / pi."""
+    return float((1 - (1 - np.arccos(cosine) / np.pi) ** bits) ** bands)
+
+
+def bands_for(bits: int, cosine: float = 0.93, most: float = 0.003) -> int:
+    """So many bands that a pair of ``cosine`` is missed with probability ``most`` at most."""
+    return int(np.ceil(np.log(most) / np.log(missed(cosine, bits, 1))))
+
+
 #: Bits of a band and number of bands. Two vectors of cosine 0.93 agree in a bit with probability
-#: 0.88, so they share a band with probability 1 - (1 - 0.88^12)^24 = 0.997; at 0.96, 0.99998.
-BITS, BANDS = 12, 24
+#: 0.88, so they share one of 24 bands with probability 1 - (1 - 0.88^12)^24 = 0.997; at 0.96, 0.99991.
+BITS = 12
+BANDS = bands_for(BITS)
 #: Standard errors of an estimate: the true value lies beyond with probability under 1e-6.
 CONFIDENCE = 5.0
 BLOCK, SMALL = 1_024, 48

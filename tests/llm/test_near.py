@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pytest
 
-from shopstream.llm import near, substring
+from shopstream.llm import near, substring, vectors
 from shopstream.llm.components import connected_components
 from shopstream.llm.lines import dedupe_lines, without_repeated_lines
 from shopstream.llm.scratch import Scratch
@@ -184,6 +184,13 @@ def test_an_id_with_several_texts_keeps_all_links(spark):
     assert found == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 6: 6, 7: 6, 8: 8}
 
 
+def test_bands_follow_from_bits():
+    assert vectors.bands_for(12) == vectors.BANDS == 24
+    for bits in (8, 12, 16, 20):
+        assert vectors.missed(0.93, bits, vectors.bands_for(bits)) <= 0.003 < vectors.missed(0.93, bits, vectors.bands_for(bits) - 1)
+    assert vectors.missed(0.96, 12, 24) == pytest.approx(0.00009, abs=5e-6)
+
+
 def test_lines_odd_rows(spark):
     line = "one two three four five six seven"
     rows = [(1, line), (2, line + "\nother"), (3, line), (None, line), (4, None), (4, ""), (1, line)]
