@@ -22,8 +22,11 @@ def _star(edges: DataFrame, mins: DataFrame) -> DataFrame:
     return edges.join(mins, F.col("u") == F.col("w"), "left").select("v", F.coalesce("m", "u").alias("m"))
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node hangs on one node only, and no node that others hang on hangs itself."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("hangs"), F.lit(0).alias("holds"))
+    ends = ends.unionAll(edges.select("v", F.lit(0), F.lit(1))).groupBy("node").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds"))
+    return ends.where("hangs > 1 or hangs > 0 and holds > 0").isEmpty()
 
 
 def connected_components(edges: DataFrame, tables: Scratch, name: str = "cc") -> DataFrame:
@@ -31,15 +34,14 @@ def connected_components(edges: DataFrame, tables: Scratch, name: str = "cc") ->
 
     ``edges`` has two columns of one integer type; loops, repeated edges and edges with a null end
     don't matter (a null end is no node; a node that has only loops isn't returned). Every round is
-    written to the shared folder; nothing but a count and a hash of the edges gets to the driver.
+    written to the shared folder; nothing but a count of the edges gets to the driver.
     """
     a, b = edges.columns
     own = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     own, k = tables.put(own, f"{name}-0"), 0
-    before, now = None, _state(own)
-    while now != before and now[0]:
+    while not _stars(own):
         k += 1
-        files = 1 + 2 * now[0] // FILE_ROWS
+        files = 1 + 2 * own.count() // FILE_ROWS
         put = lambda df, part: tables.put(df.coalesce(files), f"{name}-{k}{part}")  # noqa: B023, E731
         # large-star: the larger neighbours of each node get its least neighbour, or itself
         away = own.select(F.col("v").alias("u"), F.col("u").alias("v"))
@@ -51,5 +53,4 @@ def connected_components(edges: DataFrame, tables: Scratch, name: str = "cc") ->
         own = put(out.unionAll(mins.select("u", F.col("m").alias("v"))).distinct(), "")
         for old in (f"{name}-{k - 1}", *(f"{name}-{k}{part}" for part in ("-large-min", "-large", "-small-min"))):
             tables.drop(old)
-        before, now = now, _state(own)
     return own.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(own.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

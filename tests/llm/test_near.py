@@ -70,6 +70,28 @@ def test_minhash(spark, blocks, percent):
     assert len(links) > 20
 
 
+def test_minhash_large_groups(spark):
+    """Blocks of five: a group of near copies, chains whose ends are unlike, a family that is alike but not linked, a very long text."""
+    rng = np.random.default_rng(21)
+    base = prose(rng, 120).split()
+    docs = [(k, " ".join(w if i != 7 + k else f"e{k}" for i, w in enumerate(base))) for k in range(60)]
+    for c in range(2):
+        words = prose(rng, 150).split()
+        for k in range(25):
+            docs.append((100 + 50 * c + k, " ".join(words)))
+            words[5 * k : 5 * k + 2] = [f"c{c}k{k}a", f"c{c}k{k}b"]
+    family = prose(rng, 90)
+    docs += [(300 + k, f"{family} {prose(rng, 22)}") for k in range(30)]
+    docs += [(400, prose(rng, 150_000)), (401, None)]
+    docs.append((402, docs[-2][1] + " tail"))
+    sets = {i: shingles(t, 5) for i, t in docs}
+    links = [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    want = components(sets, links)
+    found = near.near_duplicates(documents(spark, docs), percent=85, block_docs=5).collect()
+    assert {r.doc_id: r.component_id for r in found} == want
+    assert len(set(want.values())) > 30 and len({want[k] for k in range(100, 125)}) == 1 == len({want[k] for k in range(60)})
+
+
 def test_minhash_odd_rows(spark):
     text = prose(np.random.default_rng(3), 50)
     rows = near.near_duplicates(documents(spark, [(5, text), (2, text), (2, text), (None, text), (7, None)])).collect()
