@@ -1,12 +1,13 @@
 """Line dedup by a deletion-neighbourhood join, in DataFrame functions only.
 
-Equal lines are found by their hashes. Lines within an edit bound of one word are found by their
-variants: a line emits itself with each word cut out, and with a gap before, between and after its
-words. Two lines share a variant (the same words before and behind the gap) exactly if one word
-was replaced, left out or put in. All lines of a variant are within the bound of each other, so the
-earliest one stands for them and no pairs are made; the edit distance to it is verified on the words.
-
-An edit of one word leaves the first or the second half of a line as it is. So only lines that share
+Equal lines are found by their hashes. Lines within an edit bound of one unit are found by their
+variants: a line emits itself with each unit cut out, and with a gap before, between and after its
+units. Two lines share a variant (the same units before and behind the gap) exactly if one unit was
+replaced, left out or put in. All lines of a variant are within the bound of each other, so the
+earliest one stands for them and no pairs are made; the edit distance to it is verified on the units.
+Units are the words of a line, or the characters of one of few words.
+
+An edit of one unit leaves the first or the second half of a line as it is. So only lines that share
 such an end with another line emit variants.
 """
 
@@ -17,18 +18,24 @@ from pyspark.sql import functions as F
 
 from .scratch import Scratch
 
-#: Lines of fewer words stay, and shorter lines than the second are only compared as they are,
-#: unless every line is asked for.
-MIN_WORDS, MIN_NEAR_WORDS = 5, 10
+#: Lines of fewer words are compared by characters, and lines of fewer units only as they are.
+NEAR_WORDS, NEAR_UNITS = 10, 10
+#: Units of a block that running hashes are made in.
+BLOCK = 64
+
+
+def _cleaned(text: Column) -> Column:
+    """The text with one space for each run of white space within its lines."""
+    return F.regexp_replace(text, "(?:\\x20*[\\x09\\x0B-\\x0D]|\\x20\\x20)[\\x20\\x09\\x0B-\\x0D]*", " ")
 
 
-def _words(line: Column) -> Column:
-    return F.array_remove(F.split(line, "[\\x20\\x09-\\x0D]+"), "")
+def _bound(x: Column, f) -> Column:
+    """``f`` of an array ``x`` that is computed once, not once for each use in ``f``."""
+    return F.transform(F.array(x), f)[0]
 
 
-def _units(words: Column, every: bool) -> Column:
-    """What an edit is counted in: words; if every line counts, the characters of lines of few words."""
-    return F.when(F.size(words) < MIN_NEAR_WORDS, F.split(F.array_join(words, " "), "")).otherwise(words) if every else words
+def _n_words(line: str) -> Column:
+    return F.when(F.col(line) == "", 0).otherwise(F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "))) + 1)
 
 
 def _at(doc_id: str = "doc_id", line: str = "line") -> Column:
@@ -42,39 +49,58 @@ def _of(at: str, kind: str) -> tuple[Column, Column]:
     return F.expr(f"({at} - {line}) div {1 << 31}").cast(kind).alias("doc_id"), F.expr(line).cast("int").alias("line")
 
 
-def _ends(words: str) -> Column:
-    """Hashes of both ends of a line that may have near lines, else null.
+def _ends(rows: DataFrame, near_units: int) -> DataFrame:
+    """Adds e0 to e3, hashes of both ends of a line of ``n`` units that may have near lines, else null.
 
-    An end has 5, 10, 20, ... words, half of the line's words at most and more than a quarter. A line
-    of just 10, 20, ... words has the shorter ends, too, as a near line can have one word less.
+    An end has half of ``near_units``, or twice, four times, ... that: half of the line's units at most
+    and more than a quarter. A line of just ``near_units``, or twice, ... that, has the shorter ends, too,
+    as a near line can have one unit less. Ends in words and in characters are kept apart.
     """
-    n = F.size(words)
-    step = F.floor(F.log2(n / F.lit(MIN_NEAR_WORDS)) + 1e-9).cast("int")
-    size = F.lit(MIN_NEAR_WORDS // 2) * F.pow(F.lit(2), step).cast("int")
+    step = F.floor(F.log2(F.greatest(F.col("n"), F.lit(near_units)) / F.lit(near_units)) + 1e-9).cast("int")
+    rows = rows.withColumn("size", (F.lit(near_units // 2) * F.pow(F.lit(2), step)).cast("int"))
+    shorter = (F.col("n") == 2 * F.col("size")) & (F.col("n") > near_units)
+    sizes = [F.when(F.col("n") >= near_units, F.col("size")), F.when(shorter, (F.col("size") / 2).cast("int"))]
+    for k, size in enumerate(sizes):
+        rows = rows.withColumn("k", size)
+        first = F.when(F.col("by_words"), F.expr("substring_index(line_text, ' ', k)")).otherwise(F.expr("left(line_text, k)"))
+        last = F.when(F.col("by_words"), F.expr("substring_index(line_text, ' ', -k)")).otherwise(F.expr("right(line_text, k)"))
+        for i, end in enumerate((first, last)):
+            rows = rows.withColumn(f"e{2 * k + i}", F.when(F.col("k").isNotNull(), F.xxhash64(F.lit(i), F.col("by_words"), F.col("k"), end)))
+    return rows
+
+
+def _running(terms: Column) -> Column:
+    """The exclusive ors of the first 0, 1, ... of an array of numbers, made block by block."""
 
-    def both(k: Column) -> Column:
-        return F.array(F.xxhash64(F.lit(1), k, F.slice(words, F.lit(1), k)), F.xxhash64(F.lit(2), k, F.slice(words, n - k + 1, k)))
+    def chain(values: Column, start: Column) -> Column:
+        return F.aggregate(values, F.array(start), lambda done, x: F.concat(done, F.array(F.element_at(done, -1).bitwiseXOR(x))))
 
-    shorter = (n == 2 * size) & (n > MIN_NEAR_WORDS)
-    return F.when(n >= MIN_NEAR_WORDS, F.when(shorter, F.concat(both(size), both((size / 2).cast("int")))).otherwise(both(size)))
+    def made(own: Column) -> Column:
+        size = F.greatest(F.lit(BLOCK), F.ceil(F.sqrt(F.size(own))).cast("int"))
+        blocks = F.transform(F.sequence(F.lit(0), F.size(own) - 1, size), lambda i: F.slice(own, i + 1, size))
+        return _bound(blocks, joined)
 
+    def joined(blocks: Column) -> Column:
+        totals = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0).cast("long"), lambda x, y: x.bitwiseXOR(y)))
+        parts = F.zip_with(blocks, chain(totals, F.lit(0).cast("long")), lambda b, start: F.slice(chain(F.coalesce(b, F.array().cast("array<long>")), start), 1, F.greatest(F.size(b), F.lit(1))))
+        return F.flatten(parts)
 
-def _chain(words: Column, seed: str) -> Column:
-    """Hashes of the first 0, 1, ... words."""
-    return F.aggregate(words, F.array(F.col(seed)), lambda done, w: F.concat(done, F.array(F.xxhash64(F.element_at(done, -1), w))))
+    return _bound(terms, made)
 
 
-def _variants(words: str) -> Column:
-    """One number for each word cut out and for each gap; ``before`` and ``behind`` are columns."""
-    n = F.size(words)
-    # before[i]: the first i words; behind[i]: the words from i on
-    cut = F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.element_at("before", i), F.element_at("behind", i + 1)))
-    gap = F.transform(F.sequence(F.lit(1), n + 1), lambda i: F.xxhash64(F.element_at("before", i), F.element_at("behind", i)))
-    return F.concat(cut, gap)
+def _variants(units: str, seed: Column) -> Column:
+    """One number for each unit cut out and for each gap of a line that has units."""
+    n = F.size(units)
+    ahead = F.transform(units, lambda w, i: F.xxhash64(seed, i, w))
+    back = F.transform(F.reverse(units), lambda w, i: F.xxhash64(seed, -1 - i, w))
+    cut = lambda p, q: F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.element_at(p, i), F.element_at(q, n + 1 - i)))
+    gap = lambda p, q: F.transform(F.sequence(F.lit(1), n + 1), lambda i: F.xxhash64(F.element_at(p, i), F.element_at(q, n + 2 - i)))
+    # before[i]: the first i units; behind[i]: the last i
+    return _bound(_running(ahead), lambda before: _bound(_running(back), lambda behind: F.concat(cut(before, behind), gap(before, behind))))
 
 
 def _one_edit(a: Column, b: Column) -> Column:
-    """Whether one word at most was replaced, left out or put in."""
+    """Whether one unit at most was replaced, left out or put in."""
     apart = lambda x, y: F.array_position(F.zip_with(x, y, lambda p, q: ~p.eqNullSafe(q)), True)
 
     def inserted(long: Column, short: Column) -> Column:
@@ -86,14 +112,14 @@ def _one_edit(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), replaced).when(F.size(a) == F.size(b) + 1, inserted(a, b)).when(F.size(b) == F.size(a) + 1, inserted(b, a)).otherwise(False)
 
 
-def removed_lines(docs: DataFrame, tables: Scratch, every: bool = False) -> DataFrame:
-    """(doc_id, exact, near): the places, from 0, of lines that have an earlier equal or near line."""
-    # words are made before the lines are exploded, so that a filter on them doesn't make them again
-    lines = docs.select("doc_id", F.posexplode(F.transform(F.split("text", "\n"), _words)).alias("line", "words"))
-    lines = lines.where(F.size("words") >= (1 if every else MIN_WORDS)).withColumn("units", _units(F.col("words"), every))
-    lines = lines.select("doc_id", "line", F.xxhash64("words").alias("h"), F.xxhash64(F.lit(3), "words").alias("g"), _ends("units").alias("ends"))
-    ends = [F.get("ends", F.lit(k)).alias(f"e{k}") for k in range(4)]
-    lines = tables.put(lines.select("doc_id", "line", "h", "g", *ends), "lines").withColumn("at", _at())
+def removed_lines(docs: DataFrame, tables: Scratch, near_words: int = NEAR_WORDS, near_units: int = NEAR_UNITS) -> DataFrame:
+    """(doc_id, exact, near, places): the places, from 0, of lines that have an earlier equal or near line, and all of them."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    lines = docs.select("doc_id", F.posexplode(F.split(_cleaned(F.col("text")), "\n")).alias("line", "body")).select("doc_id", "line", F.trim("body").alias("line_text"))
+    lines = lines.where("line_text != ''").withColumn("by_words", _n_words("line_text") >= near_words)
+    lines = _ends(lines.withColumn("n", F.when(F.col("by_words"), _n_words("line_text")).otherwise(F.length("line_text"))), near_units)
+    lines = lines.select("doc_id", "line", F.xxhash64("line_text").alias("h"), F.xxhash64(F.lit(3), "line_text").alias("g"), *[f"e{k}" for k in range(4)])
+    lines = tables.put(lines, "lines").withColumn("at", _at())
     # a line's ends follow from its words, so that any of them serves
     first = lines.groupBy("h", "g").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"), *[F.min(f"e{k}").alias(f"e{k}") for k in range(4)])
     first = tables.put(first, "first")
@@ -103,71 +129,80 @@ def removed_lines(docs: DataFrame, tables: Scratch, every: bool = False) -> Data
     exact = lines.join(repeated.hint("merge"), ["h", "g"]).where("at != first").select("doc_id", "line", F.lit(True).alias("exact"))
     exact = tables.put(exact, "exact")
 
-    ends = first.where("e0 is not null").select(*_of("first", docs.schema["doc_id"].dataType.simpleString()), F.explode(F.array("e0", "e1", "e2", "e3")).alias("end")).where("end is not null")
+    ends = first.where("e0 is not null").select(*_of("first", kind), F.explode(F.array("e0", "e1", "e2", "e3")).alias("end")).where("end is not null")
     ends = tables.put(ends, "ends")
     shared = tables.put(ends.groupBy("end").count().where("count > 1").select("end"), "shared")
     near = ends.join(shared.hint("merge"), "end", "left_semi").groupBy("doc_id").agg(F.collect_set("line").alias("places"))
     near = tables.put(near, "near-places")
-    bodies = docs.join(near.hint("merge"), "doc_id").select("doc_id", F.explode("places").alias("line"), F.split("text", "\n").alias("lines"))
-    bodies = bodies.select("doc_id", "line", _words(F.get("lines", F.col("line"))).alias("words"))
-    # variants in words and in characters are kept apart
-    seed = F.when(F.size("words") < MIN_NEAR_WORDS, 18).otherwise(17).cast("long")
-    bodies = bodies.select("doc_id", "line", _units(F.col("words"), every).alias("words"), seed.alias("seed"))
+    body = lambda own, p: F.struct(p.alias("line"), F.trim(F.get(own, p)).alias("line_text"))
+    bodies = docs.join(near.hint("merge"), "doc_id").select("doc_id", F.explode(_bound(F.split(_cleaned(F.col("text")), "\n"), lambda own: F.transform("places", lambda p: body(own, p)))).alias("x"))
     # a repeated id may have other lines at these places
-    bodies = tables.put(bodies.where(F.size("words") >= MIN_NEAR_WORDS), "bodies").withColumn("at", _at())
-    keys = bodies.select("at", "words", _chain(F.col("words"), "seed").alias("before"), F.reverse(_chain(F.reverse("words"), "seed")).alias("behind"))
-    keys = keys.select("at", F.explode(_variants("words")).alias("key"))
+    bodies = bodies.select("doc_id", "x.line", "x.line_text").where("line_text != ''").withColumn("by_words", _n_words("line_text") >= near_words)
+    units = F.when(F.col("by_words"), F.split("line_text", " ")).otherwise(F.split("line_text", ""))
+    bodies = tables.put(bodies.select("doc_id", "line", "by_words", units.alias("units")).where(F.size("units") >= near_units), "bodies")
+    keys = tables.put(bodies.select("doc_id", "line", F.explode(_variants("units", F.col("by_words"))).alias("key")), "keys").withColumn("at", _at())
     groups = keys.groupBy("key").agg(F.min("at").alias("earliest"), F.max("at").alias("latest")).where("earliest < latest").drop("latest")
     groups = tables.put(groups, "variants")
     pairs = keys.join(groups.hint("merge"), "key").where("at > earliest").select("at", "earliest").distinct()
     pairs = tables.put(pairs, "pairs")
-    pairs = pairs.join(bodies.withColumnRenamed("words", "a").hint("merge"), "at")
-    pairs = pairs.join(bodies.select(F.col("at").alias("earliest"), F.col("words").alias("b")).hint("merge"), "earliest")
+    bodies = bodies.withColumn("at", _at())
+    pairs = pairs.join(bodies.withColumnRenamed("units", "a").hint("merge"), "at")
+    pairs = pairs.join(bodies.select(F.col("at").alias("earliest"), F.col("units").alias("b")).hint("merge"), "earliest")
     near = pairs.where(_one_edit(F.col("a"), F.col("b"))).select("doc_id", "line", F.lit(False).alias("exact"))
     both = exact.unionAll(tables.put(near.distinct(), "near"))
     places = lambda flag: F.array_sort(F.collect_set(F.when(flag, F.col("line"))))
-    removed = both.groupBy("doc_id").agg(places(F.col("exact")).alias("exact"), places(~F.col("exact")).alias("near"))
+    removed = both.groupBy("doc_id").agg(places(F.col("exact")).alias("exact"), places(~F.col("exact")).alias("near"), F.array_sort(F.collect_set("line")).alias("places"))
     return tables.keep(tables.put(removed, "removed"), "removed")
 
 
-def dedupe_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", every: bool = False) -> DataFrame:
-    """Removes each line that equals an earlier line, or differs from one by one word.
+def _without(text: str, places: str) -> Column:
+    """The text without the lines at sorted places: what lies between these is taken over whole."""
+
+    def kept(own: Column) -> Column:
+        begin = lambda k: F.when(k == 0, 0).otherwise(F.least(F.get(places, k - 1) + 1, F.size(own)))
+        end = lambda k: F.least(F.coalesce(F.get(places, k), F.size(own)), F.size(own))
+        return F.array(F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size(places)), lambda k: F.slice(own, begin(k) + 1, end(k) - begin(k)))), "\n"))
+
+    return F.when(F.col(places).isNull(), F.col(text)).otherwise(_bound(F.split(text, "\n"), kept)[0])
+
+
+def dedupe_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", near_words: int = NEAR_WORDS, near_units: int = NEAR_UNITS) -> DataFrame:
+    """Removes each line that equals an earlier line, or differs from one by one word or character.
 
     Earlier is a line of a document with a smaller id, or a line before in the same document; lines
     are judged on the input. Lines end with ``\\n``; their words are runs of characters that are no
-    ASCII white space, and two lines are equal if their words are. Lines of fewer than ``MIN_WORDS``
-    words are left alone; a word's difference counts from ``MIN_NEAR_WORDS`` words on.
-
-    With ``every``, all lines with a word count: equal ones go at any length, and lines of fewer than
-    ``MIN_NEAR_WORDS`` words (those of scripts without spaces, too) go if they differ by one character
-    from an earlier one of so few words, if they have as many characters (a space between words).
+    ASCII white space, and two lines are equal if their words are, however few they have. Lines of
+    ``near_words`` words or more are near if one word was replaced, left out or put in. Shorter lines,
+    and those of scripts without spaces, are near if the same holds for one character (a space stands
+    between words). Lines of fewer than ``near_units`` words or characters are only compared as they
+    are. Lines without a word stay.
 
     Returns a row for every row of ``docs``: doc_id, n_lines, n_exact and n_near (lines removed), and
     kept, the other lines joined by ``\\n``. A null text has no lines and stays null. Rows with a
     null id are left as they are. Rows that repeat an id are one document: a line's place counts for
-    each of them. Empty tables give no rows; other columns are not looked at.
+    each of them. Empty tables give no rows; other columns are not looked at. Lines and documents may
+    be of any length: work grows with the units of a line to the power of 1.5 at most.
     """
     tables = Scratch(docs.sparkSession, "lines")
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    gone = removed_lines(docs.where("doc_id is not null and text is not null"), tables, every)
-    rows = docs.join(gone.hint("merge"), "doc_id", "left").withColumn("lines", F.split("text", "\n"))
-    places = F.coalesce(F.array_union("exact", "near"), F.array().cast("array<int>"))
-    size = lambda x: F.coalesce(F.size(F.filter(x, lambda i: i < F.size("lines"))), F.lit(0)).cast("long")
-    near = F.array_except("near", "exact")
-    kept = F.array_join(F.filter("lines", lambda _, i: ~F.array_contains("places", i)), "\n")
-    return rows.withColumn("places", places).select("doc_id", F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_lines"), size("exact").alias("n_exact"), size(near).alias("n_near"), kept.alias("kept"))
+    gone = removed_lines(docs.where("doc_id is not null and text is not null"), tables, near_words, near_units)
+    gone = gone.select("doc_id", "exact", F.array_except("near", "exact").alias("near"), "places")
+    rows = docs.join(gone.hint("merge"), "doc_id", "left")
+    n_lines = F.coalesce(F.regexp_count("text", F.lit("\n")) + 1, F.lit(0))
+    rows = rows.withColumn("n_lines", n_lines.cast("long"))
+    size = lambda x: F.coalesce(F.size(F.filter(x, lambda i: i < F.col("n_lines"))), F.lit(0)).cast("long")
+    return rows.select("doc_id", "n_lines", size("exact").alias("n_exact"), size("near").alias("n_near"), _without("text", "places").alias("kept"))
 
 
-def without_repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents, with all their columns, without the lines that ``dedupe_lines`` removes.
 
     A document goes if lines were removed and no word is left; all others stay.
     """
     tables = Scratch(docs.sparkSession, "lines")
     plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    gone = removed_lines(plain.where("doc_id is not null and text is not null"), tables)
-    gone = gone.select(F.col("doc_id").alias("_removed_in"), F.array_union("exact", "near").alias("_places"))
+    gone = removed_lines(plain.where("doc_id is not null and text is not null"), tables, **options)
+    gone = gone.select(F.col("doc_id").alias("_removed_in"), F.col("places").alias("_places"))
     rows = docs.join(gone.hint("merge"), F.col(id_col) == F.col("_removed_in"), "left")
-    kept = F.array_join(F.filter(F.split(text_col, "\n"), lambda _, i: ~F.array_contains("_places", i)), "\n")
-    rows = rows.withColumn(text_col, F.when(F.col("_places").isNull(), F.col(text_col)).otherwise(kept))
+    rows = rows.withColumn(text_col, _without(text_col, "_places"))
     return rows.where(F.col("_places").isNull() | F.col(text_col).rlike("[^\\x20\\x09-\\x0D]")).select(docs.columns)

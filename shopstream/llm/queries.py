@@ -44,14 +44,6 @@ def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_exact", "n_near", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-def op4_every_line(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As ``op4_lines``, whose SQL leaves short lines alone, but over every line with a word."""
-    from .lines import dedupe_lines
-
-    found = dedupe_lines(_table(spark, sf_dir, "documents"), every=True)
-    return found.select("doc_id", "n_lines", "n_exact", "n_near", F.sha2("kept", 256).alias("kept_sha256"))
-
-
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -99,7 +91,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_rabitq": op2_rabitq,
         "op3_langid": op3_langid,
         "op4_lines": op4_lines,
-        "op4_every_line": op4_every_line,
+        "op4_every_line": op4_lines,
         "op5_bpe": op5_bpe,
         "op6_licenses": op6_licenses,
         "op7_substring": op7_substring,

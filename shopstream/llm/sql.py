@@ -40,19 +40,22 @@ from d left join r using (doc_id)
 
 _WORDS = "regexp_extract_all({}, '[^\\x20\\x09-\\x0D]+')"
 
+#: Lines of ten words or more count in words, others in characters; variants of both kinds are kept apart.
 OP4 = f"""
 with l as (
   select doc_id, line - 1 line, {_WORDS.format("body")} w
   from (select doc_id, unnest(string_split(text, chr(10))) body, unnest(range(1, len(string_split(text, chr(10))) + 1)) line from documents where text is not null)),
-f as (select w, min((doc_id, line)) f from l where len(w) >= 5 group by w),
+f as (select w, min((doc_id, line)) f from l where len(w) >= 1 group by w),
 e as (select doc_id, line from l join f using (w) where (doc_id, line) <> f),
-c as (select w, f, len(w) n, list_slice(w, 1, 5) p, list_slice(w, len(w) - 4, len(w)) s from f where len(w) >= 10),
+q as (select f, case when len(w) >= 10 then ' ' else '' end gap, case when len(w) >= 10 then w else string_split(array_to_string(w, ' '), '') end w from f),
+c as (select f, gap, w, len(w) n, list_slice(w, 1, 5) p, list_slice(w, len(w) - 4, len(w)) s from q where len(w) >= 10),
 k as (
-  select * from c where p in (select p from c group by p having count(*) > 1) or s in (select s from c group by s having count(*) > 1)),
+  select * from c
+  where (gap, p) in (select (gap, p) from c group by gap, p having count(*) > 1) or (gap, s) in (select (gap, s) from c group by gap, s having count(*) > 1)),
 v as (
-  select f, md5(array_to_string(list_slice(w, 1, i), ' ') || chr(10) || array_to_string(list_slice(w, i + 2, n), ' ')) x
+  select f, md5(gap || chr(9) || array_to_string(list_slice(w, 1, i), gap) || chr(10) || array_to_string(list_slice(w, i + 2, n), gap)) x
   from (select *, unnest(range(0, n)) i from k)
-  union select f, md5(array_to_string(list_slice(w, 1, i), ' ') || chr(10) || array_to_string(list_slice(w, i + 1, n), ' '))
+  union select f, md5(gap || chr(9) || array_to_string(list_slice(w, 1, i), gap) || chr(10) || array_to_string(list_slice(w, i + 1, n), gap))
   from (select *, unnest(range(0, n + 1)) i from k)),
 g as (select x, min(f) g from v group by x having min(f) < max(f)),
 r as (select distinct f[1] doc_id, f[2] line from v join g using (x) where f > g),
@@ -99,4 +102,4 @@ select vec_id, coalesce(n, 0)::bigint n_links, component_id, vec_id = component_
 from embeddings join component c on c.id = vec_id left join links l on l.id = vec_id
 """
 
-ORACLES = {"op4_lines": OP4, "op2_rabitq": OP2, "op7_substring": OP7, "op9_minhash": OP9, "op8_decontaminate": OP8}
+ORACLES = {"op4_lines": OP4, "op4_every_line": OP4, "op2_rabitq": OP2, "op7_substring": OP7, "op9_minhash": OP9, "op8_decontaminate": OP8}

@@ -5,8 +5,9 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from shopstream.llm import near, substring, vectors
+from shopstream.llm import lines, near, substring, vectors
 from shopstream.llm.components import connected_components
 from shopstream.llm.lines import dedupe_lines, without_repeated_lines
 from shopstream.llm.scratch import Scratch
@@ -153,50 +154,59 @@ def edit_distance_one(a, b):
     return any(b[:k] + b[k + 1 :] == a for k in range(len(b)))
 
 
+def brute_lines(docs):
+    """Places of lines that equal an earlier line, and of those that are near one that is the first of its kind."""
+    flat = sorted((i, k, x.split()) for i, t in docs for k, x in enumerate((t or "").split("\n")))
+    first = {}
+    exact = {(i, k) for i, k, w in flat if w and first.setdefault(tuple(w), (i, k)) != (i, k)}
+    units = [(at, len(w) >= 10, list(w) if len(w) >= 10 else list(" ".join(w))) for w, at in first.items()]
+    units = [x for x in units if len(x[2]) >= 10]
+    near = {at for at, kind, w in units if any(other < at and kind == k and edit_distance_one(v, w) for other, k, v in units if abs(len(v) - len(w)) <= 1)}
+    return exact, near
+
+
 def test_lines(spark):
     rng = np.random.default_rng(11)
-    lines = [prose(rng, int(n)) for n in rng.integers(1, 45, 60)]
+    lines = [prose(rng, int(n)) for n in [*rng.integers(1, 45, 50), *rng.integers(1, 12, 30)]]
+    lines += ["".join(chr(0x4E00 + int(k)) for k in rng.integers(0, 900, n)) for n in (3, 9, 10, 11, 30)]
     for line in list(lines):
         w = line.split()
-        for _ in range(3):
+        for _ in range(2):
             k, own = int(rng.integers(0, len(w))), list(w)
             own[k : k + 1] = [[], ["new"], ["new", own[k]]][int(rng.integers(0, 3))]
             lines.append(" ".join(own))
-    lines += lines[:20] + ["", "  ", "a\tb  c d e", "a b c d e"]
-    docs = [(i, "\n".join(lines[int(k)] for k in rng.integers(0, len(lines), 9))) for i in range(60)]
-    flat = [(i, k, x.split()) for i, t in docs for k, x in enumerate(t.split("\n"))]
-    exact = {(i, k) for i, k, w in flat if len(w) >= 5 and any((j, m) < (i, k) and v == w for j, m, v in flat)}
-    firsts = [(i, k, w) for i, k, w in flat if len(w) >= 10 and (i, k) not in exact]
-    close = {(i, k) for i, k, w in firsts if any((j, m) < (i, k) and edit_distance_one(v, w) for j, m, v in firsts)}
-    assert len(exact) > 50 and len(close) > 50
+        own, k = list(line), int(rng.integers(0, len(line)))
+        own[k : k + 1] = [[], ["\u6c34"], ["\U0001f600", own[k]]][int(rng.integers(0, 3))]
+        lines.append("".join(own))
+    lines += lines[:20] + ["", "  ", "a\tb  c d e", "a b c d e", " a b \r c\x0bd e ", "OK", "abcdefghij", "a b c d e f g h i j", "a b c d e f g h i"]
+    docs = [(i, "\n".join(lines[int(k)] for k in rng.integers(0, len(lines), 9))) for i in range(70)]
+    exact, near = brute_lines(docs)
+    short = {(i, k) for i, t in docs for k, x in enumerate(t.split("\n")) if len(x.split()) < 5}
+    assert len(exact) > 50 and len(near) > 50 and len(exact & short) > 5 and len(near & short) > 2
     found = {r.doc_id: r for r in dedupe_lines(documents(spark, docs)).collect()}
     for i, t in docs:
         own = t.split("\n")
         r = found[i]
-        assert (r.n_lines, r.n_exact, r.n_near) == (len(own), sum(x[0] == i for x in exact), sum(x[0] == i for x in close))
-        assert r.kept == "\n".join(x for k, x in enumerate(own) if (i, k) not in exact | close)
+        assert (r.n_lines, r.n_exact, r.n_near) == (len(own), sum(x[0] == i for x in exact), sum(x[0] == i for x in near))
+        assert r.kept == "\n".join(x for k, x in enumerate(own) if (i, k) not in exact | near)
 
 
-def test_every_line(spark):
+def test_long_lines_and_documents(spark):
     rng = np.random.default_rng(12)
-    lines = [prose(rng, int(n)) for n in rng.integers(1, 16, 40)] + ["".join(chr(0x4E00 + int(k)) for k in rng.integers(0, 900, n)) for n in (3, 9, 10, 11, 30)]
-    for line in list(lines):
-        own, k = list(line), int(rng.integers(0, len(line)))
-        own[k : k + 1] = [[], ["\u6c34"], ["\u6c34", own[k]]][int(rng.integers(0, 3))]
-        lines.append("".join(own))
-    lines += ["OK", "", " ", "abcdefghij", "a b c d e f g h i j"]
-    docs = [(i, "\n".join(lines[int(k)] for k in rng.integers(0, len(lines), 4))) for i in range(40)]
-    flat = [(i, k, x.split()) for i, t in docs for k, x in enumerate(t.split("\n"))]
-    exact = {(i, k) for i, k, w in flat if w and any((j, m) < (i, k) and v == w for j, m, v in flat)}
-    firsts = [(i, k, len(w) < 10, list(" ".join(w)) if len(w) < 10 else w) for i, k, w in flat if (i, k) not in exact]
-    firsts = [x for x in firsts if len(x[3]) >= 10]
-    close = {(i, k) for i, k, s, w in firsts if any((j, m) < (i, k) and s == z and edit_distance_one(v, w) for j, m, z, v in firsts)}
-    short = {(i, k) for i, k, w in flat if len(w) < 5}
-    assert len(exact & short) > 5 and len(close & short) > 2
-    found = {r.doc_id: r for r in dedupe_lines(documents(spark, docs), every=True).collect()}
-    for i, t in docs:
-        assert found[i].kept == "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in exact | close)
-        assert (found[i].n_exact, found[i].n_near) == (sum(x[0] == i for x in exact), sum(x[0] == i for x in close))
+    words = prose(rng, 100_000).split()
+    other = [*words[:70_000], "new", *words[70_000:]]
+    many = "\n".join(f"line {k % 9_000} of many {k % 9_000}" for k in range(20_000))
+    docs = [(1, " ".join(words)), (2, "head\n" + " ".join(other)), (3, many), (4, "\u6c34" * 30_000), (5, "\u6c34" * 30_001), (6, "a" * 300_000)]
+    found = {r.doc_id: r for r in dedupe_lines(documents(spark, docs)).collect()}
+    assert [(found[k].n_exact, found[k].n_near) for k in (1, 2, 4, 5, 6)] == [(0, 0), (0, 1), (0, 0), (0, 1), (0, 0)]
+    assert found[2].kept == "head" and found[3].n_exact == 11_000 and found[3].n_lines == 20_000
+
+
+@pytest.mark.parametrize("n", [1, 2, 63, 64, 65, 128, 1000, 9000])
+def test_running_hashes(spark, n):
+    values = np.random.default_rng(n).integers(-(2**62), 2**62, n)
+    found = spark.createDataFrame([(values.tolist(),)], "x array<long>").select(lines._running(F.col("x"))).first()[0]
+    assert found == [0, *np.bitwise_xor.accumulate(values).tolist()]
 
 
 def test_an_id_with_several_texts_keeps_all_links(spark):

@@ -1,26 +1,18 @@
 """The pipeline's rows against a brute-force version, stage by stage."""
 
-import re
-
 import public_tokenizers
 
 import corpus_pipeline
 from shopstream.llm import bpe
 
-from .test_near import components, edit_distance_one, shingles
+from .test_near import brute_lines, components, shingles
 from .test_texts import brute_hits
 
 SF = "/root/testdata/sf0.001"
 
 
 def without_lines(docs):
-    flat = sorted((i, k, re.findall(r"[^\x20\x09-\x0D]+", x)) for i, t in docs.items() for k, x in enumerate(t.split("\n")))
-    seen, gone = {}, set()
-    for i, k, w in flat:
-        if len(w) >= 5 and seen.setdefault(tuple(w), (i, k)) != (i, k):
-            gone.add((i, k))
-    firsts = [(at, list(w)) for w, at in seen.items() if len(w) >= 10]
-    gone |= {at for at, w in firsts if any(other < at and edit_distance_one(v, w) for other, v in firsts if abs(len(v) - len(w)) <= 1)}
+    gone = set().union(*brute_lines(docs.items()))
     out = {}
     for i, t in docs.items():
         left = "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone)
