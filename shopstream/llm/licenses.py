@@ -15,6 +15,8 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .arrays import begins, bound, running
+
 #: Characters of words and of what is between them; A-Z count as a-z, so regexes ignore ASCII case.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -130,6 +132,10 @@ SENTENCES = {
 GATE = {"licen", "spdx", "creative", *map(keyword, SENTENCES.values())}
 
 
+#: Of rules, the best one first.
+PRIORITIES = 1, 2, 3, 4
+
+
 def rules() -> list[Rule]:
     """All rules in order: tags (1), sentences and names with a version (2), names alone (3), hints (4)."""
     out = [Rule(label, keyword(words), phrase(words), 3) for words, label in BASE.items()]
@@ -162,12 +168,43 @@ def rules() -> list[Rule]:
     return out
 
 
-def _places(text: Column, regex: Column) -> Column:
-    """Begin and length of each match, in characters from 0."""
+def _places(text: Column, rule: Column) -> Column:
+    """begin, end (in characters from 0), priority and label of each match of a rule."""
+    regex = rule["regex"]
     found, between = F.regexp_extract_all(text, regex, F.lit(0)), F.split(text, regex, -1)
-    sizes = F.zip_with(F.slice(between, 1, F.size(found)), found, lambda x, m: F.struct(F.length(x).alias("gap"), F.length(m).alias("size")))
-    total = lambda n: F.aggregate(F.slice(sizes, 1, n), F.lit(0), lambda acc, s: acc + s["gap"] + s["size"])
-    return F.transform(sizes, lambda s, i: F.struct((total(i) + s["gap"]).alias("begin"), s["size"].alias("size")))
+    sizes = F.zip_with(found, between, lambda m, x: F.struct(F.length(x).alias("gap"), F.length(m).alias("size")))  # the last gap has no match
+    steps = lambda own: F.transform(own, lambda s: (s["gap"] + F.coalesce(s["size"], F.lit(0))).cast("long"))
+    sums = lambda own: running(steps(own), lambda x, y: x + y, F.lit(0).cast("long"))
+    place = lambda s, at: F.struct((at + s["gap"]).cast("int").alias("begin"), (at + s["gap"] + s["size"]).cast("int").alias("end"), rule["priority"].alias("priority"), rule["label"].alias("label"))
+    placed = lambda own: F.zip_with(F.slice(own, 1, F.size(own) - 1), F.slice(sums(own), 1, F.size(own) - 1), place)
+    return bound(sizes, placed)
+
+
+def _not_suppressed(rows: DataFrame) -> DataFrame:
+    """Adds detections (begin, end, label): those of ``found`` that no other one suppresses.
+
+    Sorted by begin and, the longest first, by end, whatever holds a detection comes before it. So one is
+    suppressed if the largest end before it, among those of its priority or a better one, reaches its own
+    end. Detections of one place and priority stand or fall together.
+    """
+    rows = rows.withColumn("sorted", F.array_sort(F.transform("found", lambda d: F.struct(d["begin"].alias("begin"), (-d["end"]).alias("back"), d["priority"].alias("priority"), d["label"].alias("label")))))
+    rows = rows.withColumn("begins", begins("sorted", lambda x, y: (x["begin"] == y["begin"]) & (x["back"] == y["back"]) & (x["priority"] == y["priority"])))
+    rows = rows.withColumn("tops", F.transform("begins", lambda i: F.get("sorted", i)))
+
+    def reach(p: int) -> Column:
+        ends = F.transform("tops", lambda t: F.when(t["priority"] <= p, -t["back"]).otherwise(-1).cast("long"))
+        return running(ends, lambda x, y: F.greatest(x, y), F.lit(-1).cast("long"))
+
+    def left_over(reaches: Column) -> Column:
+        return F.transform("tops", lambda t, k: F.when(F.get(F.get(reaches, t["priority"] - 1), k) < -t["back"], k))
+
+    # bound: within a function of elements a column that is used once would be computed for each of them
+    rows = rows.withColumn("left", bound(F.array(*map(reach, PRIORITIES)), left_over))
+    group = lambda k: F.slice("sorted", F.get("begins", k) + 1, F.coalesce(F.get("begins", k + 1), F.size("sorted")) - F.get("begins", k))
+    left = F.flatten(F.transform(F.filter("left", lambda k: k.isNotNull()), group))
+    rows = rows.withColumn("left", F.array_sort(F.transform(left, lambda d: F.struct(d["begin"].alias("begin"), (-d["back"]).alias("end"), d["label"].alias("label")))))
+    rows = rows.withColumn("detections", F.transform(begins("left", lambda x, y: x == y), lambda i: F.get("left", i)))
+    return rows.drop("sorted", "begins", "tops", "left")
 
 
 def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -179,7 +216,8 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     and end in characters, label) and score, n / (n + 1) of n places and other detections.
 
     A null text counts as empty: no words, no labels, score 0. Ids may be null or repeat; other
-    columns are not looked at.
+    columns are not looked at. Texts may be of any length: work is nearly linear in it and in the
+    number of detections.
     """
     own = rules()
     table = F.array(*[F.struct(F.lit(r.label).alias("label"), F.lit(r.keyword).alias("keyword"), F.lit(r.regex).alias("regex"), F.lit(r.priority).alias("priority")) for r in own])
@@ -189,18 +227,14 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     low = F.col("low")
     gate = reduce(or_, [F.contains(low, F.lit(k)) for k in sorted(GATE)]) | (F.contains(low, F.lit("cc")) & F.col("text").rlike(rf"(?i)(?<!{WORD})cc{GAP}by(?!{WORD})"))
     picked = F.filter(table, lambda r: F.contains(low, r["keyword"]) & F.rlike("text", r["regex"]))
-    places = lambda r: F.transform(_places(F.col("text"), r["regex"]), lambda p: F.struct(p["begin"].alias("begin"), (p["begin"] + p["size"]).alias("end"), r["priority"].alias("priority"), r["label"].alias("label")))
-    found = F.flatten(F.transform(picked, places))
+    found = F.flatten(F.transform(picked, lambda r: _places(F.col("text"), r)))
     none = F.array().cast("array<struct<begin:int,end:int,priority:int,label:string>>")
     rows = docs.withColumn("low", F.lower("text")).withColumn("gated", gate)
     rows = rows.select("doc_id", "text", F.regexp_count("text", F.lit(f"{WORD}+")).cast("long").alias("n_words"), F.when(F.col("gated"), found).otherwise(none).alias("found"))
     base = F.array(*[F.lit(x) for x in BASE.values()])
     rows = rows.withColumn("base", F.filter("found", lambda d: F.array_contains(base, d["label"])))
-    better = lambda d, e: (e["begin"] <= d["begin"]) & (e["end"] >= d["end"]) & ((e["priority"] < d["priority"]) | ((e["priority"] == d["priority"]) & (e["end"] - e["begin"] > d["end"] - d["begin"])))
-    left = F.filter("found", lambda d: ~F.exists("found", lambda e: better(d, e)))
-    left = F.array_sort(F.array_distinct(F.transform(left, lambda d: F.struct(d["begin"].alias("begin"), d["end"].alias("end"), d["label"].alias("label")))))
-    rows = rows.withColumn("detections", F.when(F.size("found") > 0, left).otherwise(F.array().cast("array<struct<begin:int,end:int,label:string>>")))
-    begins = F.transform("base", lambda d: d["begin"])
+    rows = _not_suppressed(rows)
+    starts = F.transform("base", lambda d: d["begin"])
     words = lambda n: F.regexp_count(F.substring("text", F.lit(1), n), F.lit(f"{WORD}+")).cast("long")
     names = lambda x: F.array_sort(F.array_distinct(F.transform(x, lambda d: d["label"])))
     n = F.size("base") + F.size(F.filter("detections", lambda d: ~F.array_contains(base, d["label"])))
@@ -208,8 +242,8 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
         "doc_id",
         "n_words",
         F.size("base").cast("long").alias("n_base"),
-        F.when(F.size("base") > 0, words(F.array_min(begins))).alias("first_word"),
-        F.when(F.size("base") > 0, words(F.array_max(begins))).alias("last_word"),
+        F.when(F.size("base") > 0, words(F.array_min(starts))).alias("first_word"),
+        F.when(F.size("base") > 0, words(F.array_max(starts))).alias("last_word"),
         names("base").alias("base_labels"),
         F.array_sort(F.array_union(names("base"), names("detections"))).alias("labels"),
         "detections",

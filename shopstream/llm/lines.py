@@ -16,12 +16,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .arrays import bound, running
 from .scratch import Scratch
 
 #: Lines of fewer words are compared by characters, and lines of fewer units only as they are.
 NEAR_WORDS, NEAR_UNITS = 10, 10
-#: Units of a block that running hashes are made in.
-BLOCK = 64
 
 
 def _cleaned(text: Column) -> Column:
@@ -29,11 +28,6 @@ def _cleaned(text: Column) -> Column:
     return F.regexp_replace(text, "(?:\\x20*[\\x09\\x0B-\\x0D]|\\x20\\x20)[\\x20\\x09\\x0B-\\x0D]*", " ")
 
 
-def _bound(x: Column, f) -> Column:
-    """``f`` of an array ``x`` that is computed once, not once for each use in ``f``."""
-    return F.transform(F.array(x), f)[0]
-
-
 def _n_words(line: str) -> Column:
     return F.when(F.col(line) == "", 0).otherwise(F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "))) + 1)
 
@@ -69,25 +63,6 @@ def _ends(rows: DataFrame, near_units: int) -> DataFrame:
     return rows
 
 
-def _running(terms: Column) -> Column:
-    """The exclusive ors of the first 0, 1, ... of an array of numbers, made block by block."""
-
-    def chain(values: Column, start: Column) -> Column:
-        return F.aggregate(values, F.array(start), lambda done, x: F.concat(done, F.array(F.element_at(done, -1).bitwiseXOR(x))))
-
-    def made(own: Column) -> Column:
-        size = F.greatest(F.lit(BLOCK), F.ceil(F.sqrt(F.size(own))).cast("int"))
-        blocks = F.transform(F.sequence(F.lit(0), F.size(own) - 1, size), lambda i: F.slice(own, i + 1, size))
-        return _bound(blocks, joined)
-
-    def joined(blocks: Column) -> Column:
-        totals = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0).cast("long"), lambda x, y: x.bitwiseXOR(y)))
-        parts = F.zip_with(blocks, chain(totals, F.lit(0).cast("long")), lambda b, start: F.slice(chain(F.coalesce(b, F.array().cast("array<long>")), start), 1, F.greatest(F.size(b), F.lit(1))))
-        return F.flatten(parts)
-
-    return _bound(terms, made)
-
-
 def _variants(units: str, seed: Column) -> Column:
     """One number for each unit cut out and for each gap of a line that has units."""
     n = F.size(units)
@@ -96,7 +71,8 @@ def _variants(units: str, seed: Column) -> Column:
     cut = lambda p, q: F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.element_at(p, i), F.element_at(q, n + 1 - i)))
     gap = lambda p, q: F.transform(F.sequence(F.lit(1), n + 1), lambda i: F.xxhash64(F.element_at(p, i), F.element_at(q, n + 2 - i)))
     # before[i]: the first i units; behind[i]: the last i
-    return _bound(_running(ahead), lambda before: _bound(_running(back), lambda behind: F.concat(cut(before, behind), gap(before, behind))))
+    hashes = lambda terms: running(terms, lambda x, y: x.bitwiseXOR(y), F.lit(0).cast("long"))
+    return bound(hashes(ahead), lambda before: bound(hashes(back), lambda behind: F.concat(cut(before, behind), gap(before, behind))))
 
 
 def _one_edit(a: Column, b: Column) -> Column:
@@ -135,7 +111,7 @@ def removed_lines(docs: DataFrame, tables: Scratch, near_words: int = NEAR_WORDS
     near = ends.join(shared.hint("merge"), "end", "left_semi").groupBy("doc_id").agg(F.collect_set("line").alias("places"))
     near = tables.put(near, "near-places")
     body = lambda own, p: F.struct(p.alias("line"), F.trim(F.get(own, p)).alias("line_text"))
-    bodies = docs.join(near.hint("merge"), "doc_id").select("doc_id", F.explode(_bound(F.split(_cleaned(F.col("text")), "\n"), lambda own: F.transform("places", lambda p: body(own, p)))).alias("x"))
+    bodies = docs.join(near.hint("merge"), "doc_id").select("doc_id", F.explode(bound(F.split(_cleaned(F.col("text")), "\n"), lambda own: F.transform("places", lambda p: body(own, p)))).alias("x"))
     # a repeated id may have other lines at these places
     bodies = bodies.select("doc_id", "x.line", "x.line_text").where("line_text != ''").withColumn("by_words", _n_words("line_text") >= near_words)
     units = F.when(F.col("by_words"), F.split("line_text", " ")).otherwise(F.split("line_text", ""))
@@ -163,7 +139,7 @@ def _without(text: str, places: str) -> Column:
         end = lambda k: F.least(F.coalesce(F.get(places, k), F.size(own)), F.size(own))
         return F.array(F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size(places)), lambda k: F.slice(own, begin(k) + 1, end(k) - begin(k)))), "\n"))
 
-    return F.when(F.col(places).isNull(), F.col(text)).otherwise(_bound(F.split(text, "\n"), kept)[0])
+    return F.when(F.col(places).isNull(), F.col(text)).otherwise(bound(F.split(text, "\n"), kept)[0])
 
 
 def dedupe_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", near_words: int = NEAR_WORDS, near_units: int = NEAR_UNITS) -> DataFrame:

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shopstream.llm import lines, near, substring, vectors
+from shopstream.llm import arrays, near, substring, vectors
 from shopstream.llm.components import connected_components
 from shopstream.llm.lines import dedupe_lines, without_repeated_lines
 from shopstream.llm.scratch import Scratch
@@ -205,7 +205,7 @@ def test_long_lines_and_documents(spark):
 @pytest.mark.parametrize("n", [1, 2, 63, 64, 65, 128, 1000, 9000])
 def test_running_hashes(spark, n):
     values = np.random.default_rng(n).integers(-(2**62), 2**62, n)
-    found = spark.createDataFrame([(values.tolist(),)], "x array<long>").select(lines._running(F.col("x"))).first()[0]
+    found = spark.createDataFrame([(values.tolist(),)], "x array<long>").select(arrays.running(F.col("x"), lambda x, y: x.bitwiseXOR(y), F.lit(0).cast("long"))).first()[0]
     assert found == [0, *np.bitwise_xor.accumulate(values).tolist()]
 
 

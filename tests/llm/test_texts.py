@@ -164,6 +164,38 @@ def test_licenses(spark):
     assert licenses.scan(documents(spark, [])).collect() == []
 
 
+def brute_detections(text):
+    """Every rule with Python's regexes on every text; of overlapping ones all pairs are compared."""
+    found = []
+    for r in licenses.rules():
+        found += [(m.start(), m.end(), r.priority, r.label) for m in re.finditer(r.regex, text, re.ASCII)]
+    better = lambda d, e: e[0] <= d[0] and e[1] >= d[1] and (e[2] < d[2] or e[2] == d[2] and e[1] - e[0] > d[1] - d[0])
+    left = sorted({(d[0], d[1], d[3]) for d in found if not any(better(d, e) for e in found)})
+    places = [d for d in found if d[3] in licenses.BASE.values()]
+    n = len(places) + sum(d[2] not in licenses.BASE.values() for d in left)
+    return left, sorted({d[2] for d in left} | {d[3] for d in places}), n / (n + 1)
+
+
+def test_licenses_equal_brute_force(spark):
+    rng = np.random.default_rng(31)
+    parts = [f"{name} {v}" for name, versions in list(licenses.FAMILIES.values())[:14] for v in ("", *(f"version {x}" for x in versions.split()))]
+    parts += [*licenses.SENTENCES.values(), *licenses.BASE, "SPDX-License-Identifier: GPL-2.0-or-later", "spdx license identifier: MIT", "CC BY-SA 4.0", "creative commons attribution", "creativecommons.org/licenses/by-nc/2.0", "license", "plain", "\u00e9t\u00e9", "mit", "all rights reserved"]
+    texts = [str(rng.choice([" ", "\n", ", "])).join(str(x) if rng.random() < 0.7 else str(x).upper() for x in rng.choice(parts, int(rng.integers(0, 9)))) for _ in range(150)]
+    rows = {r.doc_id: r for r in licenses.scan(documents(spark, list(enumerate(texts)))).collect()}
+    for k, t in enumerate(texts):
+        left, labels, score = brute_detections(t)
+        assert ([tuple(d) for d in rows[k].detections], rows[k].labels, rows[k].score) == (left, labels, pytest.approx(score)), t
+    assert sum(len(r.detections) > 2 for r in rows.values()) > 50
+
+
+def test_long_texts_with_many_licenses(spark):
+    n = 80_000
+    rows = licenses.scan(documents(spark, [(1, "mit license " * n), (2, "x" * 2_000_000 + " apache license"), (3, "word " * 300_000)])).collect()
+    found = {r.doc_id: r for r in rows}
+    assert (found[1].n_words, found[1].n_base, found[1].first_word, found[1].last_word, found[1].labels) == (2 * n, n, 0, 2 * n - 2, ["MIT", "mit"])
+    assert len(found[1].detections) == 2 * n and found[2].labels == ["Apache", "apache"] and found[2].first_word == 1 and found[3].labels == []
+
+
 # ---- urls
 
 
