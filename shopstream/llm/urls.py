@@ -113,9 +113,9 @@ def templates(urls: DataFrame, tables: Scratch, *, min_share: float = MIN_SHARE,
         if k >= DEPTH:  # only where labels differ and paths go on
             parents = parents.where("all_hits > 0 and all_hits < all_labelled")
             parents = parents.join(own.where(F.size(parts) > k + 1).select("node").distinct(), "node", "left_semi")
-        parents = tables.put(parents, f"parents-{k}")
-        if k >= DEPTH and parents.isEmpty():
-            break
+            parents = tables.put(parents, f"parents-{k}")
+            if parents.isEmpty():
+                break
         rare = (F.col("n") < min_share * F.col("all_n")) & (F.col("labelled") < min_labelled)
         named = branches.join(parents, "node").withColumn("general", F.when(rare, "*").otherwise(F.col("value")))
         named = tables.put(named.select("node", "value", "general", "all_labelled", *totals), f"named-{k}")
@@ -127,7 +127,7 @@ def templates(urls: DataFrame, tables: Scratch, *, min_share: float = MIN_SHARE,
         of = tables.put(of.select("node", "value", "name", "all_labelled"), f"of-{k}")
         leaves = own.join(of, ["node", "value"], "left").withColumn("above", F.col("purity"))
         node = F.when(F.col("name").isNull(), F.col("node")).otherwise(F.concat_ws("/", "node", "name"))
-        leaves = tables.put(leaves.select(node.alias("node"), "leaf", *totals, "above", "all_labelled"), f"level-{k}")
+        leaves = leaves.select(node.alias("node"), "leaf", *totals, "above", "all_labelled")
         # the parent's labels again are no news
         same = F.coalesce(F.sum("labelled") == F.max("all_labelled"), F.lit(True))
         judged = leaves.groupBy("node").agg(F.when(same, F.max("above")).otherwise(smooth).alias("purity"))
