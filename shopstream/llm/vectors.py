@@ -8,8 +8,10 @@ from the vectors themselves, in double precision; a link is never made by an est
 
 Candidate pairs share a label and one of several bands of sign bits (of further rotations, too). The
 members of a band's bucket meet in blocks of bounded size, each two blocks of a large bucket in a
-task of their own, so all pairs of a bucket are judged but none are written: what leaves a task are
-the links of each vector, counted, and ties that connect the linked ones.
+task of their own, so all pairs of a bucket are judged but none are written. First only the codes
+travel, with the rotated vector rounded to bytes; vectors are sent for those members alone that have a
+partner which the bound doesn't rule out. What leaves a task then are the links of each vector,
+counted, and ties that connect the linked ones.
 """
 
 from __future__ import annotations
@@ -38,10 +40,17 @@ def bands_for(bits: int, cosine: float = 0.93, most: float = 0.003) -> int:
     return int(np.ceil(np.log(most) / np.log(missed(cosine, bits, 1))))
 
 
-#: Bits of a band and number of bands. Two vectors of cosine 0.93 agree in a bit with probability
+#: Least bits of a band and number of bands. Two vectors of cosine 0.93 agree in a bit with probability
 #: 0.88, so they share one of 24 bands with probability 1 - (1 - 0.88^12)^24 = 0.997; at 0.96, 0.99991.
 BITS = 12
 BANDS = bands_for(BITS)
+
+
+def bits_for(n: int) -> int:
+    """Bits of a band for labels of ``n`` vectors at most: a bucket of unlike vectors stays at about 100."""
+    return max(BITS, int(np.ceil(np.log2(max(n, 1) / 100))))
+
+
 #: Standard errors of an estimate: the true value lies beyond with probability under 1e-6.
 CONFIDENCE = 5.0
 BLOCK, SMALL = 1_024, 48
@@ -53,23 +62,31 @@ def _rotation(dims: int, k: int) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
+def _scaled(rows: np.ndarray) -> np.ndarray:
+    """Rows in double precision, times a power of two each, so that norms neither overflow nor vanish."""
+    rows = rows.astype(np.float64)
+    return np.ldexp(rows, -np.frexp(np.abs(rows).max(axis=1, keepdims=True))[1])
+
+
 def _units(rows: np.ndarray) -> np.ndarray:
+    rows = _scaled(rows)
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
-def _bands(units: np.ndarray) -> np.ndarray:
+def _bands(units: np.ndarray, bits: int, bands: int) -> np.ndarray:
     """The bits of each band as a number."""
     dims = units.shape[1]
-    bits, each = min(BITS, dims), max(1, dims // BITS)
-    weights, out = 1 << np.arange(bits), []
-    for k in range(-(-BANDS // each)):
+    bits = min(bits, dims)
+    each = dims // bits
+    weights, out = 1 << np.arange(bits, dtype=np.int64), []
+    for k in range(-(-bands // each)):
         signs = units @ _rotation(dims, k) > 0
         out += [signs[:, bits * i : bits * i + bits] @ weights for i in range(each)]
-    return np.stack(out[:BANDS], axis=1).astype(np.int32)
+    return np.stack(out[:bands], axis=1).astype(np.int64)
 
 
-def _encode(vectors: DataFrame, kind: np.dtype) -> DataFrame:
-    """The usable vectors with codes: vec_id, label, dims, hash1, hash2, bands, code, factor, vec."""
+def _encode(vectors: DataFrame, kind: np.dtype, band_bits: int, n_bands: int) -> DataFrame:
+    """The usable vectors with codes: vec_id, label, dims, hash1, hash2, bands, code, factor, rounded, step, vec."""
     id_kind, label_kind = (vectors.schema[k].dataType.simpleString() for k in range(2))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,9 +98,9 @@ def _encode(vectors: DataFrame, kind: np.dtype) -> DataFrame:
                     by_dims.setdefault(len(x), []).append(i)
             for dims, own in by_dims.items():
                 rows = np.stack([raw[i] for i in own]) + kind.type(0)  # no negative zeros
-                scale = np.abs(rows.astype(np.float64)).max(axis=1, keepdims=True)
-                units = _units(rows / scale)
+                units = _units(rows)
                 turned = units @ _rotation(dims, 0)
+                step = np.abs(turned).max(axis=1) / 127
                 words = np.random.default_rng(dims).integers(0, 2**64, (2, rows.shape[1] * kind.itemsize // 4), dtype=np.uint64)
                 parts = rows.view(np.uint32).astype(np.uint64)
                 hashes = [((parts + w) * (w | np.uint64(1)) ^ (parts * w >> np.uint64(29))).sum(axis=1, dtype=np.uint64).view(np.int64) for w in words]
@@ -93,35 +110,49 @@ def _encode(vectors: DataFrame, kind: np.dtype) -> DataFrame:
                         b.column(1).take(pa.array(own)),
                         pa.array([dims] * len(own), pa.int32()),
                         *map(pa.array, hashes),
-                        pa.array(list(_bands(units)), pa.list_(pa.int32())),
+                        pa.array(list(_bands(units, band_bits, n_bands)), pa.list_(pa.int64())),
                         pa.array([x.tobytes() for x in np.packbits(turned > 0, axis=1)], pa.binary()),
                         pa.array(np.abs(turned).sum(axis=1) / np.sqrt(dims)),
+                        pa.array([x.tobytes() for x in np.rint(turned / step[:, None]).astype(np.int8)], pa.binary()),
+                        pa.array(step),
                         pa.array([x.tobytes() for x in rows], pa.binary()),
                     ],
-                    names=["vec_id", "label", "dims", "hash1", "hash2", "bands", "code", "factor", "vec"],
+                    names=["vec_id", "label", "dims", "hash1", "hash2", "bands", "code", "factor", "rounded", "step", "vec"],
                 )
 
-    return vectors.mapInArrow(work, f"vec_id {id_kind}, label {label_kind}, dims int, hash1 long, hash2 long, bands array<int>, code binary, factor double, vec binary")
+    return vectors.mapInArrow(work, f"vec_id {id_kind}, label {label_kind}, dims int, hash1 long, hash2 long, bands array<long>, code binary, factor double, rounded binary, step double, vec binary")
+
+
+def _together(column: pa.Array, kind: np.dtype) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
 
 
 class _Rows:
-    """Rows of one number of dimensions: what the judgement of pairs needs."""
-
-    def __init__(self, vec: list[bytes], code: list[bytes], factor: np.ndarray, bands: np.ndarray, kind: np.dtype, threshold: float):
-        rows = np.frombuffer(b"".join(vec), kind).reshape(len(vec), -1).astype(np.float64)
-        self.rows, self.norms = rows, np.linalg.norm(rows, axis=1)
-        dims = rows.shape[1]
-        self.turned = (_units(rows / np.abs(rows).max(axis=1, keepdims=True)) @ _rotation(dims, 0)).astype(np.float32)
-        bits = np.unpackbits(np.frombuffer(b"".join(code), np.uint8).reshape(len(code), -1), axis=1, count=dims)
+    """Rows of one number of dimensions: what the judgement of pairs needs, with or without the vectors."""
+
+    def __init__(self, columns: dict[str, pa.Array], kind: np.dtype, threshold: float):
+        self.exact, self.factor, self.threshold = "vec" in columns, columns["factor"].to_numpy(), threshold
+        dims = columns["dims"][0].as_py()
+        if self.exact:
+            self.rows = _scaled(_together(columns["vec"], kind))
+            self.norms = np.linalg.norm(self.rows, axis=1)
+            self.turned = (self.rows / self.norms[:, None] @ _rotation(dims, 0)).astype(np.float32)
+            self.rough = np.zeros(len(self.rows))
+            self.bands = np.stack(columns["bands"].to_numpy(zero_copy_only=False))
+        else:
+            step = columns["step"].to_numpy()
+            self.turned = (_together(columns["rounded"], np.dtype(np.int8)) * step[:, None]).astype(np.float32)
+            self.rough = step / 2 * np.sqrt(dims)  # what rounding can change the product with signs by
+        bits = np.unpackbits(_together(columns["code"], np.dtype(np.uint8)), axis=1, count=dims)
         self.signs = (bits.astype(np.float32) * 2 - 1) / np.float32(np.sqrt(dims))
-        self.factor = factor
-        self.slack = CONFIDENCE * np.sqrt(np.maximum(1 - factor**2, 0)) / factor / np.sqrt(max(dims - 1, 1)) + 1e-5
-        self.bands, self.threshold = bands, threshold
+        self.slack = CONFIDENCE * np.sqrt(np.maximum(1 - self.factor**2, 0)) / self.factor / np.sqrt(max(dims - 1, 1)) + 1e-5
 
     def links(self, i: np.ndarray, j: np.ndarray, estimate: np.ndarray, band: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of pairs in a bucket of ``band``: those linked that share no earlier band."""
-        near = estimate / self.factor[j] + self.slack[j] >= self.threshold
+        """Of pairs in a bucket of ``band``: those that the bound leaves; with vectors, those linked that share no earlier band."""
+        near = (estimate + self.rough[i]) / self.factor[j] + self.slack[j] >= self.threshold
         i, j, band = i[near], j[near], band[near]
+        if not self.exact:
+            return i, j
         keep = []
         for k in range(0, len(i), 20_000):
             a, b = i[k : k + 20_000], j[k : k + 20_000]
@@ -157,8 +188,12 @@ def _pairs(starts: np.ndarray, ends: np.ndarray, sides: np.ndarray) -> Iterator[
         yield first[across], first[across] + step
 
 
+#: What a member of a bucket is; code and factor tell different vectors of one id.
+_MEMBER = "vec_id", "times", "dims", "code", "factor", "band", "side", "group"
+
+
 def _judge(table: pa.Table, kind: np.dtype, threshold: float) -> pa.RecordBatch | None:
-    """Of whole groups: vec_id, links and a tie for each row that has links."""
+    """Of whole groups: vec_id, links and a tie for each row that has links; without vectors, the rows that may have some."""
     columns = {n: table.column(n).combine_chunks() for n in table.column_names}
     group = columns["group"].to_numpy()
     starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
@@ -166,8 +201,12 @@ def _judge(table: pa.Table, kind: np.dtype, threshold: float) -> pa.RecordBatch
     dims, ids = columns["dims"].to_numpy(), columns["vec_id"]
     times, band, sides = (columns[n].to_numpy() for n in ("times", "band", "side"))
     links, label = np.zeros(len(group), np.int64), np.arange(len(group))
+    exact = "vec" in columns
 
     def count(i: np.ndarray, j: np.ndarray) -> None:
+        if not exact:
+            links[i] = links[j] = 1
+            return
         np.add.at(links, i, times[j])
         np.add.at(links, j, times[i])
         _connect(label, i, j)
@@ -176,8 +215,7 @@ def _judge(table: pa.Table, kind: np.dtype, threshold: float) -> pa.RecordBatch
         own = np.flatnonzero(dims == d)
         place = np.zeros(len(group), np.int64)
         place[own] = np.arange(len(own))
-        pick = pa.array(own)
-        rows = _Rows(columns["vec"].take(pick).to_pylist(), columns["code"].take(pick).to_pylist(), columns["factor"].to_numpy()[own], np.stack(columns["bands"].take(pick).to_numpy(zero_copy_only=False)), kind, threshold)
+        rows = _Rows({n: c.take(pa.array(own)) for n, c in columns.items()}, kind, threshold)
         mine = dims[starts] == d
         small = mine & (ends - starts <= SMALL)
         for i, j in _pairs(starts[small], ends[small], sides):
@@ -199,11 +237,14 @@ def _judge(table: pa.Table, kind: np.dtype, threshold: float) -> pa.RecordBatch
     there = pa.array(np.flatnonzero(links))
     if not len(there):
         return None
+    if not exact:
+        return pa.RecordBatch.from_arrays([columns[n].take(there) for n in _MEMBER], names=list(_MEMBER))
     return pa.RecordBatch.from_arrays([ids.take(there), pa.array(links).take(there), ids.take(pa.array(label)).take(there)], names=["vec_id", "n", "tie"])
 
 
 def _links(members: DataFrame, kind: np.dtype, threshold: float) -> DataFrame:
-    """Counted links and ties of rows that are sorted by group."""
+    """Counted links and ties of rows that are brought together by group; without vectors, the rows that may have links."""
+    members = members.repartition("group").sortWithinPartitions("group")
     id_kind = members.schema["vec_id"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,7 +264,8 @@ def _links(members: DataFrame, kind: np.dtype, threshold: float) -> DataFrame:
         if held and (out := _judge(pa.concat_tables(held), kind, threshold)) is not None:
             yield out
 
-    return members.mapInArrow(work, f"vec_id {id_kind}, n long, tie {id_kind}")
+    may = f"vec_id {id_kind}, times long, dims int, code binary, factor double, band int, side int, group long"
+    return members.mapInArrow(work, f"vec_id {id_kind}, n long, tie {id_kind}" if "vec" in members.columns else may)
 
 
 def near_vectors(vectors: DataFrame, threshold: float = 0.93, *, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", block: int = BLOCK) -> DataFrame:
@@ -237,14 +279,18 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, *, id_col: str = "
     nothing, have a null component_id and are kept. Rows that repeat an id are one vector if they are
     equal; different vectors of one id add up their links. Equal vectors are one class: one of them is
     compared and stands for all. Ids are integers; other columns are not looked at. No bucket is cut
-    short; links at the very threshold are missed with the probability said at ``BANDS``.
+    short; links at the very threshold are missed with the probability said at ``BANDS``. The bits of a
+    band follow from the vectors of the largest label (``bits_for``), the number of bands from the bits,
+    so that the miss is the same at every size.
     """
     tables = Scratch(vectors.sparkSession, "vectors")
     element = vectors.schema[vector_col].dataType.elementType
     kind = np.dtype(np.float32 if isinstance(element, T.FloatType) else np.float64)
     ids = vectors.select(F.col(id_col).alias("vec_id"))
     usable = vectors.select(F.col(id_col).alias("vec_id"), F.col(label_col).alias("label"), F.col(vector_col).alias("embedding")).where("vec_id is not null and label is not null")
-    coded = tables.put(_encode(usable, kind), "coded")
+    largest = usable.groupBy("label").count().agg(F.max("count")).first()[0] or 0
+    bits = bits_for(largest)
+    coded = tables.put(_encode(usable, kind, bits, bands_for(bits)), "coded")
     same = ["label", "dims", "hash1", "hash2"]
     own = coded.select("vec_id", *same).distinct()
     classes = tables.put(own.groupBy(same).agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("times")), "classes")
@@ -255,12 +301,12 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, *, id_col: str = "
     key = ["label", "dims", "band", "bucket"]
     blocks = F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")
     shared = tables.put(keys.groupBy(key).agg(F.count(F.lit(1)).alias("n"), blocks).where("n > 1").drop("n"), "shared")
-    rows = kept.select("*", F.posexplode("bands").alias("band", "bucket")).join(shared, key)
+    rows = kept.select("*", F.posexplode("bands").alias("band", "bucket")).drop("bands", "vec").join(shared, key)
     mine = F.pmod(F.xxhash64("vec_id"), "blocks").cast("int")
     rows = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     one, two = F.least("mine", "other"), F.greatest("mine", "other")
-    rows = rows.select("vec_id", "times", "dims", "bands", "code", "factor", "vec", "band", F.when(one == two, -1).otherwise(F.col("mine")).alias("side"), F.xxhash64(*key, one, two).alias("group"))
-    rows = rows.repartition("group").sortWithinPartitions("group")
+    rows = rows.select("vec_id", "times", "dims", "code", "factor", "rounded", "step", "band", F.when(one == two, -1).otherwise(F.col("mine")).alias("side"), F.xxhash64(*key, one, two).alias("group"))
+    rows = tables.put(_links(rows, kind, threshold), "open").join(kept.select("vec_id", "dims", "code", "factor", "bands", "vec"), ["vec_id", "dims", "code", "factor"])
     found = tables.put(_links(rows, kind, threshold), "links")
     links = found.groupBy("vec_id").agg(F.sum("n").alias("linked"))
     ties = found.where("vec_id != tie").select("vec_id", "tie").unionAll(members.where("vec_id != first").select("vec_id", F.col("first").alias("tie")))
@@ -268,5 +314,6 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, *, id_col: str = "
     each = members.select("vec_id", "first", "times").join(links.withColumnRenamed("vec_id", "first"), "first", "left")
     each = each.groupBy("vec_id").agg(F.sum(F.col("times") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
     component = F.coalesce("component", "vec_id")
-    out = ids.join(each, "vec_id", "left").join(components.withColumnRenamed("node", "vec_id"), "vec_id", "left")
+    result = each.join(components.withColumnRenamed("node", "vec_id"), "vec_id", "full")
+    out = ids.join(tables.keep(tables.put(result, "result"), "result"), "vec_id", "left")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
