@@ -11,6 +11,7 @@ is left out of the array before it is sorted.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,37 +19,53 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
 from .words import ALNUM, Chunk, chunks
 
 #: A benchmark of more bytes is dealt with in several passes over the documents, so this bounds
-#: what is sent to every executor.
-BLOCK_BYTES = 32 << 20
+#: what is sent to every executor. A worker holds about 30 times these bytes in its windows.
+BLOCK_BYTES = 8 << 20
+
+_made: dict[str, Windows] = {}
+
+
+def _windows(key: str, items: list[tuple[str, str]], width: int) -> Windows:
+    """A worker is used for many tasks; it keeps the windows of one benchmark block."""
+    if key not in _made:
+        _made.clear()
+        _made[key] = Windows(items, width)
+    return _made[key]
 
 
 class Windows:
-    """The distinct windows of benchmark items, as word numbers; made once for a task."""
+    """The distinct windows of benchmark items, as word numbers; made once in a Python worker."""
 
     def __init__(self, items: list[tuple[str, str]], width: int):
         words = list(chunks(pa.array([t for _, t in items], pa.large_string()), ALNUM, lower=True))
         self.items, self.width = [i for i, _ in items], width
         self.vocabulary = np.unique(np.concatenate([c.hashes for c in words] or [np.zeros(0, np.uint64)]))
-        rows, item, offset = [], [], []
+        n_items = len(items)
+        n = np.zeros(n_items, np.int64)
         for c in words:
-            ids = np.searchsorted(self.vocabulary, c.hashes) + 1
-            for k in range(len(c)):
-                own = ids[c.first[k] : c.first[k + 1]]
-                n = max(1, len(own) - width + 1) if len(own) else 0
-                padded = np.concatenate([own, np.zeros(width, own.dtype)])
-                rows += [padded[i : i + width] for i in range(n)]
-                item += [c.at + k] * n
-                offset += range(n)
-        rows = np.array(rows, np.int64).reshape(-1, width)
+            n[c.at : c.at + len(c)] = c.counts()
+        n = np.where(n > 0, np.maximum(n - width + 1, 1), 0)  # windows of each item
+        kind = np.int32 if len(self.vocabulary) < 2**31 - 1 else np.int64
+        rows, at = np.zeros((int(n.sum()), width), kind), 0
+        for c in words:
+            ids = (np.searchsorted(self.vocabulary, c.hashes) + 1).astype(kind)
+            own = n[c.at : c.at + len(c)]
+            begin = np.repeat(c.first[:-1] - (np.cumsum(own) - own), own) + np.arange(own.sum())
+            end = np.repeat(c.first[1:], own)
+            for k in range(width):
+                to = begin + k
+                rows[at : at + len(begin), k] = np.where(to < end, ids[np.minimum(to, max(len(ids) - 1, 0))], 0) if len(ids) else 0
+            at += len(begin)
+        item = np.repeat(np.arange(n_items), n)
+        offset = np.arange(len(item)) - np.repeat(np.cumsum(n) - n, n)
         self.rows, inverse = np.unique(rows, axis=0, return_inverse=True)
         self.lengths = (self.rows > 0).sum(axis=1)
         order = np.argsort(inverse, kind="stable")
         self.of = np.searchsorted(inverse[order], np.arange(len(self.rows) + 1))
-        self.item, self.offset = np.array(item, np.int64)[order], np.array(offset, np.int64)[order]
+        self.item, self.offset = item[order].astype(np.int32), offset[order].astype(np.int32)
 
     def _bound(self, array: np.ndarray, after: bool) -> np.ndarray:
         """For each window, how many suffixes sort before it (``after``: or begin with it)."""
@@ -90,14 +107,19 @@ class Windows:
         return suffixes[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)], window
 
 
-def _judge(c: Chunk, w: Windows) -> tuple[np.ndarray, list, list, list]:
-    """Per text: hit words; spans of hit words; items; longest matches."""
+def _hits(c: Chunk, w: Windows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hit words of each text; places and windows of all occurrences."""
     place, window = w.matches(c)
     edge = np.zeros(len(c.hashes) + 1, np.int64)
     np.add.at(edge, place, 1)
     np.add.at(edge, place + w.lengths[window], -1)
     hit = np.concatenate([[0], np.cumsum(np.cumsum(edge)[:-1] > 0)])
-    n_hit = hit[c.first[1:]] - hit[c.first[:-1]]
+    return hit[c.first[1:]] - hit[c.first[:-1]], place, window
+
+
+def _judge(c: Chunk, w: Windows) -> tuple[np.ndarray, list, list, list]:
+    """Per text: hit words; spans of hit words; items; longest matches."""
+    n_hit, place, window = _hits(c, w)
     spans, items, longest = ([[] for _ in range(len(c))] for _ in range(3))
     if not len(place):
         return n_hit, spans, items, longest
@@ -126,10 +148,10 @@ _RESULT = "n_words long, n_hit long, spans array<struct<begin:long,end:long>>, i
 
 
 def _pass(docs: DataFrame, items: list[tuple[str, str]], window: int) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(items)
+    sent, key = docs.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = Windows(sent.value, window)
+        w = _windows(key, sent.value, window)
         for b in batches:
             for c in chunks(b.column(1), ALNUM, lower=True):
                 n_hit, spans, found, longest = _judge(c, w)
@@ -142,6 +164,18 @@ def _pass(docs: DataFrame, items: list[tuple[str, str]], window: int) -> DataFra
     return docs.mapInArrow(judge, f"doc_id {kind}, {_RESULT}, same long")
 
 
+def _blocks(benchmark: DataFrame, item_col: str, item_text_col: str, block_bytes: int) -> list[DataFrame]:
+    """The benchmark as (item, text) in parts of about ``block_bytes``."""
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text")).where("item is not null")
+    size = items.agg(F.sum(F.octet_length("text") + F.octet_length("item") + 64)).first()[0] or 0
+    n = -(-size // block_bytes) or 1
+    return [items] if n == 1 else [items.where(F.pmod(F.xxhash64("item"), F.lit(n)) == k) for k in range(n)]
+
+
+def _items(block: DataFrame) -> list[tuple[str, str]]:
+    return [tuple(r) for r in block.collect()]
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Words of each document that lie in a window of a benchmark item.
 
@@ -157,18 +191,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, *, id
     The benchmark is a stated set. Up to ``block_bytes`` of it are sent to the executors at once;
     of a larger one each block gets its own pass over the documents and the passes are merged.
     """
-    spark = docs.sparkSession
     text = F.col(text_col)
     docs = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("same"))
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text")).where("item is not null")
-    size = items.agg(F.sum(F.octet_length("text") + F.octet_length("item") + 64)).first()[0] or 0
-    n = -(-size // block_bytes) or 1
+    blocks = _blocks(benchmark, item_col, item_text_col, block_bytes)
+    n, first = len(blocks), blocks[0]
     if n == 1:
-        return _pass(docs, [tuple(r) for r in items.collect()], window).drop("spans", "same")
+        return _pass(docs, _items(first), window).drop("spans", "same")
     passes = None
-    for k in range(n):  # as many as the benchmark has blocks, whatever the documents
-        block = items.where(F.pmod(F.xxhash64("item"), F.lit(n)) == k)
-        one = _pass(docs, [tuple(r) for r in block.collect()], window)
+    for block in blocks:  # as many as the benchmark has, whatever the documents
+        one = _pass(docs, _items(block), window)
         passes = one if passes is None else passes.unionAll(one)
     add = lambda acc, x: F.struct(
         F.greatest(acc["end"], x["end"]).alias("end"),
@@ -185,9 +216,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, *, id
     return merged.select("doc_id", "n_words", "n_hit", "items", F.array_distinct("matches").alias("matches"), F.explode(F.sequence(F.lit(1), "rows"))).drop("col")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents without any hit, with all their columns. Null ids are kept."""
-    bad = contamination(docs, benchmark, window, id_col=id_col, **options).where("n_hit > 0")
-    bad = bad.select(F.col("doc_id").alias(id_col)).distinct()
-    bad = Scratch(docs.sparkSession, "decontaminate").put(bad, "bad")  # of known size: the join shuffles texts only if it must
-    return docs.join(bad, id_col, "left_anti").select(docs.columns)
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The documents without any hit, with all their columns; each row is judged by its own text, whatever its id."""
+    place = docs.columns.index(text_col)
+    for block in _blocks(benchmark, item_col, item_text_col, block_bytes):
+        sent, key = docs.sparkSession.sparkContext.broadcast(_items(block)), uuid.uuid4().hex
+
+        def keep(batches: Iterator[pa.RecordBatch], sent=sent, key=key) -> Iterator[pa.RecordBatch]:
+            w = _windows(key, sent.value, window)
+            for b in batches:
+                for c in chunks(b.column(place), ALNUM, lower=True):
+                    yield b.slice(c.at, len(c)).filter(pa.array(_hits(c, w)[0] == 0))
+
+        docs = docs.mapInArrow(keep, docs.schema)
+    return docs

@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 DIMENSIONS, GRAM = 512, 3
 #: Texts of so many characters are worked on together; bounds a task's arrays.
 CHUNK_CHARS, ROWS = 200_000, 64
-#: Learning takes about so many documents of a language, chosen by a hash of their ids, and so many languages (the most frequent ones).
-TRAIN_DOCS, LANGUAGES = 10_000, 500
+#: Learning takes about so many documents of a language, chosen by a hash of their ids.
+TRAIN_DOCS = 10_000
 
 
 @lru_cache(1)
@@ -103,16 +103,17 @@ def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     """Unit prototypes of the languages in ``lang_col``.
 
     All rows of ``docs`` are labelled rows to learn from; ``train_docs`` of each language are taken
-    in expectation. Null labels and texts are left out. The driver gets ``LANGUAGES`` x
-    ``DIMENSIONS`` sums at most.
+    in expectation. Null labels and texts are left out. Every language is learnt, however rare; the
+    driver gets its ``DIMENSIONS`` sums (4 KB a language).
     """
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang is not null and text is not null")
-    counts = docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    if not counts:
-        return {}
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, train_docs / r["count"]))])
+    frequent = docs.groupBy("lang").count().where(F.col("count") > train_docs).collect()
     place = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1 << 30)) / (1 << 30)
-    sample = docs.where(place < F.try_element_at(share, F.col("lang"))).select("lang", "text")
+    taken = F.lit(True)
+    if frequent:  # only these are sampled, all others count whole
+        share = F.create_map(*[F.lit(x) for r in frequent for x in (r["lang"], train_docs / r["count"])])
+        taken = F.coalesce(place < F.try_element_at(share, F.col("lang")), F.lit(True))
+    sample = docs.where(taken).select("lang", "text")
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}

@@ -22,8 +22,6 @@ from .words import SPACED, Chunk, chunks
 BUCKETS = 10_000
 #: The target model learns from so many labelled documents in expectation, chosen by a hash of their ids.
 TARGET_DOCS = 20_000
-#: The weight of a document is its mean per n-gram times this, so that length alone neither helps nor harms.
-REFERENCE_GRAMS = 100
 
 
 def _grams(c: Chunk) -> tuple[np.ndarray, np.ndarray]:
@@ -52,13 +50,17 @@ def _counts(docs: DataFrame) -> DataFrame:
     return rows.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
 
-def weigh(docs: DataFrame, targets: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", target_docs: int = TARGET_DOCS) -> DataFrame:
+def weigh(docs: DataFrame, targets: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", target_docs: int = TARGET_DOCS, per_grams: float | None = None) -> DataFrame:
     """doc_id and log_weight of every row.
 
     ``targets`` has ids of documents like those that are wanted, in its column ``doc_id``; null and
     repeated ids count once or not at all. At most about ``target_docs`` of them, chosen by a hash,
     make the target model; the raw model counts every document. Null texts and texts without words
     have a null weight. Without any target all weights are 0.
+
+    The weight is the logarithm of the ratio of the document's probabilities under both models. With
+    ``per_grams`` it is the mean of an n-gram times that number instead, so that length alone neither
+    helps nor harms; such weights are no importance weights any more.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -82,7 +84,7 @@ def weigh(docs: DataFrame, targets: DataFrame, *, id_col: str = "doc_id", text_c
                 bucket, text = _grams(c)
                 total = np.bincount(text, sent.value[bucket], len(c))
                 size = np.bincount(text, minlength=len(c))
-                weight = REFERENCE_GRAMS * total / np.maximum(size, 1)
+                weight = total if per_grams is None else per_grams * total / np.maximum(size, 1)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(c.at, len(c)), pa.array(weight, mask=size == 0)], names=["doc_id", "log_weight"])
 
     return docs.mapInArrow(score, f"doc_id {kind}, log_weight double")

@@ -95,9 +95,11 @@ def repeated_windows(docs: DataFrame, window: int, tables: Scratch) -> DataFrame
         widths.append(width)
         parts = _parts(rows, widths, window)
         if width < window:
+            parts = tables.put(parts.select("doc_id", "hash"), f"parts-{width}")
             often = tables.put(parts.groupBy("hash").count().where("count > 1").select("hash"), f"often-{width}")
             found = parts.select("doc_id", "hash").join(often, "hash").groupBy("doc_id").agg(F.collect_set("hash").alias(f"hashes_{width}"))
             found = tables.put(found, f"alive-{width}")
+            tables.drop(f"parts-{width}")
             rows = rows.join(found, "doc_id")
         else:
             parts = tables.put(parts, "windows")

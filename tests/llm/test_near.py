@@ -260,6 +260,30 @@ def test_vectors_odd_rows(spark):
     assert near_vectors(df.limit(0)).collect() == []
 
 
+def test_vectors_of_any_scale(spark):
+    rng = np.random.default_rng(19)
+    base = rng.standard_normal((20, 48))
+    rows = [v * s for v, s in zip(np.concatenate([base, base + 0.05 * rng.standard_normal(base.shape)]), [1e200, 1e-200, 1e-310, 1.0] * 10)]
+    df = spark.createDataFrame([(k, v.tolist(), "x") for k, v in enumerate(rows)], "vec_id long, embedding array<double>, label string")
+    assert {r.vec_id: (r.n_links, r.component_id) for r in near_vectors(df).collect()} == {k: (1, k % 20) for k in range(40)}
+
+
+@pytest.mark.parametrize("bits", [12, 14])
+def test_bits_follow_from_the_largest_label(spark, monkeypatch, bits):
+    monkeypatch.setattr(vectors, "bits_for", lambda n: bits)
+    rng = np.random.default_rng(20)
+    base = rng.standard_normal((150, 64))
+    rows = np.concatenate([base, base + 0.25 * rng.standard_normal(base.shape)])
+    units = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    df = spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(rows)], "vec_id long, embedding array<double>, label int")
+    found = {r.vec_id: r.n_links for r in near_vectors(df).collect()}
+    assert found == {k: int((units @ units[k] >= 0.93).sum()) - 1 for k in range(300)} and sum(found.values()) > 200
+
+
+def test_bits_grow_with_labels():
+    assert [vectors.bits_for(n) for n in (0, 10**4, 10**6, 10**8, 10**10)] == [12, 12, 14, 20, 27]
+
+
 def test_codes_estimate_without_bias():
     from shopstream.llm.vectors import CONFIDENCE, _rotation
 

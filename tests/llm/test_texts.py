@@ -100,8 +100,26 @@ def test_contamination(spark, block):
     assert sorted((r.doc_id, r.n_words, r.n_hit, r.items) for r in rows) == sorted((i, *brute_hits(t, items, 10)) for i, t in docs)
     longest = {m.n_words for r in rows if r.doc_id == 203 for m in r.matches if m.item == "3"}
     assert max(longest) == len(words_of(items[3][1]))
-    kept = decontaminate.clean(documents(spark, docs), table, block_bytes=block)
-    assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, t in docs if not brute_hits(t, items, 10)[1])
+    own = [*docs, (None, items[3][1]), (None, "plain"), (203, "a clean text under an id that has another one")]
+    kept = decontaminate.clean(documents(spark, own), table, block_bytes=block)
+    assert kept.columns == ["doc_id", "text", "lang", "kept", "n_words"]
+    assert sorted((str(r.doc_id), str(r.text)) for r in kept.collect()) == sorted((str(i), str(t)) for i, t in own if not brute_hits(t, items, 10)[1])
+
+
+def test_a_large_benchmark_and_a_very_long_text(spark):
+    """Eight MB of items, the most that are sent at once, and a document of 300,000 words with one of them inside."""
+    import resource
+
+    rng = np.random.default_rng(4)
+    items = [(k, " ".join(f"b{x}" for x in rng.integers(0, 50_000, 200))) for k in range(6_000)]
+    assert decontaminate.BLOCK_BYTES * 0.8 < sum(len(t) for _, t in items) < decontaminate.BLOCK_BYTES
+    text = f"{prose(rng, 150_000)} {items[77][1]} {prose(rng, 150_000)}"
+    table = spark.createDataFrame(items, "item_id int, text string")
+    found = decontaminate.contamination(documents(spark, [(1, text), (2, "b1 b2")]), table).collect()
+    assert sorted((r.doc_id, r.n_hit, r.items) for r in found) == [(1, 200, ["77"]), (2, 0, [])]
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    decontaminate.Windows([(str(k), t) for k, t in items], 10)
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 600_000  # KB
 
 
 def test_contamination_of_empty_tables(spark):
@@ -121,6 +139,27 @@ def test_language_accuracy(spark):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def test_prototypes_equal_brute_force(spark):
+    texts = [(1, "the house of the king", "en"), (2, "The garden, 12!", "en"), (3, "das Haus", "de"), (4, "der \u00dcberfluss", "de"), (5, "x", "rare")]
+    df = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    letter = lambda c: np.random.default_rng([7, ord(c) if c != " " else 0]).integers(0, 2, langid.DIMENSIONS, dtype=np.int8).astype(int) * 2 - 1
+
+    def vector(text):
+        t = " " + re.sub(r"[^a-z\u00fc]+", " ", text.lower()).strip() + " "
+        out = sum(np.prod([np.roll(letter(c), 2 - k) for k, c in enumerate(t[i : i + 3])], axis=0) for i in range(len(t) - 2))
+        return out / np.linalg.norm(out)
+
+    want = {lang: sum(vector(t) for _, t, x in texts if x == lang) for lang in ("en", "de", "rare")}
+    want = {k: v / np.linalg.norm(v) for k, v in want.items()}
+    found = langid.learn(df)
+    assert set(found) == set(want) and all(np.allclose(found[k], want[k], atol=1e-4) for k in want)
+    for r in langid.predict(df, found).collect():
+        cosines = {k: float(vector(texts[r.doc_id - 1][1]) @ v) for k, v in want.items()}
+        assert r.lang_pred == max(cosines, key=cosines.get) and r.score == pytest.approx(max(cosines.values()), abs=1e-4)
+    many = spark.range(700).selectExpr("id doc_id", "'text' text", "'l' || id lang")
+    assert len(langid.learn(many, train_docs=1)) == 700  # no language is too rare
+
+
 def test_language_odd_rows(spark):
     texts = [(1, "the house and the garden of the king"), (2, "das Haus und der Garten des Königs"), (3, None), (4, "12 34 !!"), (5, ""), (None, "the the"), (6, "x"), (7, "the garden " * 40_000), (8, "中文")]
     docs = documents(spark, texts).withColumn("lang", F.when(F.col("doc_id") == 1, "en").when(F.col("doc_id") == 2, "de"))
@@ -365,6 +404,30 @@ def test_resampling(spark):
     assert resample.select(docs.limit(0), targets).collect() == []
 
 
+def test_weights_equal_brute_force(spark):
+    from shopstream.llm.words import SPACED, chunks
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    texts = [prose(rng, int(n), 50) for n in rng.integers(1, 80, 30)] + ["W1 w1", "long " * 60_000]
+    df, targets = documents(spark, list(enumerate(texts))), spark.createDataFrame([(k,) for k in range(10)], "doc_id long")
+    # a bucket is the hash of a word or of a pair of words; counting and weighing is done in plain Python
+    grams = []
+    for t in texts:
+        (c,) = chunks(pa.array([t]), SPACED, lower=True)
+        grams.append([int(h) % resample.BUCKETS for h in [*c.hashes, *c.windows(2)[0]]])
+    raw, target = np.ones(resample.BUCKETS), np.ones(resample.BUCKETS)
+    for k, own in enumerate(grams):
+        for g in own:
+            raw[g] += 1
+            target[g] += k < 10
+    want = {k: sum(np.log(target[g] / target.sum()) - np.log(raw[g] / raw.sum()) for g in own) for k, own in enumerate(grams)}
+    found = {r.doc_id: r.log_weight for r in resample.weigh(df, targets).collect()}
+    assert found == pytest.approx(want)
+    mean = {r.doc_id: r.log_weight for r in resample.weigh(df, targets, per_grams=100).collect()}
+    assert mean == pytest.approx({k: 100 * x / len(grams[k]) for k, x in want.items()})
+
+
 @pytest.mark.parametrize("k", [0, 1, 17, 3000, 4999, 5000, 9000])
 def test_kth_largest(spark, k):
     values = np.round(np.random.default_rng(7).standard_normal(5000) ** 3, 2).tolist()
