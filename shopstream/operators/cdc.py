@@ -43,6 +43,11 @@ def from_envelope(lines: DataFrame, value: str = "value") -> DataFrame:
     return lines.select(F.from_json(value, ENVELOPE).alias("e")).where("e.tableName is not null").select("e.*")
 
 
+def of_tables(cdc: DataFrame, tables: list[str] | None) -> DataFrame:
+    """Records of tables named ``database.table``; all without names."""
+    return cdc.where(F.concat_ws(".", "database", "tableName").isin(tables)) if tables else cdc
+
+
 def drop_deletes(cdc: DataFrame) -> DataFrame:
     """A missing type passes."""
     return cdc.where(~F.col("type").eqNullSafe("delete"))

@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.jsons import parse_json_obj
 from ..functions.text import Named, col
 from .skew import bounded_join
 
-LOG = "struct<common:struct<mid:string,is_new:string>,start:map<string,string>,page:map<string,string>,displays:array<map<string,string>>>"
+LOG = "struct<common:struct<mid:string,is_new:string>,start:map<string,string>,page:map<string,string>,displays:array<map<string,string>>,broken:string>"
 EVENT = "struct<ap:string,cm:map<string,string>,et:array<struct<ett:string,en:string,kv:map<string,string>>>>"
 
 
@@ -33,9 +32,12 @@ def tag_logs(logs: DataFrame, line: str = "line") -> DataFrame:
 
 
 def parse_logs(logs: DataFrame, line: str = "line") -> DataFrame:
-    """Adds ``log``; null for dirty lines: what is no JSON object, or has no device id."""
-    log = F.from_json(col(line), LOG)
-    return logs.withColumn("log", F.when(parse_json_obj(line).isNotNull() & log["common"]["mid"].isNotNull(), log))
+    """Adds ``log``; null for dirty lines: what is no JSON object of this form, or has no device id.
+
+    A line is parsed once; what the parser can't read whole it reports in the field ``broken``.
+    """
+    log = F.from_json(col(line), LOG, {"columnNameOfCorruptRecord": "broken"})
+    return logs.withColumn("_log", log).withColumn("log", F.when(F.col("_log.broken").isNull() & F.col("_log.common.mid").isNotNull(), F.col("_log"))).drop("_log")
 
 
 def dirty(parsed: DataFrame, line: str = "line") -> DataFrame:

@@ -19,18 +19,26 @@ def bounded_join(left: DataFrame, right: DataFrame, on: str | list[str] | Column
     return left.join(F.broadcast(right) if size_estimate(right) <= bound else right, on, how)
 
 
-def hot_keys(df: DataFrame, key: str, share: float = 0.1, fraction: float = 0.1, seed: int = 9) -> DataFrame:
-    """Keys that hold about ``share`` of the rows or more, from a sample; 1 / share keys at most, or so."""
+def hot_keys(df: DataFrame, key: str, share: float = 0.1, fraction: float = 0.1, seed: int = 9) -> list:
+    """Keys that hold about ``share`` of the rows or more, from a sample: 1 / share keys at most.
+
+    They come to the driver, so that all uses see the same keys; a sample drawn anew may differ.
+    """
     sample = df.select(key).where(F.col(key).isNotNull()).sample(False, fraction, seed)
-    counts = sample.groupBy(key).count()
-    return counts.where(F.col("count") >= share * counts.agg(F.sum("count")).scalar()).select(key)
+    most = int(1 / share) + 1
+    counts = sample.groupBy(key).count().orderBy(F.desc("count"), key)
+    # of keys below these none can have the share
+    total, found = sample.count(), counts.limit(most).collect()
+    return [r[key] for r in found if r["count"] >= share * total]
 
 
 def skew_split_join(left: DataFrame, right: DataFrame, on: str, salts: int = 16) -> DataFrame:
     """Inner join with the hottest keys joined apart, salted; the rest is a plain join."""
     hot = hot_keys(left, on)
-    cold = left.join(hot, on, "left_anti").join(right, on)
-    return salted_join(left.join(hot, on, "left_semi"), right.join(hot, on, "left_semi"), on, salts).unionByName(cold)
+    if not hot:
+        return left.join(right, on)
+    is_hot = F.col(on).isin(hot)
+    return salted_join(left.where(is_hot), right.where(is_hot), on, salts).unionByName(left.where(~is_hot).join(right, on))
 
 
 def salted_join(left: DataFrame, right: DataFrame, on: str, n: int = 10) -> DataFrame:

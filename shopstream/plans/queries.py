@@ -34,7 +34,8 @@ def query(sql: str | None = None):
 
 
 UVA = """
-b as (select event_type, cast(json_extract(props, '$.k') as bigint) k, event_id // 16 sn, event_id % 16 i from events),
+dealt as (select *, floor((sqrt(8 * (event_id % 136) + 1) - 1) / 2)::bigint j from events),
+b as (select event_type, cast(json_extract(props, '$.k') as bigint) k, event_id // 136 * 16 + j sn, event_id % 136 - j * (j + 1) // 2 i from dealt),
 uva as (
   select strftime(date '2024-01-01' + (sn % 30)::int, '%Y-%m-%d') as date, sn % 150 user_id, 's' || sn session_id, k % 10 page_id,
     strftime(date '2024-01-01' + (sn % 30)::int + to_hours((sn * 7 % 24)::int) + to_seconds((i * ((sn % 40) * (sn % 40)) // 10)), '%Y-%m-%d %H:%M:%S') action_time,
@@ -46,7 +47,7 @@ uva as (
     case when event_type = 'purchase' then k || ',' || ((k + 13) % 100) end pay_category_ids,
     case when event_type = 'purchase' then '' || (k * 5) % 100 end pay_product_ids,
     k % 10 city_id
-  from b where i <= sn % 16)"""
+  from b)"""
 USERS = """
 users as (
   select c_custkey user_id, (c_custkey % 60)::int age, c_mktsegment professional, n_name city, case when c_custkey % 2 = 0 then 'male' else 'female' end sex
@@ -326,11 +327,11 @@ def ods_order_detail(spark, sf):
 
 @query("""
 select o_orderkey::varchar id, o_custkey::varchar user_id, o_orderstatus order_status, case when o_orderkey % 2 = 0 then '2024-01-01' else '2024-01-02' end dt, case when o_orderkey % 2 = 0 then 1.0 else 2.0 end amount
-from orders where o_orderkey % 3 = 0""")
+from orders""")
 def ods_partition_overwrite(spark, sf):
     """Lands orders of two days, loads both, and loads one again with other values: the other day stays."""
     root = shared_path(spark, "ods")
-    own = b.order_info(spark, sf).where("id % 3 = 0")
+    own = b.order_info(spark, sf)
     for day, part, amount in (("2024-01-01", 0, 1), ("2024-01-02", 1, 9), ("2024-01-02", 1, 2)):
         rows = own.where(F.col("id") % 2 == part).withColumn("final_total_amount", F.lit(amount))
         warehouse.land(warehouse.conform(rows, warehouse.ODS_SPECS["order_info"]), f"{root}/land", "order_info", day)
@@ -461,7 +462,7 @@ def _cdc(spark, sf):
 
 
 @query(f"""
-with {CDC} select 'gmall' as database, tab "tableName", type, case when type in ('update', 'delete') then id::varchar end before_id, case when type <> 'delete' then id::varchar end after_id from cdc""")
+with {CDC} select 'shop' as database, tab "tableName", type, case when type in ('update', 'delete') then id::varchar end before_id, case when type <> 'delete' then id::varchar end after_id from cdc""")
 def cdc_normalized(spark, sf):
     return cdc.from_envelope(cdc.to_envelope(_cdc(spark, sf))).select("database", "tableName", "type", F.col("before")["id"].alias("before_id"), F.col("after")["id"].alias("after_id"))
 
@@ -492,17 +493,18 @@ def cdc_unmatched(spark, sf):
     return cdc.unmatched(rows).groupBy("tableName", "type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""with {ROUTED} select sink_table, count(*) n, count(distinct id) ids from routed where sink_type <> 'clickhouse' group by 1
+@query(f"""with {ROUTED} select case when sink_type = 'clickhouse' then 'unrouted' else sink_table end sink_table, count(*) n, count(distinct id) ids from routed group by 1
 union all select 'unmatched', sum(n)::bigint, null from (with {UNMATCHED} select n from unmatched)""")
 def cdc_route_stream(spark, sf):
-    """Envelopes written as lines, read as a stream and routed: rows by sink table."""
+    """Envelopes written as lines, read as a stream and routed: rows by sink table; those of other sinks are counted, too."""
     root = shared_path(spark, "route")
     cdc.to_envelope(_cdc(spark, sf)).write.text(f"{root}/lines")
     pipelines.route_stream(streams.read_stream(spark, {"path": f"{root}/lines"}), lambda: b.table_process(spark), root)
     kafka = spark.read.parquet(f"{root}/kafka").select(F.col("sink_table").cast("string").alias("sink_table"), F.get_json_object("value", "$.id").alias("id"))
     dim = pipelines.read_dim(spark, f"{root}/dim/dim_base_trademark").select(F.lit("dim_base_trademark").alias("sink_table"), F.col("key").alias("id"))
     lost = spark.read.parquet(f"{root}/unmatched").agg(F.lit("unmatched").alias("sink_table"), F.count(F.lit(1)).alias("n"), F.lit(None).cast("bigint").alias("ids"))
-    return kafka.unionByName(dim).groupBy("sink_table").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("ids")).unionByName(lost)
+    other = spark.read.parquet(f"{root}/unrouted").select(F.lit("unrouted").alias("sink_table"), F.get_json_object("value", "$.id").alias("id"))
+    return kafka.unionByName(dim).unionByName(other).groupBy("sink_table").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("ids")).unionByName(lost)
 
 
 @query("""
@@ -569,12 +571,11 @@ def ad_clicks_windowed(spark, sf):
 
 @query(WINDOWS)
 def ad_clicks_stream(spark, sf):
-    """As a stream in complete mode: each batch gives all windows so far, the last one is the result."""
+    """As a stream in update mode: each batch gives the windows that changed, which replace what was known of them."""
     root = shared_path(spark, "clicks")
     counts = traffic.clicks_windowed(streams.events_stream(spark, sf), late="1 hour")
-    query = counts.writeStream.outputMode("complete").foreachBatch(lambda df, k: df.write.mode("overwrite").parquet(f"{root}/rows")).option("checkpointLocation", f"{root}/_checkpoint").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return _windows(spark.read.parquet(f"{root}/rows"))
+    pipelines.upsert_stream(counts, f"{root}/windows", ["begin"], ["n"], mode="update")
+    return _windows(pipelines.read_dim(spark, f"{root}/windows"))
 
 
 TAGS = f"""{USERS},
@@ -613,7 +614,7 @@ def camel_columns(spark, sf):
     return camelize(b.table(spark, sf, "orders").select("o_orderkey", "o_orderstatus"))
 
 
-@query(f"""with {SESS.replace("from b where i <= sn % 16)", "from b where i <= sn % 16 and sn % 30 between 0 and 14)")}, {USERS},
+@query(f"""with {SESS.replace("from b)", "from b where sn % 30 between 0 and 14)")}, {USERS},
 prof as (select sess.*, age, professional, city, sex from sess join users using (user_id)),
 kept as (select * from prof where age between 10 and 45 and sex = 'male'),
 d as (select * from uva where session_id in (select session_id from kept)),

@@ -9,10 +9,21 @@ from ..sources.io import write_result
 
 
 def session_analysis(actions: DataFrame, users: DataFrame, params: dict[str, list[str]], total: int = 100, n: int = 10) -> dict[str, DataFrame]:
-    """Result tables by name; the frames that several of them share are kept by Spark meanwhile."""
-    own = sessions.scan_actions(actions, *(v[0] if (v := params.get(k)) else None for k in ("startDate", "endDate"))).persist()
-    kept = sessions.filter_sessions(sessions.session_profiles(sessions.aggregate_sessions(own), users), params).persist()
-    details = sessions.session_details(kept, own).persist()
+    """Result tables by name."""
+    return _results(_scan(actions, params), select_sessions(actions, users, params), total, n)
+
+
+def _scan(actions: DataFrame, params: dict[str, list[str]]) -> DataFrame:
+    return sessions.scan_actions(actions, *(v[0] if (v := params.get(k)) else None for k in ("startDate", "endDate")))
+
+
+def select_sessions(actions: DataFrame, users: DataFrame, params: dict[str, list[str]]) -> DataFrame:
+    """The sessions that all result tables are about."""
+    return sessions.filter_sessions(sessions.session_profiles(sessions.aggregate_sessions(_scan(actions, params)), users), params)
+
+
+def _results(own: DataFrame, kept: DataFrame, total: int, n: int) -> dict[str, DataFrame]:
+    details = sessions.session_details(kept, own)
     stats = sessions.session_stats(kept)
     extracted = sessions.extract_sessions(kept, total)
     top = rankings.top_categories(rankings.category_counts(rankings.category_events(details)), n)
@@ -27,6 +38,13 @@ def session_analysis(actions: DataFrame, users: DataFrame, params: dict[str, lis
     }
 
 
-def run_session_analysis(actions: DataFrame, users: DataFrame, params: dict[str, list[str]], root: str, task_id: int, **options) -> None:
-    for name, rows in session_analysis(actions, users, params, **options).items():
-        write_result(rows, f"{root}/{name}", task_id)
+def run_session_analysis(actions: DataFrame, users: DataFrame, params: dict[str, list[str]], root: str, task_id: int, total: int = 100, n: int = 10) -> list[str]:
+    """Writes all result tables of a task and returns their names; the sessions that they share are held meanwhile, not the actions."""
+    kept = select_sessions(actions, users, params).persist()
+    try:
+        results = _results(_scan(actions, params), kept, total, n)
+        for name, rows in results.items():
+            write_result(rows, f"{root}/{name}", task_id)
+    finally:
+        kept.unpersist()
+    return list(results)

@@ -11,9 +11,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def user_visit_action(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """13 columns: one row per search, click, order or pay of a session."""
-    k, sn, i = F.get_json_object("props", "$.k").cast("long"), F.expr("event_id div 16"), F.col("event_id") % 16
-    events = table(spark, sf_dir, "events").select("event_type", k.alias("k"), sn.alias("sn"), i.alias("i")).where("i <= sn % 16")
+    """13 columns: one row per search, click, order or pay of a session.
+
+    Each 136 events are dealt to 16 sessions of 1, 2, ... 16 actions: ``j`` is the session among these.
+    """
+    k, j = F.get_json_object("props", "$.k").cast("long"), F.expr("cast(floor((sqrt(8 * (event_id % 136) + 1) - 1) / 2) as bigint)")
+    events = table(spark, sf_dir, "events").select("event_type", "event_id", k.alias("k"), j.alias("j"))
+    events = events.selectExpr("event_type", "k", "event_id div 136 * 16 + j sn", "event_id % 136 - j * (j + 1) div 2 i")
     kind = lambda name, value: F.when(F.col("event_type") == name, value)
     return events.selectExpr("*", "date_add(date'2024-01-01', cast(sn % 30 as int)) day").select(
         F.date_format("day", "yyyy-MM-dd").alias("date"),
@@ -79,7 +83,7 @@ def raw_cdc(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.create_map().cast("map<string,string>")
     op = F.element_at(F.array(*map(F.lit, ("CREATE", "UPDATE", "DELETE", "READ"))), (F.col("o_orderkey") % 4 + 1).cast("int"))
     return table(spark, sf_dir, "orders").select(
-        F.concat(F.lit("mysql_binlog_source.gmall."), F.when(F.col("o_orderkey") % 3 == 0, "order_info").when(F.col("o_orderkey") % 3 == 1, "base_trademark").otherwise("sku_info")).alias("topic"),
+        F.concat(F.lit("mysql_binlog_source.shop."), F.when(F.col("o_orderkey") % 3 == 0, "order_info").when(F.col("o_orderkey") % 3 == 1, "base_trademark").otherwise("sku_info")).alias("topic"),
         op.alias("op"),
         F.when(op.isin("UPDATE", "DELETE"), fields).otherwise(none).alias("before"),
         F.when(op == "DELETE", none).otherwise(fields).alias("after"),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import cdc, logs
-from .streams import run_batches, write_batch
+from .streams import batch_name, run_batches, write_batch, write_topic
 
 
 def split_logs(lines: DataFrame, root: str, line: str = "line") -> None:
@@ -29,38 +29,65 @@ def multiplex_logs(lines: DataFrame, root: str, line: str = "line") -> None:
     run_batches(lines, lambda b, k: logs.tag_logs(logs.etl_logs(b, line), line).write.mode("overwrite").partitionBy("topic").parquet(f"{root}/topics/batch={k}"), f"{root}/_checkpoint")
 
 
-def _versions(spark: SparkSession, path: str) -> list[int]:
+def _versions(spark: SparkSession, path: str) -> list[tuple[int, str]]:
+    """Complete versions of a dimension: number, and the batch that made it. Folders are named ``v=number,batch``."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
     names = [s.getPath().getName() for s in fs.listStatus(place)] if fs.exists(place) else []
     # a version counts once its write is complete
     done = [n for n in names if n.startswith("v=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
-    return sorted(int(n[2:]) for n in done)
+    return sorted((int(n[2:].split(",")[0]), n.partition(",")[2]) for n in done)
 
 
-def read_dim(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
-    """The newest complete version of a dimension table, or the newest ``before`` a version."""
-    found = [v for v in _versions(spark, path) if before is None or v < before]
-    return spark.read.parquet(f"{path}/v={found[-1]}") if found else None
+def read_dim(spark: SparkSession, path: str, but: str | None = None) -> DataFrame | None:
+    """The newest complete version of a dimension table; with ``but``, the newest that this batch didn't make."""
+    found = [v for v in _versions(spark, path) if v[1] != but]
+    return spark.read.parquet(f"{path}/v={found[-1][0]},{found[-1][1]}") if found else None
 
 
-def upsert_dim(batch: DataFrame, path: str, keys: list[str], order: list[str], batch_id: int, keep: Column | None = None) -> None:
+def upsert_dim(batch: DataFrame, path: str, keys: list[str], order: list[str], name: str, keep: Column | None = None) -> None:
     """Writes the next version of a dimension: of each key the last row. A repeated batch changes nothing.
 
-    ``keep`` says which rows of the version before still count.
+    ``name`` tells the batch from all others, those of an earlier run of the stream, too (``batch_name``);
+    versions have a number of their own. ``keep`` says which rows of the version before still count.
     """
     spark = batch.sparkSession
-    before = [v for v in _versions(spark, path) if v < batch_id]
-    old = spark.read.parquet(f"{path}/v={before[-1]}") if before else batch.limit(0)
+    before = [v for v in _versions(spark, path) if v[1] != name]
+    old = read_dim(spark, path, name) if before else batch.limit(0)
     old = old if keep is None else old.where(keep)
-    cdc.merge_latest(old, batch, keys, order).write.mode("overwrite").parquet(f"{path}/v={batch_id}")
-    for v in before[:-1]:  # readers may still hold the version before
-        place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v={v}")
+    number = before[-1][0] + 1 if before else 0
+    cdc.merge_latest(old, batch, keys, order).write.mode("overwrite").parquet(f"{path}/v={number},{name}")
+    for v, made_by in before[:-1]:  # readers may still hold the version before
+        place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v={v},{made_by}")
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def upsert_stream(rows: DataFrame, path: str, keys: list[str], order: list[str]) -> None:
-    run_batches(rows, lambda b, k: upsert_dim(b, path, keys, order, k), f"{path}-checkpoint")
+def upsert_stream(rows: DataFrame, path: str, keys: list[str], order: list[str], mode: str = "append") -> None:
+    """Upserts every batch; in mode ``update`` of a grouped stream the groups that changed."""
+    checkpoint = f"{path}-checkpoint"
+    run_batches(rows, lambda b, k: upsert_dim(b, path, keys, order, batch_name(b.sparkSession, checkpoint, k)), checkpoint, mode=mode)
+
+
+def config_stream(changes: DataFrame, path: str, order: str) -> None:
+    """Keeps a routing configuration as a dimension table (ST-8): the last change of each (source_table, operate_type)."""
+    upsert_stream(changes, path, ["source_table", "operate_type"], [order])
+
+
+def read_config(spark: SparkSession, path: str) -> DataFrame:
+    """The rules that ``config_stream`` has seen and that no later change deleted."""
+    return read_dim(spark, path).where("type != 'delete'")
+
+
+def capture_stream(raw: DataFrame, out: str, tables: list[str] | None = None, kafka: dict[str, str] | None = None) -> None:
+    """The capture job (ST-6): change records of a connector, normalised, into one sink as envelopes.
+
+    ``raw`` has topic, op, before and after; ``tables`` (``database.table``) limits what is captured. The
+    sink is the folder ``out``, or with ``kafka`` (servers and topic) a topic; ``out`` then holds the
+    checkpoint only.
+    """
+    own = cdc.to_envelope(cdc.of_tables(cdc.normalize_cdc(raw), tables))
+    sink = (lambda b, k: write_topic(b, kafka["servers"], kafka["topic"])) if kafka else (lambda b, k: b.write.mode("overwrite").text(f"{out}/envelopes/batch={k}"))
+    run_batches(own, sink, f"{out}/_checkpoint")
 
 
 def ensure_table(spark: SparkSession, database: str, table: str, columns: str, path: str) -> None:
@@ -69,26 +96,33 @@ def ensure_table(spark: SparkSession, database: str, table: str, columns: str, p
     spark.sql(f"create table if not exists {database}.{table} ({own}) using parquet location '{path}'")
 
 
-def route_stream(envelopes: DataFrame, config: Callable[[], DataFrame], root: str) -> None:
+def route_stream(envelopes: DataFrame, config: Callable[[], DataFrame], root: str, servers: str | None = None) -> None:
     """Routes change records by a configuration that is read anew for each batch.
 
-    Records for Kafka go out by sink table, those for dimensions are upserted by key, those for any
+    Records for Kafka go out by sink table, to topics of ``servers`` if given, else to folders; those for dimensions are upserted by key, those for any
     other sink are kept in ``unrouted`` and what has no route in ``unmatched``. Of a key's changes the
     one of the highest ``position`` wins; of records without one, that of the last batch, and in a
-    batch the greatest value, as nothing else tells their order. The loop is over the configured dimension tables, whose number is that of the rules.
+    batch the greatest value, as nothing else tells their order. The loop is over the configured
+    dimension tables, whose number is that of the rules.
     """
+    checkpoint = f"{root}/_checkpoint"
 
     def each(batch: DataFrame, batch_id: int) -> None:
         rules = config()
         rows = cdc.route_cdc(cdc.drop_deletes(cdc.from_envelope(batch)), rules).persist()
-        cdc.routed(rows, "kafka").write.mode("overwrite").partitionBy("sink_table").parquet(f"{root}/kafka/batch={batch_id}")
+        topics = cdc.routed(rows, "kafka")
+        if servers:
+            write_topic(topics.withColumnRenamed("sink_table", "topic"), servers)
+        else:
+            topics.write.mode("overwrite").partitionBy("sink_table").parquet(f"{root}/kafka/batch={batch_id}")
+        name = batch_name(batch.sparkSession, checkpoint, batch_id)
         write_batch(cdc.unmatched(rows).select("tableName", "type", F.to_json("after").alias("after")), f"{root}/unmatched", batch_id)
         other = cdc.unrouted(rows, ["kafka", "hbase"])
         write_batch(other.select("sink_type", "sink_table", F.to_json("payload").alias("value")), f"{root}/unrouted", batch_id)
         for rule in rules.where("sink_type = 'hbase'").select("sink_table", F.coalesce("sink_pk", F.lit("id")).alias("pk")).distinct().collect():
             own = rows.where((F.col("sink_type") == "hbase") & (F.col("sink_table") == rule["sink_table"]))
             keyed = own.select(F.col("payload")[rule["pk"]].alias("key"), F.to_json("payload").alias("value"), F.lit(batch_id).alias("batch"), "position")
-            upsert_dim(keyed, f"{root}/dim/{rule['sink_table']}", ["key"], ["position", "batch", "value"], batch_id)
+            upsert_dim(keyed, f"{root}/dim/{rule['sink_table']}", ["key"], ["position", "batch", "value"], name)
         rows.unpersist()
 
-    run_batches(envelopes, each, f"{root}/_checkpoint")
+    run_batches(envelopes, each, checkpoint)

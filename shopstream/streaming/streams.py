@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators import cdc
+
 
 def stream_options(topic: str, group: str, starting: str = "latest") -> dict[str, str]:
     """Options of a Kafka topic read by a group; ``initial`` is from the begin."""
@@ -22,6 +25,32 @@ def read_stream(spark: SparkSession, source: dict[str, str]) -> DataFrame:
     return stream.load().selectExpr("cast(value as string) value")
 
 
+def write_topic(df: DataFrame, servers: str, topic: str | None = None) -> None:
+    """Values of a batch to one topic, or each to that in its column ``topic``; a repeated batch is sent again."""
+    own = df.select("value", *([] if topic else ["topic"]))
+    writer = own.write.format("kafka").option("kafka.bootstrap.servers", servers)
+    (writer.option("topic", topic) if topic else writer).save()
+
+
+def stream_logs(spark: SparkSession, folder: str, most: int = 1_000) -> DataFrame:
+    """Lines (column line) of the files of a log folder as they come, ``most`` files a batch."""
+    return spark.readStream.option("maxFilesPerTrigger", most).text(folder).withColumnRenamed("value", "line")
+
+
+def read_cdc(spark: SparkSession, source: dict[str, str], tables: list[str] | None = None) -> DataFrame:
+    """Change records of a captured stream: of a whole database, or of ``tables`` (``database.table``) only.
+
+    ``source`` as in ``read_stream``: ``starting`` says whether a topic is read from its begin (``initial``)
+    or from what comes next (``latest``); files are always read from the first one.
+    """
+    return cdc.of_tables(cdc.from_envelope(read_stream(spark, source)), tables)
+
+
+def batch_name(spark: SparkSession, checkpoint: str, batch_id: int) -> str:
+    """A batch's number and its stream's id, which a stream keeps as long as it has its checkpoint."""
+    return f"{batch_id},{json.loads(spark.read.text(f'{checkpoint}/metadata').first()[0])['id']}"
+
+
 def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
@@ -32,9 +61,9 @@ def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
 
-def run_batches(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, once: bool = True) -> StreamingQuery:
+def run_batches(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, once: bool = True, mode: str = "append") -> StreamingQuery:
     """Runs ``each`` on every batch; ``once`` works off what is there and ends."""
-    writer = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+    writer = stream.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", checkpoint)
     query = (writer.trigger(availableNow=True) if once else writer).start()
     if once:
         query.awaitTermination()

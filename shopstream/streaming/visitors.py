@@ -20,20 +20,23 @@ def fix_is_new_stream(rows: DataFrame, order: list[str], root: str, ttl_ms: int
     """
     mid, is_new = F.col("mid"), F.col("is_new")
 
+    checkpoint = f"{root}/_checkpoint"
+
     def each(batch: DataFrame, batch_id: int) -> None:
+        name = streams.batch_name(batch.sparkSession, checkpoint, batch_id)
         now = int(time.time() * 1000)
         alive = F.col("at") > now - ttl_ms if ttl_ms else F.lit(True)
         first = logs.first_new(batch, mid, is_new, order).persist()
-        seen = pipelines.read_dim(batch.sparkSession, f"{root}/seen", batch_id)
+        seen = pipelines.read_dim(batch.sparkSession, f"{root}/seen", name)
         new = first if seen is None else first.join(seen.where(alive).select(F.col("mid").alias("_mid")), "_mid", "left_anti")
         fixed = logs.repeated_new(batch, new, mid, is_new, order)
         fixed = fixed.withColumn("is_new", F.when(F.col("_repeated"), "0").otherwise(is_new)).select(batch.columns)
         streams.write_batch(fixed, f"{root}/rows", batch_id)
         state = first.select(F.col("_mid").alias("mid"), F.lit(now).cast("long").alias("at"))
-        pipelines.upsert_dim(state, f"{root}/seen", ["mid"], ["at"], batch_id, alive)
+        pipelines.upsert_dim(state, f"{root}/seen", ["mid"], ["at"], name, alive)
         first.unpersist()
 
-    streams.run_batches(rows, each, f"{root}/_checkpoint")
+    streams.run_batches(rows, each, checkpoint)
 
 
 def flat_logs(parsed: DataFrame) -> DataFrame:

@@ -84,7 +84,7 @@ def test_dim_upsert_survives_a_repeated_batch(spark, tmp_path):
     one = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("b", 1, "z")], "k string, t int, v string")
     two = spark.createDataFrame([("a", 3, "w")], "k string, t int, v string")
     for batch, k in ((one, 0), (two, 1), (two, 1)):
-        pipelines.upsert_dim(batch, path, ["k"], ["t"], k)
+        pipelines.upsert_dim(batch, path, ["k"], ["t"], f"{k},run")
     assert sorted(map(tuple, pipelines.read_dim(spark, path).collect())) == [("a", 3, "w"), ("b", 1, "z")]
     assert pipelines.read_dim(spark, f"{path}-none") is None
 
