@@ -22,6 +22,9 @@ DIMENSIONS, GRAM = 512, 3
 CHUNK_CHARS, ROWS = 200_000, 64
 #: Learning takes about so many documents of a language, chosen by a hash of their ids.
 TRAIN_DOCS = 10_000
+#: A text of so many letters in a learnt language has a far larger cosine with its prototype than this;
+#: one of fewer letters may not. Unlike texts have a cosine of 0.04 or so (one over the root of ``DIMENSIONS``).
+SURE_LETTERS, SURE_SCORE = 200, 0.15
 
 
 @lru_cache(1)
@@ -45,13 +48,12 @@ def _numbered(values: np.ndarray, below: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _chunk(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Unit vectors of texts, zeros for those without letters; whether each has letters."""
+    """Unit vectors of texts, zeros for those without letters; letters of each."""
     lowered = [f" {t.lower()} " for t in texts]
     codes = np.frombuffer("".join(lowered).encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
     text = np.repeat(np.arange(len(lowered)), [len(t) for t in lowered])
     is_letter = _letters()[codes]
-    some = np.zeros(len(texts), bool)
-    some[text[is_letter]] = True
+    letters = np.bincount(text[is_letter], minlength=len(texts))
     keep = is_letter.copy()
     keep[1:] |= is_letter[:-1] & (text[1:] == text[:-1])
     keep[:-1] |= is_letter[1:] & ~is_letter[:-1] & (text[1:] == text[:-1])
@@ -60,7 +62,7 @@ def _chunk(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     n = len(small) - GRAM + 1
     out = np.zeros((len(texts), DIMENSIONS), np.float32)
     if n <= 0:
-        return out, some
+        return out, letters
     gram = np.zeros(n, np.int64)
     for k in range(GRAM):
         gram = gram * len(known) + small[k : k + n]
@@ -79,11 +81,11 @@ def _chunk(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         times = np.bincount((text[own] - at) * len(grams) + gram[own], minlength=rows * len(grams))
         out[at : at + rows] = times.reshape(rows, len(grams)).astype(np.float32) @ vectors
     norms = np.linalg.norm(out, axis=1, keepdims=True)
-    return np.divide(out, norms, out=out, where=norms > 0), some
+    return np.divide(out, norms, out=out, where=norms > 0), letters
 
 
 def vectors(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For consecutive texts: place of the first one, unit vectors, whether there are letters."""
+    """For consecutive texts: place of the first one, unit vectors, numbers of letters."""
     at = 0
     while at < len(texts):
         end, n = at, 0
@@ -133,14 +135,14 @@ def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     return {lang: v / (np.linalg.norm(v) or 1) for lang, v in sorted(out.items())}
 
 
-def _named(texts: list[str | None], langs: list[str], table: np.ndarray) -> Iterator[tuple[int, list[str], np.ndarray]]:
-    """For consecutive texts: place of the first one, languages, scores."""
-    for at, vecs, some in vectors(texts):
-        some &= bool(langs)
+def _named(texts: list[str | None], langs: list[str], table: np.ndarray) -> Iterator[tuple[int, list[str], np.ndarray, np.ndarray]]:
+    """For consecutive texts: place of the first one, languages, scores, numbers of letters."""
+    for at, vecs, letters in vectors(texts):
+        some = (letters > 0) & bool(langs)
         cosines = vecs @ table.T if langs else np.zeros((len(vecs), 1))
         best = cosines.argmax(axis=1)
         score = np.where(some, np.clip(cosines[np.arange(len(best)), best], 0, 1), 0).astype(float)
-        yield at, [langs[k] if s else "und" for k, s in zip(best.tolist(), some.tolist())], score
+        yield at, [langs[k] if s else "und" for k, s in zip(best.tolist(), some.tolist())], score, letters
 
 
 def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -157,20 +159,26 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], *, id_col: str =
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, table = sent.value
         for b in batches:
-            for at, names, score in _named(b.column(1).to_pylist(), langs, table):
+            for at, names, score, _ in _named(b.column(1).to_pylist(), langs, table):
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(names)), pa.array(names, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
 
     return docs.mapInArrow(judge, f"doc_id {kind}, lang_pred string, score double")
 
 
-def keep_recognised(docs: DataFrame, prototypes: dict[str, np.ndarray], *, text_col: str = "text") -> DataFrame:
-    """The rows, with all their columns, whose language ``predict`` would name, that is not ``und``."""
+def keep_recognised(docs: DataFrame, prototypes: dict[str, np.ndarray], *, text_col: str = "text", sure_letters: int = SURE_LETTERS, sure_score: float = SURE_SCORE) -> DataFrame:
+    """The rows, with all their columns, in one of the languages that were learnt.
+
+    Rejected are the texts that ``predict`` calls ``und``, and those of ``sure_letters`` letters or more
+    whose largest cosine is below ``sure_score``: their letters don't follow each other as in any language
+    that was learnt. Of shorter texts the cosine doesn't tell that, so they stay.
+    """
     sent = docs.sparkSession.sparkContext.broadcast((list(prototypes), np.array([*prototypes.values()], np.float32).reshape(-1, DIMENSIONS)))
     place = docs.columns.index(text_col)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at, names, _ in _named(b.column(place).to_pylist(), *sent.value):
-                yield b.slice(at, len(names)).filter(pa.array([n != "und" for n in names]))
+            for at, names, score, letters in _named(b.column(place).to_pylist(), *sent.value):
+                known = (np.array(names) != "und") & ((score >= sure_score) | (letters < sure_letters))
+                yield b.slice(at, len(names)).filter(pa.array(known))
 
     return docs.mapInArrow(keep, docs.schema)

@@ -3,6 +3,7 @@
 import hashlib
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -139,22 +140,35 @@ def test_language_accuracy(spark):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
-def test_prototypes_equal_brute_force(spark):
-    texts = [(1, "the house of the king", "en"), (2, "The garden, 12!", "en"), (3, "das Haus", "de"), (4, "der \u00dcberfluss", "de"), (5, "x", "rare")]
-    df = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+def letter_vector(text):
+    """A text's vector in plain Python, from its distinct trigrams; None without letters."""
     letter = lambda c: np.random.default_rng([7, ord(c) if c != " " else 0]).integers(0, 2, langid.DIMENSIONS, dtype=np.int8).astype(int) * 2 - 1
+    t = "".join(c if c.isalpha() else " " for c in f" {(text or '').lower()} ")
+    t = re.sub(" +", " ", t)
+    if t == " ":
+        return None
+    times, made = Counter(t[i : i + 3] for i in range(len(t) - 2)), {c: letter(c) for c in set(t)}
+    out = sum(n * np.prod([np.roll(made[c], 2 - k) for k, c in enumerate(g)], axis=0) for g, n in times.items())
+    return out / np.linalg.norm(out)
+
 
-    def vector(text):
-        t = " " + re.sub(r"[^a-z\u00fc]+", " ", text.lower()).strip() + " "
-        out = sum(np.prod([np.roll(letter(c), 2 - k) for k, c in enumerate(t[i : i + 3])], axis=0) for i in range(len(t) - 2))
-        return out / np.linalg.norm(out)
+def brute_prototypes(rows):
+    """``rows`` are (text, lang)."""
+    sums = {}
+    for text, lang in rows:
+        if lang is not None and (v := letter_vector(text)) is not None:
+            sums[lang] = sums.get(lang, 0) + v
+    return {k: v / np.linalg.norm(v) for k, v in sums.items()}
 
-    want = {lang: sum(vector(t) for _, t, x in texts if x == lang) for lang in ("en", "de", "rare")}
-    want = {k: v / np.linalg.norm(v) for k, v in want.items()}
+
+def test_prototypes_equal_brute_force(spark):
+    texts = [(1, "the house of the king", "en"), (2, "The garden, 12!", "en"), (3, "das Haus", "de"), (4, "der \u00dcberfluss", "de"), (5, "x", "rare")]
+    df = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    want = brute_prototypes([(t, lang) for _, t, lang in texts])
     found = langid.learn(df)
     assert set(found) == set(want) and all(np.allclose(found[k], want[k], atol=1e-4) for k in want)
     for r in langid.predict(df, found).collect():
-        cosines = {k: float(vector(texts[r.doc_id - 1][1]) @ v) for k, v in want.items()}
+        cosines = {k: float(letter_vector(texts[r.doc_id - 1][1]) @ v) for k, v in want.items()}
         assert r.lang_pred == max(cosines, key=cosines.get) and r.score == pytest.approx(max(cosines.values()), abs=1e-4)
     many = spark.range(700).selectExpr("id doc_id", "'text' text", "'l' || id lang")
     assert len(langid.learn(many, train_docs=1)) == 700  # no language is too rare
@@ -170,6 +184,10 @@ def test_language_odd_rows(spark):
     assert none == {} and {r.lang_pred for r in langid.predict(docs, none).collect()} == {"und"}
     kept = langid.keep_recognised(docs, langid.learn(docs))
     assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "6", "7", "8", "None"]
+    rng = np.random.default_rng(32)
+    strange = ["".join(chr(int(c)) for c in rng.integers(0x4E00, 0x9FFF, n)) for n in (199, 200, 5000)]
+    more = documents(spark, [(50 + k, t) for k, t in enumerate([*strange, "the house and the garden of the king " * 9])])
+    assert sorted(r.doc_id for r in langid.keep_recognised(more, langid.learn(docs)).collect()) == [50, 53]
     held = docs.select("doc_id", langid.held_out().alias("h")).collect()
     assert all(r.h == (r.doc_id is None or zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in held)
 
