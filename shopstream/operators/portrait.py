@@ -38,6 +38,19 @@ def active_consumers(orders: DataFrame, day: str, days: int = 30, more_than: int
     return _tag(own.where(F.col("n") > more_than), "CONSUME_U_01_001", "n", day)
 
 
+def tag_increment(before: DataFrame, now: DataFrame) -> DataFrame:
+    """The incremental tag table of a day: tags that are new or have another value than in the full table before."""
+    known = before.select(*[F.col(c).alias(f"_{c}") for c in ("user_id", "tag_id", "value")])
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ("user_id", "tag_id", "value")]
+    return now.join(known, same, "left_anti")
+
+
+def tag_full(before: DataFrame, increment: DataFrame) -> DataFrame:
+    """The full tag table after a day: of each user and tag the last value."""
+    rest = F.max_by("value", "dt").alias("value"), F.max("dt").alias("dt")
+    return before.unionByName(increment).groupBy("user_id", "tag_id").agg(*rest)
+
+
 def wide_tags(tags: DataFrame, tag_ids: list[str]) -> DataFrame:
     """A row per user and day with a column per tag."""
     return tags.groupBy("user_id", "dt").pivot("tag_id", tag_ids).agg(F.max("value"))

@@ -507,15 +507,37 @@ def cdc_route_stream(spark, sf):
     return kafka.unionByName(dim).unionByName(other).groupBy("sink_table").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("ids")).unionByName(lost)
 
 
+def _config_changes(orders: DataFrame) -> DataFrame:
+    return orders.select(F.concat(F.lit("t"), F.col("o_custkey") % 5).alias("source_table"), F.col("o_orderpriority").alias("operate_type"), F.col("o_orderkey").alias("v"), F.when(F.col("o_orderkey") % 7 == 0, "delete").otherwise("update").alias("type"))
+
+
 @query("""
 with c as (select o_custkey % 5 t, o_orderpriority as op, o_orderkey v, case when o_orderkey % 7 = 0 then 'delete' else 'update' end as type from orders),
 l as (select t, op, max(v) v, arg_max(type, v) as type from c group by t, op)
 select 't' || t source_table, op operate_type, v from l where type <> 'delete'""")
 def cdc_latest_config(spark, sf):
-    changes = b.table(spark, sf, "orders").select(F.concat(F.lit("t"), F.col("o_custkey") % 5).alias("source_table"), F.col("o_orderpriority").alias("operate_type"), F.col("o_orderkey").alias("v"), F.when(F.col("o_orderkey") % 7 == 0, "delete").otherwise("update").alias("type"))
+    changes = _config_changes(b.table(spark, sf, "orders"))
     return cdc.latest_config(changes, "v").select("source_table", "operate_type", "v")
 
 
+@query(ORACLES["cdc_latest_config"])
+def cdc_config_stream(spark, sf):
+    """The configuration as a stream of changes, deletes included, kept in a table."""
+    path = shared_path(spark, "config")
+    pipelines.config_stream(streams.table_stream(spark, sf, "orders").transform(_config_changes), path, "v")
+    return pipelines.read_config(spark, path).select("source_table", "operate_type", "v")
+
+
+@query(f"""with {CDC} select tab "tableName", type, count(*) n from cdc where tab <> 'base_trademark' group by all""")
+def cdc_capture_stream(spark, sf):
+    """Two of three tables are captured into envelopes, which are read as a stream again and counted."""
+    root, tables = shared_path(spark, "capture"), ["shop.order_info", "shop.sku_info"]
+    pipelines.capture_stream(b.change_records(streams.table_stream(spark, sf, "orders")), root, tables)
+    own = streams.read_cdc(spark, {"path": f"{root}/envelopes/*"}, tables)
+    streams.run_batches(own.select("tableName", "type"), lambda df, k: streams.write_batch(df, f"{root}/rows", k), f"{root}/_read")
+    return spark.read.parquet(f"{root}/rows").groupBy("tableName", "type").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("""
 select user_id, arg_max(event_type, (ts, event_id)) event_type, max((ts, event_id))[2] event_id from events group by user_id""")
 def dim_upsert_stream(spark, sf):
@@ -585,9 +607,9 @@ tags as (
   union all select o_custkey, 'CONSUME_U_01_001', count(*)::varchar from orders where o_orderdate::date between date '1996-01-05' - 364 and date '1996-01-05' group by 1, 2 having count(*) > 2)"""
 
 
-def _tags(spark, sf):
+def _tags(spark, sf, day=DAY):
     orders = b.order_info(spark, sf)
-    return portrait.attribute_tags(b.user_info(spark, sf), DAY).unionByName(portrait.active_consumers(orders, DAY, 365))
+    return portrait.attribute_tags(b.user_info(spark, sf), day).unionByName(portrait.active_consumers(orders, day, 365))
 
 
 @query(f"with {TAGS} select *, '{DAY}' dt from tags")
@@ -600,6 +622,23 @@ def user_tags_wide(spark, sf):
     return portrait.wide_tags(_tags(spark, sf), ["ATTRITUBE_U_01_001", "ATTRITUBE_U_02_001", "CONSUME_U_01_001"])
 
 
+NEXT_DAY = "1996-01-06"
+_TAGS_OF = {day: TAGS.replace(DAY, day).replace("tags as", f"tags{k} as").removeprefix(USERS + ",") for k, day in enumerate((DAY, NEXT_DAY))}
+TAG_TABLES = f"""{USERS}, {_TAGS_OF[DAY]}, {_TAGS_OF[NEXT_DAY]},
+inc as (select * from tags1 except select * from tags0),
+tag_tables as (
+  select 'increment' kind, *, '{NEXT_DAY}' dt from inc
+  union all select 'full', * from (select *, '{NEXT_DAY}' from inc union all select *, '{DAY}' from tags0 where (user_id, tag_id) not in (select (user_id, tag_id) from inc)))"""
+
+
+@query(f"with {TAG_TABLES} select * from tag_tables")
+def user_tags_tables(spark, sf):
+    """The full table of a day, the increment of the next day, and the full table after it."""
+    before, now = _tags(spark, sf), _tags(spark, sf, NEXT_DAY)
+    more = portrait.tag_increment(before, now)
+    return more.withColumn("kind", F.lit("increment")).unionByName(portrait.tag_full(before, more).withColumn("kind", F.lit("full")))
+
+
 @query("""
 with d as (select max(ts::date) m from events)
 select user_id, 'ACTION_U_01_001' tag_id, count(distinct ts::date)::varchar as value from events, d where ts::date between date '2024-01-07' - 6 and date '2024-01-07' group by 1""")
@@ -631,6 +670,97 @@ def session_analysis_top10(spark, sf):
     return session_analysis(b.user_visit_action(spark, sf), b.user_info(spark, sf), params)["top10_category"]
 
 
+JOB = f"""{SESS.replace("from b)", "from b where sn % 30 between 0 and 14)")}, {USERS},
+prof as (select sess.*, age, professional, city, sex from sess join users using (user_id)),
+kept as (select * from prof where age between 10 and 45 and sex = 'male'),
+d as (select * from uva where session_id in (select session_id from kept)),
+ce as (
+  select 'click' kind, click_category_id category_id from d where click_category_id is not null
+  union all select 'order', unnest(string_split(order_category_ids, ','))::bigint from d
+  union all select 'pay', unnest(string_split(pay_category_ids, ','))::bigint from d),
+top as (
+  select category_id, count(*) filter (kind = 'click') a, count(*) filter (kind = 'order') o, count(*) filter (kind = 'pay') p from ce group by 1 order by 2 desc, 3 desc, 4 desc, 1 limit 10),
+sc as (select session_id, click_category_id category_id, count(*) n from d where click_category_id is not null group by 1, 2),
+best as (
+  select * from (select *, row_number() over (partition by category_id order by n desc, session_id) as rank from sc where category_id in (select category_id from top)) where rank <= 10),
+hours as (select replace(left(start_time, 13), ' ', '_') date_hour, count(*) n from kept group by 1),
+hour_days as (select *, (sum(n) over (partition by left(date_hour, 10)))::bigint day_n from hours),
+quota as (select date_hour, least(floor(n / day_n * floor(100 / (select count(distinct left(date_hour, 10)) from hours))), n) quota from hour_days),
+ranked as (
+  select session_id, date_hour, row_number() over (partition by date_hour order by md5('0_' || session_id), session_id) r
+  from (select *, replace(left(start_time, 13), ' ', '_') date_hour from kept)),
+extracted as (select session_id from ranked join quota using (date_hour) where r <= quota),
+own as (
+  select 'session_random_extract' as name, session_id from extracted
+  union all select 'session_detail', session_id from d where session_id in (select session_id from extracted)
+  union all select 'top10_category', null from top
+  union all select 'top10_category_session', session_id from best
+  union all select 'top10_session_detail', session_id from d join (select session_id from best) using (session_id)
+  union all select 'session_aggr_stat', null)"""
+
+
+@query(f"with {JOB} select name, count(*) n, count(distinct session_id) sessions, min(session_id) first_session, max(session_id) last_session from own group by 1")
+def session_analysis_job(spark, sf):
+    """The whole job writes its six tables for a task; of each the rows and sessions of the task."""
+    from .session_analysis import run_session_analysis
+
+    root = shared_path(spark, "session-analysis")
+    params = {"startDate": ["2024-01-01"], "endDate": ["2024-01-15"], "startAge": ["10"], "endAge": ["45"], "sex": ["male"]}
+    out = None
+    for name in run_session_analysis(b.user_visit_action(spark, sf), b.user_info(spark, sf), params, root, 7):
+        rows = spark.read.parquet(f"{root}/{name}").where("task_id = 7")
+        session = F.col("session_id") if "session_id" in rows.columns else F.lit(None).cast("string")
+        part = rows.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n"), F.count_distinct(session).alias("sessions"), F.min(session).alias("first_session"), F.max(session).alias("last_session"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+FIRST_LOAD = "1996-01-04"
+
+
+def _ods_base(name: str) -> tuple[str, str, str | None]:
+    """The table of the data folder that stands in for a source table: its name, id and date columns."""
+    if name.startswith("base_"):
+        return "nation", "n_nationkey", None
+    if name in ("sku_info", "spu_info"):
+        return "part", "p_partkey", None
+    return ("customer", "c_custkey", None) if name == "user_info" else ("orders", "o_orderkey", "o_orderdate")
+
+
+def _ods_sql() -> str:
+    each = []
+    for name, spec in warehouse.ODS_SPECS.items():
+        base, _, date = _ods_base(name)
+        if spec.strategy == "O":
+            each.append(f"select '{name}' as name, null dt, count(*) n from {base}")
+            continue
+        on_day = "true" if not spec.dates else f"{date}::date = date '{DAY}'" if date else "false"
+        each.append(f"select '{name}' as name, dt, count(*) n from (select '{FIRST_LOAD}' dt from {base} union all select '{DAY}' from {base} where {on_day}) group by dt")
+    return "select name, dt, n from (" + " union all ".join(each) + ")"
+
+
+@query(_ods_sql())
+def ods_all_tables(spark, sf):
+    """All 23 source tables are imported and loaded, and a day later those that change: rows of each table and day."""
+    root = shared_path(spark, "ods-all")
+
+    def source(name: str) -> DataFrame:
+        base, key, date = _ods_base(name)
+        at = F.date_format(date, "yyyy-MM-dd HH:mm:ss") if date else F.lit(None).cast("string")
+        return b.table(spark, sf, base).select(F.col(key).alias("id"), *[at.alias(c) for c in dict.fromkeys([*warehouse.ODS_SPECS[name].dates, "create_time"])])
+
+    for mode, day in (("first", FIRST_LOAD), ("all", DAY)):
+        warehouse.import_source(source, f"{root}/land", mode, day)
+        warehouse.load_ods(spark, f"{root}/land", f"{root}/ods", mode, day)
+    out = None
+    for name, spec in warehouse.ODS_SPECS.items():
+        rows = spark.read.parquet(f"{root}/ods/ods_{name}")
+        day = (F.lit(None) if spec.strategy == "O" else F.col("dt")).cast("string").alias("dt")
+        part = rows.groupBy(day).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "dt", "n")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Scan, aggregate, join, filter and count in one plan: the histogram of filtered sessions."""
     own = sessions.scan_actions(b.user_visit_action(spark, sf), "2024-01-01", "2024-01-31")

@@ -78,11 +78,15 @@ def app_log(events: DataFrame) -> DataFrame:
 
 
 def raw_cdc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return change_records(table(spark, sf_dir, "orders"))
+
+
+def change_records(orders: DataFrame) -> DataFrame:
     """Change records of the orders table as a connector delivers them: topic, op, before, after."""
     fields = F.create_map(F.lit("id"), F.col("o_orderkey").cast("string"), F.lit("user_id"), F.col("o_custkey").cast("string"), F.lit("status"), F.col("o_orderstatus"), F.lit("priority"), F.col("o_orderpriority"))
     none = F.create_map().cast("map<string,string>")
     op = F.element_at(F.array(*map(F.lit, ("CREATE", "UPDATE", "DELETE", "READ"))), (F.col("o_orderkey") % 4 + 1).cast("int"))
-    return table(spark, sf_dir, "orders").select(
+    return orders.select(
         F.concat(F.lit("mysql_binlog_source.shop."), F.when(F.col("o_orderkey") % 3 == 0, "order_info").when(F.col("o_orderkey") % 3 == 1, "base_trademark").otherwise("sku_info")).alias("topic"),
         op.alias("op"),
         F.when(op.isin("UPDATE", "DELETE"), fields).otherwise(none).alias("before"),

@@ -51,9 +51,14 @@ def batch_name(spark: SparkSession, checkpoint: str, batch_id: int) -> str:
     return f"{batch_id},{json.loads(spark.read.text(f'{checkpoint}/metadata').first()[0])['id']}"
 
 
+def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of a data folder as a stream."""
+    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+
+
 def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return table_stream(spark, sf_dir, "events")
 
 
 def write_batch(df: DataFrame, path: str, batch_id: int) -> None:

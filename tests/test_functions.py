@@ -46,3 +46,33 @@ def test_json(spark):
     assert one(spark, jsons.json_merge(a, b), jsons.json_put(a, "z", F.lit("4"))) == ({"x": "1", "y": "3"}, {"x": "1", "y": "2", "z": "4"})
     assert one(spark, *[jsons.parse_json_obj(F.lit(x)) for x in ("{", "", "[1]", '{"a":1}')]) == (None, None, None, {"a": "1"})
     assert one(spark, jsons.project_json(a, F.lit("y,q")))[0] == {"y": "2"}
+
+
+def test_small_helpers(spark, tmp_path):
+    from shopstream.functions import jsons, text, times
+    from shopstream.operators import warehouse
+    from shopstream.sources import io
+    from shopstream.streaming import pipelines, streams
+
+    df = spark.createDataFrame([("2024-02-03", "20240203", '{"a":{"b":1}}', ["x", "y"], {"k": "v"}, 1)], "day string, key string, js string, arr array<string>, m map<string,string>, n int")
+    r = df.select(
+        times.day_of("day").cast("string").alias("day"), times.parse_date_key("key").cast("string").alias("key"), times.format_date("day").alias("format"),
+        (times.today() > times.yesterday()).alias("later"), jsons.json_path("js", "a.b").alias("path"), jsons.to_json_str("m").alias("text"), text.join_with("arr", "-").alias("joined"), jsons.struct_to_map(df, ["day", "n"]).alias("map"),
+    ).first()
+    assert (r.day, r.key, r.format, r.later, r.path, r.text, r.joined, r["map"]) == ("2024-02-03", "2024-02-03", "2024-02-03", True, "1", '{"k":"v"}', "x-y", {"day": "2024-02-03", "n": "1"})
+    (tmp_path / "logs").mkdir()
+    (tmp_path / "logs" / "a.log").write_text("one\ntwo\n")
+    assert [x.value for x in io.read_lines(spark, f"file://{tmp_path}/logs").collect()] == ["one", "two"]
+    assert io.scan_partition(df, "key", "20240203").count() == 1 and io.scan_partition(df, "key", "x").count() == 0
+    streams.run_batches(streams.stream_logs(spark, f"file://{tmp_path}/logs"), lambda b, k: streams.write_batch(b, f"file://{tmp_path}/out", k), f"file://{tmp_path}/ck")
+    assert sorted(x.line for x in spark.read.parquet(f"file://{tmp_path}/out").collect()) == ["one", "two"]
+    assert streams.stream_options("t", "g", "initial") == {"subscribe": "t", "kafka.group.id": "g", "startingOffsets": "earliest"}
+    try:
+        spark.sql(f"create database made_here location 'file://{tmp_path}/made'")
+        for _ in range(2):
+            pipelines.ensure_table(spark, "made_here", "dim_t", "id, name", f"file://{tmp_path}/dim_t")
+            warehouse.create_ods(spark, "made_here", f"file://{tmp_path}/ods")
+        assert spark.table("made_here.dim_t").columns == ["id", "name"] and spark.table("made_here.ods_order_info").columns[-1] == "dt"
+        assert spark.sql("show tables in made_here").count() == 24
+    finally:
+        spark.sql("drop database if exists made_here cascade")
