@@ -13,5 +13,21 @@ assert set(e.oracle_sql()) <= set(e.queries())
 """
 
 
+MISSING = """
+import sys
+sys.modules["public_tokenizers"] = None
+try:
+    import __spark_entry__
+except ModuleNotFoundError as error:
+    assert error.name == "public_tokenizers"
+else:
+    raise SystemExit("corpus_pipeline" in sys.modules)
+"""
+
+
+def test_other_missing_modules_are_told():
+    subprocess.run([sys.executable, "-c", MISSING], check=True)
+
+
 def test_entry_without_the_package():
     subprocess.run([sys.executable, "-c", CODE], check=True)
