@@ -11,7 +11,7 @@ from shopstream.llm.scratch import Scratch
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the languages learnt from these documents; no text, no letters: rejected."""
+    """Documents in one of the languages learnt from these documents; those without letters, and long ones unlike all of them, go."""
     return langid.keep_recognised(docs, langid.learn(docs.where(~langid.held_out())))
 
 
@@ -45,6 +45,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
+    for k, (name, stage) in enumerate(STAGES[:-1]):
         docs = tables.put(stage(spark, docs, sf_dir), name)
+        if k:  # what the stage before wrote is not read again
+            tables.drop(STAGES[k - 1][0])
     return STAGES[-1][1](spark, docs, sf_dir)
