@@ -138,6 +138,13 @@ def test_substring(spark, window):
     assert {r.doc_id: r.kept_sha256 for r in digest} == {i: hashlib.sha256(w[2].encode()).hexdigest() for i, w in want.items()}
 
 
+def test_substring_of_very_long_texts(spark):
+    rng = np.random.default_rng(22)
+    long, other = prose(rng, 200_000), prose(rng, 1_000)
+    rows = substring.dedupe(documents(spark, [(1, long), (2, f"{other} {long}"), (3, "a " * 100_000), (4, "a " * 100_000)])).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed) for r in rows) == [(1, 200_000, 0), (2, 201_000, 200_000), (3, 100_000, 0), (4, 100_000, 100_000)]
+
+
 def test_substring_odd_rows(spark):
     text = prose(np.random.default_rng(9), 20)
     rows = substring.dedupe(documents(spark, [(2, text), (2, text), (4, text), (None, text), (1, None)])).collect()
