@@ -96,8 +96,8 @@ def ratio(a: Named, b: Named, scale: int | None = None) -> Column:
 
 def indexed_name(c: Named) -> Column:
     """``x[3]`` as (base, idx); without an index it is 1."""
-    base, idx = (F.regexp_extract(col(c), r"^([^\[]*)(?:\[(\d+)\])?", k) for k in (1, 2))
-    return F.struct(base.alias("base"), F.coalesce(idx.try_cast("int"), F.lit(1)).alias("idx"))
+    idx = F.coalesce(F.regexp_extract(col(c), r"^[^\[]*\[(\d+)\]", 1).try_cast("int"), F.lit(1))
+    return F.struct(F.substring_index(col(c), "[", 1).alias("base"), F.when(F.contains(col(c), F.lit("[")), idx).otherwise(1).alias("idx"))
 
 
 def parse_kv_list(c: Named) -> Column:
