@@ -40,6 +40,12 @@ from d left join r using (doc_id)
 
 _WORDS = "regexp_extract_all({}, '[^\\x20\\x09-\\x0D]+')"
 
+
+
+def _joined(units: str) -> str:
+    return f"case when gap = ' ' then array_to_string({units}, ' ') else array_to_string({units}, '') end"
+
+
 #: Lines of ten words or more count in words, others in characters; variants of both kinds are kept apart.
 OP4 = f"""
 with l as (
@@ -53,9 +59,9 @@ k as (
   select * from c
   where (gap, p) in (select (gap, p) from c group by gap, p having count(*) > 1) or (gap, s) in (select (gap, s) from c group by gap, s having count(*) > 1)),
 v as (
-  select f, md5(gap || chr(9) || array_to_string(list_slice(w, 1, i), gap) || chr(10) || array_to_string(list_slice(w, i + 2, n), gap)) x
+  select f, md5(gap || chr(9) || {_joined("list_slice(w, 1, i)")} || chr(10) || {_joined("list_slice(w, i + 2, n)")}) x
   from (select *, unnest(range(0, n)) i from k)
-  union select f, md5(gap || chr(9) || array_to_string(list_slice(w, 1, i), gap) || chr(10) || array_to_string(list_slice(w, i + 1, n), gap))
+  union select f, md5(gap || chr(9) || {_joined("list_slice(w, 1, i)")} || chr(10) || {_joined("list_slice(w, i + 1, n)")})
   from (select *, unnest(range(0, n + 1)) i from k)),
 g as (select x, min(f) g from v group by x having min(f) < max(f)),
 r as (select distinct f[1] doc_id, f[2] line from v join g using (x) where f > g),
