@@ -85,6 +85,24 @@ def op10_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select(_table(spark, sf_dir, "documents"), good)
 
 
+def op11_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pivots import top_products
+
+    return top_products(_table(spark, sf_dir, "embeddings"), 5, every=50)
+
+
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .conversations import damage, repair
+
+    return repair(damage(_table(spark, sf_dir, "conversations")), _table(spark, sf_dir, "conversations"))
+
+
+def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ranked import search
+
+    return search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), 10)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_urls": op1_urls,
@@ -98,6 +116,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontaminate": op8_decontaminate,
         "op9_minhash": op9_minhash,
         "op10_resample": op10_resample,
+        "op13_lexical": op13_lexical,
     }
 
 

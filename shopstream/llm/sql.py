@@ -108,4 +108,21 @@ select vec_id, coalesce(n, 0)::bigint n_links, component_id, vec_id = component_
 from embeddings join component c on c.id = vec_id left join links l on l.id = vec_id
 """
 
-ORACLES = {"op4_lines": OP4, "op4_every_line": OP4, "op2_rabitq": OP2, "op7_substring": OP7, "op9_minhash": OP9, "op8_decontaminate": OP8}
+_TERM = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
+
+OP13 = f"""
+with d as (select doc_id, regexp_extract_all({lower_ascii("text")}, '{_TERM}') w from documents where text is not null),
+n as (select doc_id, len(w)::bigint n from d where len(w) > 0),
+totals as (select count(*) docs, sum(n)::bigint terms from n),
+b as (select item_id, unnest(regexp_extract_all({lower_ascii("text")}, '{_TERM}')) t from benchmark where text is not null),
+q as (select item_id, t, count(*) c from b group by all),
+tf as (select doc_id, t, count(*) tf from (select doc_id, unnest(w) t from d) where t in (select t from q) group by all),
+weight as (select t, floor(1000 * ln((2 * docs + 2)::double / (2 * df + 1)::double))::bigint w from (select t, count(*) df from tf group by t), totals),
+length as (select doc_id, 100 - 75 + ((75 * n * docs) // terms) m from n, totals),
+part as (select doc_id, t, (w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::bigint v from tf join weight using (t) join length using (doc_id)),
+scored as (select item_id, doc_id, sum(c * v)::bigint score from q join part using (t) group by all having sum(c * v) > 0),
+ranked as (select item_id, (row_number() over (partition by item_id order by score desc, doc_id))::int as rank, doc_id, score from scored)
+select item_id, rank, doc_id, score from ranked where rank <= 10
+"""
+
+ORACLES = {"op13_lexical": OP13, "op4_lines": OP4, "op4_every_line": OP4, "op2_rabitq": OP2, "op7_substring": OP7, "op9_minhash": OP9, "op8_decontaminate": OP8}
