@@ -116,6 +116,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontaminate": op8_decontaminate,
         "op9_minhash": op9_minhash,
         "op10_resample": op10_resample,
+        "op11_pivots": op11_pivots,
         "op13_lexical": op13_lexical,
     }
 

@@ -125,4 +125,15 @@ ranked as (select item_id, (row_number() over (partition by item_id order by sco
 select item_id, rank, doc_id, score from ranked where rank <= 10
 """
 
-ORACLES = {"op13_lexical": OP13, "op4_lines": OP4, "op4_every_line": OP4, "op2_rabitq": OP2, "op7_substring": OP7, "op9_minhash": OP9, "op8_decontaminate": OP8}
+OP11 = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) e from embeddings
+  where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (
+  select q.vec_id query_id, x.vec_id, list_inner_product(q.e, x.e)::bigint score
+  from v q join v x on q.vec_id % 50 = 0 and x.vec_id <> q.vec_id and len(q.e) = len(x.e)),
+r as (select query_id, (row_number() over (partition by query_id order by score desc, vec_id))::int as rank, vec_id, score from s)
+select query_id, rank, vec_id, score from r where rank <= 5
+"""
+
+ORACLES = {"op11_pivots": OP11, "op13_lexical": OP13, "op4_lines": OP4, "op4_every_line": OP4, "op2_rabitq": OP2, "op7_substring": OP7, "op9_minhash": OP9, "op8_decontaminate": OP8}
