@@ -117,6 +117,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_minhash": op9_minhash,
         "op10_resample": op10_resample,
         "op11_pivots": op11_pivots,
+        "op12_repair": op12_repair,
         "op13_lexical": op13_lexical,
     }
 
