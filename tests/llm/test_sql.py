@@ -18,7 +18,7 @@ def text(v):
 @pytest.mark.parametrize("name", sorted(set(oracle_sql()) - {"op4_every_line"}))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "benchmark"):
+    for t in ("documents", "embeddings", "benchmark", "conversations"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     df = queries()[name](spark, SF)
     columns = sorted(df.columns)
