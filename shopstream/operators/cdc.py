@@ -11,6 +11,10 @@ from .skew import bounded_join
 ENVELOPE = "struct<database:string,tableName:string,before:map<string,string>,after:map<string,string>,type:string,position:bigint>"
 
 
+#: The sink type of dimension tables.
+KEYED = "hbase"
+
+
 def cdc_db(topic: str) -> Column:
     return F.get(F.split(topic, r"\."), F.lit(1))
 
@@ -39,8 +43,20 @@ def to_envelope(cdc: DataFrame) -> DataFrame:
     return cdc.select(F.to_json(F.struct("database", "tableName", "before", "after", "type", *_position(cdc))).alias("value"))
 
 
+def parse_envelopes(lines: DataFrame, value: str = "value") -> DataFrame:
+    """Adds ``e``, the envelope of a line; null for what is none, is cut off or names no table."""
+    parsed = F.from_json(F.col(value), f"{ENVELOPE[:-1]},broken:string>", {"columnNameOfCorruptRecord": "broken"})
+    whole = F.col("_e.broken").isNull() & F.col("_e.tableName").isNotNull()
+    return lines.withColumn("_e", parsed).withColumn("e", F.when(whole, F.col("_e").dropFields("broken"))).drop("_e")
+
+
 def from_envelope(lines: DataFrame, value: str = "value") -> DataFrame:
-    return lines.select(F.from_json(value, ENVELOPE).alias("e")).where("e.tableName is not null").select("e.*")
+    return parse_envelopes(lines, value).where("e is not null").select("e.*")
+
+
+def broken_envelopes(parsed: DataFrame, value: str = "value") -> DataFrame:
+    """Lines of ``parse_envelopes`` that are no envelope."""
+    return parsed.where("e is null").select(value)
 
 
 def of_tables(cdc: DataFrame, tables: list[str] | None) -> DataFrame:
@@ -59,10 +75,53 @@ def latest_config(changes: DataFrame, order: str) -> DataFrame:
     return changes.withColumn("_rank", F.row_number().over(own)).where("_rank = 1 and type != 'delete'").drop("_rank")
 
 
+_KEY = ["source_table", "operate_type"]
+
+
+def one_rule_a_key(config: DataFrame) -> DataFrame:
+    """A rule for each (source_table, operate_type); two different ones are an error, as nothing tells which counts."""
+    rest = F.struct(*[c for c in config.columns if c not in _KEY])
+    two = F.raise_error(F.concat(F.lit("two rules for "), F.coalesce("source_table", F.lit("null")), F.lit(", "), F.coalesce("operate_type", F.lit("null"))))
+    own = config.groupBy(*_KEY).agg(F.min(rest).alias("a"), F.max(rest).alias("b"))
+    return own.select(*_KEY, F.when(F.col("a").eqNullSafe(F.col("b")), F.col("a")).otherwise(two.cast(own.schema["a"].dataType)).alias("a")).select(*_KEY, "a.*")
+
+
+def rule_versions(changes: DataFrame) -> DataFrame:
+    """Changes of the configuration, with type and position, as versions: a rule holds in [since, until).
+
+    Of changes of a key at one position the greatest counts. A deletion is a version, too (``gone``); before
+    its first version a key has no rule, and the last version holds for ever.
+    """
+    rest = F.struct(*[c for c in changes.columns if c not in [*_KEY, "position"]])
+    own = changes.where("position is not null").groupBy(*_KEY, "position").agg(F.max(rest).alias("r"))
+    # a rule's versions are as many as its changes were: few
+    order = Window.partitionBy(*_KEY).orderBy("position")
+    own = own.withColumn("until", F.lead("position").over(order)).select(*_KEY, F.col("position").alias("since"), "until", "r.*")
+    return own.withColumn("gone", F.coalesce(F.col("type") == "delete", F.lit(False)))
+
+
 def route_cdc(cdc: DataFrame, config: DataFrame) -> DataFrame:
-    """Adds sink_type, sink_table, sink_pk and payload, the wanted fields; nulls where nothing is configured."""
-    config = config.select(F.col("source_table").alias("tableName"), F.col("operate_type").alias("type"), "sink_type", "sink_table", "sink_columns", F.coalesce("sink_pk", F.lit("id")).alias("sink_pk"))
-    return bounded_join(cdc, config, ["tableName", "type"], "left").withColumn("payload", project_json("after", "sink_columns")).drop("sink_columns")
+    """Adds sink_type, sink_table, sink_pk, key and payload, the wanted fields; nulls where nothing is configured.
+
+    ``config`` is a rule a key, or the versions of ``rule_versions``: then a record gets the rule that was in
+    force at its position, and the newest one if it has no position. The key is taken from the record, and put
+    into the payload of a record for a keyed sink if the rule leaves it out.
+    """
+    dated = "since" in config.columns
+    rules = config.where("not gone") if dated else one_rule_a_key(config)
+    named = [F.col("source_table").alias("tableName"), F.col("operate_type").alias("type"), "sink_type", "sink_table", "sink_columns", F.coalesce("sink_pk", F.lit("id")).alias("sink_pk")]
+    if dated:
+        rules = rules.select(F.col("source_table").alias("_table"), F.col("operate_type").alias("_type"), *named[2:], "since", "until")
+        at = F.col("position") if "position" in cdc.columns else F.lit(None).cast("long")
+        in_force = F.when(at.isNull(), F.col("until").isNull()).otherwise((at >= F.col("since")) & (F.col("until").isNull() | (at < F.col("until"))))
+        rows = bounded_join(cdc, rules, (F.col("tableName") == F.col("_table")) & (F.col("type") == F.col("_type")) & in_force, "left").drop("_table", "_type", "since", "until")
+    else:
+        rows = bounded_join(cdc, rules.select(*named), ["tableName", "type"], "left")
+    key = F.element_at("after", F.col("sink_pk"))
+    payload = project_json("after", "sink_columns")
+    keyed = F.map_concat(F.map_filter(payload, lambda k, _: k != F.col("sink_pk")), F.map_from_arrays(F.array(F.coalesce("sink_pk", F.lit("id"))), F.array(key)))
+    whole = F.when((F.col("sink_type") == KEYED) & key.isNotNull(), keyed).otherwise(payload)
+    return rows.withColumn("key", key).withColumn("payload", whole).drop("sink_columns")
 
 
 def routed(rows: DataFrame, sink_type: str) -> DataFrame:
@@ -74,8 +133,9 @@ def unmatched(rows: DataFrame) -> DataFrame:
 
 
 def unrouted(rows: DataFrame, sinks: list[str]) -> DataFrame:
-    """Rows with a route to none of ``sinks``."""
-    return rows.where(F.col("sink_type").isNotNull() & ~F.col("sink_type").isin(sinks))
+    """Rows with a route to none of ``sinks``, and those for dimensions that lack their key."""
+    other = ~F.col("sink_type").isin(sinks) | ((F.col("sink_type") == KEYED) & F.col("key").isNull())
+    return rows.where(F.col("sink_type").isNotNull() & other)
 
 
 def latest_per_key(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -415,6 +416,20 @@ def new_visitor_stream(spark, sf):
     return spark.read.parquet(f"{root}/rows").select("event_id", "mid", "is_new")
 
 
+@query(ORACLES["new_visitor_batch"])
+def new_visitor_state_stream(spark, sf):
+    """The same in three batches, in order of time; what was seen is in the state store."""
+    root = shared_path(spark, "visitors-state")
+    events = b.table(spark, sf, "events")
+    third = events.selectExpr("approx_percentile(ts, array(0.33, 0.67)) t")
+    rows = visitors.flat_logs(logs.clean(logs.parse_logs(b.app_log(events))))
+    cuts = [F.col("ts") < F.col("t")[0], (F.col("ts") >= F.col("t")[0]) & (F.col("ts") < F.col("t")[1]), F.col("ts") >= F.col("t")[1]]
+    for k, cut in enumerate(cuts):
+        rows.join(F.broadcast(third), cut, "left_semi").write.parquet(f"{root}/in/part={k}")  # third is one row
+        visitors.fix_is_new_stream(spark.readStream.schema(rows.schema).parquet(f"{root}/in"), ["ts", "event_id"], root)
+    return spark.read.parquet(f"{root}/rows").select("event_id", "mid", "is_new")
+
+
 @query(f"""
 select 'start' kind, event_id, entry as value from ({START_SQL}) union all select 'page', event_id, page_id from ({PAGE_SQL})
 union all select 'display', event_id, item from ({DISPLAY_SQL}) union all select 'dirty', null, 'dirty' from events where event_id % 50 = 0""")
@@ -507,6 +522,54 @@ def cdc_route_stream(spark, sf):
     return kafka.unionByName(dim).unionByName(other).groupBy("sink_table").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("ids")).unionByName(lost)
 
 
+#: Rules by the position from which they hold: a sink that changes, one that ends, one that begins late, and a dimension whose columns lack the key.
+RULE_CHANGES = [
+    ("order_info", "insert", "kafka", "dwd_order_info", "id,user_id,status", None, 0, "update"),
+    ("order_info", "insert", "kafka", "dwd_order_info_v2", "id,status", None, 700, "update"),
+    ("order_info", "update", "kafka", "dwd_order_info_update", "id", None, 0, "update"),
+    ("order_info", "update", "kafka", "dwd_order_info_update", "id", None, 900, "delete"),
+    ("base_trademark", "insert", "hbase", "dim_base_trademark", "priority", None, 0, "update"),
+    ("sku_info", "read", "clickhouse", "ck_sku_info", "id", None, 300, "update"),
+]
+RULE_KIND = "source_table string, operate_type string, sink_type string, sink_table string, sink_columns string, sink_pk string, position long, type string"
+
+
+@query(f"""with {CDC},
+found as (
+  select id, case
+    when tab = 'order_info' and type = 'insert' then case when id < 700 then 'dwd_order_info' else 'dwd_order_info_v2' end
+    when tab = 'order_info' and type = 'update' and id < 900 then 'dwd_order_info_update'
+    when tab = 'base_trademark' and type = 'insert' then 'dim_base_trademark'
+    when tab = 'sku_info' and type = 'read' and id >= 300 then 'unrouted' else 'unmatched' end sink
+  from cdc where type <> 'delete'
+  union all select null, 'dirty' from orders where o_orderkey % 97 = 0
+  union all select null, 'dropped' from cdc where type = 'delete')
+select sink, count(*) n, sum(id)::bigint ids from found group by sink""")
+def cdc_route_config_stream(spark, sf):
+    """Rules come as a stream of changes, records in two batches, with broken lines; each record is routed by the rule of its position."""
+    root = shared_path(spark, "route-config")
+    spark.createDataFrame(RULE_CHANGES, RULE_KIND).write.parquet(f"{root}/rules")
+    pipelines.config_history_stream(spark.readStream.schema(RULE_KIND).parquet(f"{root}/rules"), f"{root}/config")
+    raw = b.raw_cdc(spark, sf).withColumn("position", F.coalesce(F.col("after")["id"], F.col("before")["id"]).cast("long"))
+    lines = cdc.to_envelope(cdc.normalize_cdc(raw)).withColumn("id", F.get_json_object("value", "$.position").cast("long"))
+    cut = lines.where("id % 97 = 0").withColumn("value", F.expr("substring(value, 1, cast(length(value) / 2 as int))"))
+    for k, part in enumerate((F.col("id") < 700, F.col("id") >= 700)):
+        lines.unionByName(cut).where(part).select("value").write.text(f"{root}/lines/part{k}")
+        pipelines.route_stream(streams.read_stream(spark, {"path": f"{root}/lines/*"}), lambda: spark.read.parquet(f"{root}/config/changes").drop("batch"), root)
+    own = streams.committed(spark, root)
+    sink = lambda name: streams.read_committed(spark, root, name, own)
+    count = lambda df, name, value: df.select(name.alias("sink"), F.get_json_object(value, "$.id").cast("long").alias("id"))
+    parts = [
+        count(sink("kafka"), F.col("sink_table").cast("string"), "value"),
+        count(pipelines.read_routed_dim(spark, root, "dim_base_trademark"), F.lit("dim_base_trademark"), "value"),
+        count(sink("unrouted"), F.lit("unrouted"), "value"),
+        count(sink("unmatched"), F.lit("unmatched"), "after"),
+        sink("dirty").select(F.lit("dirty").alias("sink"), F.lit(None).cast("long").alias("id")),
+        raw.where("op = 'DELETE'").select(F.lit("dropped").alias("sink"), F.lit(None).cast("long").alias("id")),
+    ]
+    return reduce(DataFrame.unionByName, parts).groupBy("sink").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("ids"))
+
+
 def _config_changes(orders: DataFrame) -> DataFrame:
     return orders.select(F.concat(F.lit("t"), F.col("o_custkey") % 5).alias("source_table"), F.col("o_orderpriority").alias("operate_type"), F.col("o_orderkey").alias("v"), F.when(F.col("o_orderkey") % 7 == 0, "delete").otherwise("update").alias("type"))
 

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import cdc, logs
-from .streams import batch_name, run_batches, write_batch, write_topic
+from .dimensions import BUCKETS, exists, read_dim, remove, upsert_dim
+from .streams import batch_name, begin_batch, commit_batch, read_committed, run_batches, write_batch, write_topic
 
 
 def split_logs(lines: DataFrame, root: str, line: str = "line") -> None:
@@ -29,39 +31,6 @@ def multiplex_logs(lines: DataFrame, root: str, line: str = "line") -> None:
     run_batches(lines, lambda b, k: logs.tag_logs(logs.etl_logs(b, line), line).write.mode("overwrite").partitionBy("topic").parquet(f"{root}/topics/batch={k}"), f"{root}/_checkpoint")
 
 
-def _versions(spark: SparkSession, path: str) -> list[tuple[int, str]]:
-    """Complete versions of a dimension: number, and the batch that made it. Folders are named ``v=number,batch``."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
-    names = [s.getPath().getName() for s in fs.listStatus(place)] if fs.exists(place) else []
-    # a version counts once its write is complete
-    done = [n for n in names if n.startswith("v=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
-    return sorted((int(n[2:].split(",")[0]), n.partition(",")[2]) for n in done)
-
-
-def read_dim(spark: SparkSession, path: str, but: str | None = None) -> DataFrame | None:
-    """The newest complete version of a dimension table; with ``but``, the newest that this batch didn't make."""
-    found = [v for v in _versions(spark, path) if v[1] != but]
-    return spark.read.parquet(f"{path}/v={found[-1][0]},{found[-1][1]}") if found else None
-
-
-def upsert_dim(batch: DataFrame, path: str, keys: list[str], order: list[str], name: str, keep: Column | None = None) -> None:
-    """Writes the next version of a dimension: of each key the last row. A repeated batch changes nothing.
-
-    ``name`` tells the batch from all others, those of an earlier run of the stream, too (``batch_name``);
-    versions have a number of their own. ``keep`` says which rows of the version before still count.
-    """
-    spark = batch.sparkSession
-    before = [v for v in _versions(spark, path) if v[1] != name]
-    old = read_dim(spark, path, name) if before else batch.limit(0)
-    old = old if keep is None else old.where(keep)
-    number = before[-1][0] + 1 if before else 0
-    cdc.merge_latest(old, batch, keys, order).write.mode("overwrite").parquet(f"{path}/v={number},{name}")
-    for v, made_by in before[:-1]:  # readers may still hold the version before
-        place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v={v},{made_by}")
-        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-
-
 def upsert_stream(rows: DataFrame, path: str, keys: list[str], order: list[str], mode: str = "append") -> None:
     """Upserts every batch; in mode ``update`` of a grouped stream the groups that changed."""
     checkpoint = f"{path}-checkpoint"
@@ -73,6 +42,11 @@ def config_stream(changes: DataFrame, path: str, order: str) -> None:
     upsert_stream(changes, path, ["source_table", "operate_type"], [order])
 
 
+def config_history_stream(changes: DataFrame, path: str) -> None:
+    """Keeps every change of the routing configuration (ST-8), so that each record finds the rule of its position."""
+    run_batches(changes, lambda b, k: write_batch(b, f"{path}/changes", k), f"{path}/_checkpoint")
+
+
 def read_config(spark: SparkSession, path: str) -> DataFrame:
     """The rules that ``config_stream`` has seen and that no later change deleted."""
     return read_dim(spark, path).where("type != 'delete'")
@@ -96,33 +70,74 @@ def ensure_table(spark: SparkSession, database: str, table: str, columns: str, p
     spark.sql(f"create table if not exists {database}.{table} ({own}) using parquet location '{path}'")
 
 
-def route_stream(envelopes: DataFrame, config: Callable[[], DataFrame], root: str, servers: str | None = None) -> None:
+def _fold(spark: SparkSession, root: str, batch_id: int, name: str, buckets: int) -> None:
+    """Brings a batch's changes of dimensions into their tables; the loop is over the sink tables of the batch."""
+    path = f"{root}/changes/batch={batch_id}"
+    changes = spark.read.parquet(path)
+    for (table,) in changes.select("sink_table").distinct().collect():  # as many as the rules name
+        own = changes.where(F.col("sink_table") == table).select("key", "value", F.lit(batch_id).alias("batch"), "position")
+        upsert_dim(own, f"{root}/dim/{table}", ["key"], ["position", "batch", "value"], name, buckets)
+    remove(spark, path)
+
+
+def read_routed_dim(spark: SparkSession, root: str, table: str) -> DataFrame:
+    """A dimension of ``route_stream``: its table, with the changes of committed batches that aren't in it yet."""
+    own = read_dim(spark, f"{root}/dim/{table}")
+    more = read_committed(spark, root, "changes")
+    more = None if more is None else more.where(F.col("sink_table") == table).select("key", "value", F.col("batch").cast("int").alias("batch"), "position")
+    parts = [x for x in (own, more) if x is not None]
+    if not parts:
+        return spark.createDataFrame([], "key string, value string, batch int, position long")
+    return own if more is None else cdc.latest_per_key(reduce(DataFrame.unionByName, parts), ["key"], ["position", "batch", "value"])
+
+
+def route_stream(envelopes: DataFrame, config: Callable[[], DataFrame], root: str, servers: str | None = None, buckets: int = BUCKETS) -> None:
     """Routes change records by a configuration that is read anew for each batch.
 
-    Records for Kafka go out by sink table, to topics of ``servers`` if given, else to folders; those for dimensions are upserted by key, those for any
-    other sink are kept in ``unrouted`` and what has no route in ``unmatched``. Of a key's changes the
-    one of the highest ``position`` wins; of records without one, that of the last batch, and in a
-    batch the greatest value, as nothing else tells their order. The loop is over the configured
-    dimension tables, whose number is that of the rules.
+    ``config`` gives one rule a key, or with a column ``position`` the changes of the rules: then each record is
+    routed by the rule in force at its own position. Records for Kafka go out by sink table, to topics of
+    ``servers`` if given (with the batch's name as a header), else to folders; those for dimensions are upserted
+    by the key in the record. Nothing is lost: lines that are no envelope are kept in ``dirty``, what has no
+    route in ``unmatched``, and what has a route to another sink, or to a dimension without a key, in
+    ``unrouted``; only deletions are left out, as the rules don't have them.
+
+    Of a key's changes the one of the highest ``position`` wins; of records without one, that of the last batch,
+    and in a batch the greatest value, as nothing else tells their order.
+
+    A batch is committed once, after its last sink: ``read_committed`` and ``read_routed_dim`` show all of a
+    batch or nothing of it. Changes of dimensions are a sink of their own, brought into the tables after that;
+    a job that stops between finds them there.
     """
     checkpoint = f"{root}/_checkpoint"
 
     def each(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        name = batch_name(spark, checkpoint, batch_id)
+        if begin_batch(spark, root, batch_id, name):  # committed before: at most the tables lack it
+            if exists(spark, f"{root}/changes/batch={batch_id}"):
+                _fold(spark, root, batch_id, name, buckets)
+            return
         rules = config()
-        rows = cdc.route_cdc(cdc.drop_deletes(cdc.from_envelope(batch)), rules).persist()
-        topics = cdc.routed(rows, "kafka")
-        if servers:
-            write_topic(topics.withColumnRenamed("sink_table", "topic"), servers)
-        else:
-            topics.write.mode("overwrite").partitionBy("sink_table").parquet(f"{root}/kafka/batch={batch_id}")
-        name = batch_name(batch.sparkSession, checkpoint, batch_id)
-        write_batch(cdc.unmatched(rows).select("tableName", "type", F.to_json("after").alias("after")), f"{root}/unmatched", batch_id)
-        other = cdc.unrouted(rows, ["kafka", "hbase"])
-        write_batch(other.select("sink_type", "sink_table", F.to_json("payload").alias("value")), f"{root}/unrouted", batch_id)
-        for rule in rules.where("sink_type = 'hbase'").select("sink_table", F.coalesce("sink_pk", F.lit("id")).alias("pk")).distinct().collect():
-            own = rows.where((F.col("sink_type") == "hbase") & (F.col("sink_table") == rule["sink_table"]))
-            keyed = own.select(F.col("payload")[rule["pk"]].alias("key"), F.to_json("payload").alias("value"), F.lit(batch_id).alias("batch"), "position")
-            upsert_dim(keyed, f"{root}/dim/{rule['sink_table']}", ["key"], ["position", "batch", "value"], name)
-        rows.unpersist()
+        rules = cdc.rule_versions(rules) if "position" in rules.columns else rules
+        parsed = cdc.parse_envelopes(batch).persist()
+        rows = cdc.route_cdc(cdc.drop_deletes(parsed.where("e is not null").select("e.*")), rules).persist()
+        try:
+            write_batch(cdc.broken_envelopes(parsed), f"{root}/dirty", batch_id)
+            write_batch(cdc.unmatched(rows).select("tableName", "type", F.to_json("after").alias("after")), f"{root}/unmatched", batch_id)
+            other = cdc.unrouted(rows, ["kafka", cdc.KEYED])
+            write_batch(other.select("sink_type", "sink_table", F.to_json("payload").alias("value")), f"{root}/unrouted", batch_id)
+            keyed = rows.where((F.col("sink_type") == cdc.KEYED) & F.col("key").isNotNull())
+            keyed = keyed.select("sink_table", "key", F.to_json("payload").alias("value"), "position")
+            write_batch(keyed, f"{root}/changes", batch_id)
+            topics = cdc.routed(rows, "kafka")
+            if servers:
+                write_topic(topics.withColumnRenamed("sink_table", "topic"), servers, batch=name)
+            else:
+                topics.write.mode("overwrite").partitionBy("sink_table").parquet(f"{root}/kafka/batch={batch_id}")
+            commit_batch(spark, root, batch_id, name)
+            _fold(spark, root, batch_id, name, buckets)
+        finally:
+            rows.unpersist()
+            parsed.unpersist()
 
     run_batches(envelopes, each, checkpoint)

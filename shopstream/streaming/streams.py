@@ -6,9 +6,11 @@ import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import cdc
+from .dimensions import exists, names_in, read_mark, remove, write_mark
 
 
 def stream_options(topic: str, group: str, starting: str = "latest") -> dict[str, str]:
@@ -25,10 +27,16 @@ def read_stream(spark: SparkSession, source: dict[str, str]) -> DataFrame:
     return stream.load().selectExpr("cast(value as string) value")
 
 
-def write_topic(df: DataFrame, servers: str, topic: str | None = None) -> None:
-    """Values of a batch to one topic, or each to that in its column ``topic``; a repeated batch is sent again."""
+def write_topic(df: DataFrame, servers: str, topic: str | None = None, batch: str | None = None) -> None:
+    """Values of a batch to one topic, or each to that in its column ``topic``.
+
+    A repeated batch is sent again; with ``batch`` each record carries that name in a header, by which a
+    consumer tells the resend.
+    """
     own = df.select("value", *([] if topic else ["topic"]))
-    writer = own.write.format("kafka").option("kafka.bootstrap.servers", servers)
+    if batch is not None:
+        own = own.withColumn("headers", F.array(F.struct(F.lit("batch").alias("key"), F.lit(batch).cast("binary").alias("value"))))
+    writer = own.write.format("kafka").mode("append").option("kafka.bootstrap.servers", servers)
     (writer.option("topic", topic) if topic else writer).save()
 
 
@@ -66,6 +74,32 @@ def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
 
+def begin_batch(spark: SparkSession, root: str, batch_id: int, name: str) -> bool:
+    """Whether this very batch was committed; the commit of another one with its number, of an earlier stream, is taken back."""
+    mark = f"{root}/_commits/{batch_id}"
+    if exists(spark, mark):
+        if read_mark(spark, mark) == name:
+            return True
+        remove(spark, mark)
+    return False
+
+
+def commit_batch(spark: SparkSession, root: str, batch_id: int, name: str) -> None:
+    """Says that all sinks of a batch below ``root`` are written: one small file, made at once."""
+    write_mark(spark, f"{root}/_commits/{batch_id}", name)
+
+
+def committed(spark: SparkSession, root: str) -> list[int]:
+    return sorted(int(n) for n in names_in(spark, f"{root}/_commits") if n.isdigit())
+
+
+def read_committed(spark: SparkSession, root: str, sink: str, of: list[int] | None = None) -> DataFrame | None:
+    """Rows of a sink, of committed batches only (those of ``of``, read before, so that several sinks show the same ones)."""
+    path = f"{root}/{sink}"
+    own = [k for k in (committed(spark, root) if of is None else of) if exists(spark, f"{path}/batch={k}")]
+    return spark.read.option("basePath", path).parquet(*[f"{path}/batch={k}" for k in own]) if own else None
+
+
 def run_batches(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, once: bool = True, mode: str = "append") -> StreamingQuery:
     """Runs ``each`` on every batch; ``once`` works off what is there and ends."""
     writer = stream.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", checkpoint)
