@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -76,15 +78,45 @@ def import_order_detail(details: DataFrame, orders: DataFrame) -> DataFrame:
     return details.join(orders.select(F.col("id").alias("order_id"), "user_id"), "order_id")
 
 
+#: Characters that landing files can't hold as they are, and what stands for them; the backslash first.
+_ESCAPES = [("\\", "\\\\"), ("\t", "\\t"), ("\n", "\\n"), ("\r", "\\r")]
+_NULL = "\\N"
+
+
+def _escaped(c: str) -> Column:
+    out = F.col(c).cast("string")
+    for raw, written in _ESCAPES:
+        out = F.replace(out, F.lit(raw), F.lit(written))
+    return F.coalesce(out, F.lit(_NULL))
+
+
+def _unescaped(field: Column) -> Column:
+    """Escaped backslashes are cut out from the left first; what is between them has single ones only."""
+
+    def plain(part: Column) -> Column:
+        for raw, written in _ESCAPES[1:]:
+            part = F.replace(part, F.lit(written), F.lit(raw))
+        return part
+
+    return F.when(field != _NULL, F.array_join(F.transform(F.split(field, r"\\\\", -1), plain), "\\"))
+
+
 def land(df: DataFrame, root: str, table: str, day: str) -> str:
-    """Tab-separated landing files, nulls as ``\\N``; replaces what was there."""
+    """Tab-separated landing files that keep every value; replaces what was there.
+
+    Nulls are ``\\N``; tabs, line ends and backslashes in values are written as ``\\t``, ``\\n``, ``\\r`` and ``\\\\``,
+    so a line is a row, and blanks, empty values and a literal ``\\N`` come back as they were.
+    """
     path = f"{root}/{table}/{day}"
-    df.write.mode("overwrite").csv(path, sep="\t", nullValue="\\N", emptyValue="", compression="gzip")
+    df.select(F.concat_ws("\t", *map(_escaped, df.columns)).alias("value")).write.mode("overwrite").text(path, compression="gzip", lineSep="\n")
     return path
 
 
 def read_landed(spark: SparkSession, root: str, table: str, day: str) -> DataFrame:
-    return spark.read.csv(f"{root}/{table}/{day}", schema=ODS_SPECS[table].schema(), sep="\t", nullValue="\\N", emptyValue="")
+    """The rows of landing files by the table's columns; fields that a line lacks are null."""
+    fields = F.split("value", "\t", -1)
+    lines = spark.read.text(f"{root}/{table}/{day}", lineSep="\n").select(fields.alias("f"))
+    return lines.select(*[_unescaped(F.get("f", F.lit(i))).cast(t).alias(c) for i, (c, t) in enumerate(ODS_SPECS[table].columns.items())])
 
 
 def overwrite_partition(df: DataFrame, path: str, column: str = "dt", value: str | None = None) -> None:
@@ -93,24 +125,54 @@ def overwrite_partition(df: DataFrame, path: str, column: str = "dt", value: str
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(column).parquet(path)
 
 
-def import_source(source: Callable[[str], DataFrame], root: str, mode: str, day: str) -> list[str]:
+def _side_by_side(spark: SparkSession, names: list[str], work: Callable[[str], object], at_once: int) -> None:
+    """Runs the tables' jobs at once, each in a scheduler pool of its own; waits for all and raises the first error."""
+
+    def one(name: str) -> None:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", name)
+        work(name)
+
+    with ThreadPoolExecutor(max_workers=at_once) as pool:
+        for done in [pool.submit(inheritable_thread_target(spark)(one), name) for name in names]:
+            done.result()
+
+
+def import_source(source: Callable[[str], DataFrame], root: str, mode: str, day: str, at_once: int = 8) -> list[str]:
     """Lands tables: all for ``first``, those that change for ``all``, or the one named. Full tables whole, others by day."""
     names = [n for n, s in ODS_SPECS.items() if mode == "first" or (mode == "all" and s.strategy != "O") or mode == n]
-    for name in names:
+
+    def one(name: str) -> None:
         spec = ODS_SPECS[name]
         land(conform(increment(source(name), day, () if mode == "first" else spec.dates), spec), root, name, day)
+
+    if names:
+        _side_by_side(SparkSession.active(), names, one, at_once)
     return names
 
 
-def load_ods(spark: SparkSession, root: str, warehouse: str, mode: str, day: str) -> list[str]:
-    """Loads landed files into day partitions, and the tables loaded once only for ``first``."""
+def load_ods(spark: SparkSession, root: str, warehouse: str, mode: str, day: str, at_once: int = 8) -> list[str]:
+    """Loads landed files into day partitions, and the tables loaded once only for ``first``.
+
+    All tables are read and typed into a staging folder first. Only when that has succeeded for every one of
+    them do the new partitions take the places of the old, which are renames; so a table that fails leaves the
+    former day of all of them. A run that ends between two renames is finished by the next run for the day.
+    """
     names = [n for n, s in ODS_SPECS.items() if mode == "first" or s.strategy != "O"]
+    staging = f"{warehouse}/_staging/{day}"
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(staging).getFileSystem(spark._jsc.hadoopConfiguration())
+    place = lambda path: hadoop.Path(path)
+    if not fs.exists(place(f"{staging}/_ready")):
+        fs.delete(place(staging), True)
+        _side_by_side(spark, names, lambda name: read_landed(spark, root, name, day).write.mode("overwrite").parquet(f"{staging}/{name}"), at_once)
+        fs.create(place(f"{staging}/_ready")).close()
     for name in names:
-        rows, path = read_landed(spark, root, name, day), f"{warehouse}/ods_{name}"
-        if ODS_SPECS[name].strategy == "O":
-            rows.write.mode("overwrite").parquet(path)
-        else:
-            overwrite_partition(rows, path, "dt", day)
+        path = f"{warehouse}/ods_{name}" + ("" if ODS_SPECS[name].strategy == "O" else f"/dt={day}")
+        if fs.exists(place(f"{staging}/{name}")):
+            fs.delete(place(path), True)
+            fs.mkdirs(place(path).getParent())
+            fs.rename(place(f"{staging}/{name}"), place(path))
+    fs.delete(place(staging), True)
     return names
 
 

@@ -824,6 +824,70 @@ def ods_all_tables(spark, sf):
     return out
 
 
+def _ods_source(spark, sf, name: str) -> DataFrame:
+    """A source table with values in its key, name, date and amount columns."""
+    base, key, date = _ods_base(name)
+    spec = warehouse.ODS_SPECS[name]
+    at = F.date_format(date, "yyyy-MM-dd HH:mm:ss") if date else F.lit(None).cast("string")
+    own = {c: at for c in dict.fromkeys([*spec.dates, "create_time"])}
+    for k, (c, t) in enumerate(spec.columns.items()):
+        if c not in own:
+            own[c] = F.col(key) if k == 0 else F.col(key) % (k + 2) if t != "string" else F.when(F.col(key) % (k + 3) > 0, F.concat_ws("\t", F.lit(f" {c}"), F.lit("\\"), key))
+    return b.table(spark, sf, base).select(*[v.alias(c) for c, v in own.items()])
+
+
+def _ods_values_sql() -> str:
+    each = []
+    for name, spec in warehouse.ODS_SPECS.items():
+        base, key, date = _ods_base(name)
+        at = f"strftime({date}, '%Y-%m-%d %H:%M:%S')" if date else "null::varchar"
+        values = []
+        for k, (c, t) in enumerate(spec.columns.items()):
+            if c in (*spec.dates, "create_time"):
+                values.append(at)
+            else:
+                values.append(f"{key}::{t}" if k == 0 else f"({key} % {k + 2})::{t}" if t != "string" else f"case when {key} % {k + 3} > 0 then concat(' {c}', chr(9), chr(92), chr(9), {key}) end")
+        row = " || '|' || ".join(f"coalesce(({v.replace('::string', '::varchar')})::varchar, '\\N')" for v in values)
+        on_day = "true" if not spec.dates else f"{date}::date = date '{DAY}'" if date else "false"
+        days = [("null", "true")] if spec.strategy == "O" else [(f"'{FIRST_LOAD}'", "true"), (f"'{DAY}'", on_day)]
+        each += [f"select '{name}' as name, {day}::varchar dt, count(*) n, bit_xor(('0x' || left(md5({row}), 15))::bigint) as hash from {base} where {where} group by 1, 2" for day, where in days]
+    return "select name, dt, n, hash from (" + " union all ".join(each) + ")"
+
+
+@query(_ods_values_sql())
+def ods_all_values(spark, sf):
+    """The 23 tables of two days, with tabs and backslashes in their values: of each table and day the rows and a hash of all columns."""
+    root = shared_path(spark, "ods-values")
+    for mode, day in (("first", FIRST_LOAD), ("all", DAY)):
+        warehouse.import_source(lambda name: _ods_source(spark, sf, name), f"{root}/land", mode, day)
+        warehouse.load_ods(spark, f"{root}/land", f"{root}/ods", mode, day)
+    out = []
+    for name, spec in warehouse.ODS_SPECS.items():
+        rows = spark.read.parquet(f"{root}/ods/ods_{name}")
+        day = (F.lit(None) if spec.strategy == "O" else F.col("dt")).cast("string").alias("dt")
+        row = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in spec.columns])
+        part = F.conv(F.substring(F.md5(row), 1, 15), 16, 10).cast("long")
+        out.append(rows.groupBy(day).agg(F.count(F.lit(1)).alias("n"), F.bit_xor(part).alias("hash")).select(F.lit(name).alias("name"), "dt", "n", "hash"))
+    return reduce(DataFrame.unionByName, out)
+
+
+_ODD_SQL = "[chr(9), chr(10) || 'x' || chr(10), chr(13) || chr(10), chr(92) || 'N', '  sp ', '', null, 'a' || chr(92), chr(92) || 'n' || chr(92) || chr(92) || chr(10), '日本'][o_orderkey % 10 + 1]"
+
+
+@query(f"""
+select o_orderkey::varchar id, {_ODD_SQL} as name, md5(coalesce(text, 'null')) as text
+from orders left join documents on doc_id = o_orderkey""")
+def ods_odd_values(spark, sf):
+    """Values with tabs, line ends, backslashes, blanks, a literal null mark, and whole texts come back as they were."""
+    root = shared_path(spark, "ods-odd")
+    odd = F.array(*[F.lit(x) for x in ("\t", "\nx\n", "\r\n", "\\N", "  sp ", "", None, "a\\", "\\n\\\\\n", "日本")])
+    docs = b.table(spark, sf, "documents").select(F.col("doc_id").alias("o_orderkey"), "text")
+    own = b.table(spark, sf, "orders").join(docs, "o_orderkey", "left").select(F.col("o_orderkey").cast("string").alias("id"), F.get(odd, (F.col("o_orderkey") % 10).cast("int")).alias("name"), F.col("text").alias("category2_id"))
+    warehouse.land(own, root, "base_category3", DAY)
+    found = warehouse.read_landed(spark, root, "base_category3", DAY)
+    return found.select("id", "name", F.md5(F.coalesce("category2_id", F.lit("null"))).alias("text"))
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Scan, aggregate, join, filter and count in one plan: the histogram of filtered sessions."""
     own = sessions.scan_actions(b.user_visit_action(spark, sf), "2024-01-01", "2024-01-31")
