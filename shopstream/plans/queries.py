@@ -12,7 +12,8 @@ from ..functions import text, times
 from ..operators import cdc, logs, portrait, rankings, sessions, skew, traffic, variables, warehouse
 from ..sources import bindings as b
 from ..sources.shared import shared_path
-from ..streaming import pipelines, streams, visitors
+from ..streaming import lookups, pipelines, snapshots, streams, visitors
+from ..streaming.dimensions import upsert_dim
 
 PARAMS = {"startAge": ["10"], "endAge": ["45"], "professionals": ["BUILDING,MACHINERY,AUTOMOBILE"], "sex": ["male"], "keywords": ["kw1,kw2,kw3,kw4"], "categoryIds": ["1,2,3,4,5,6,7,8,9,10,11,12,13,14,15"]}
 FLOW = [1, 2, 3, 4]
@@ -620,6 +621,60 @@ def dim_lookup(spark, sf):
     return cdc.lookup_dim(b.table(spark, sf, "events").select("event_id", "user_id"), dim, "user_id")
 
 
+@query(ORACLES["dim_lookup"])
+def dim_lookup_stream(spark, sf):
+    """Events are looked up as they come; two thirds of the customers are there from the start, the rest comes later."""
+    root = shared_path(spark, "lookup")
+    dim = b.table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"), "c_name", "c_mktsegment")
+    events = b.table(spark, sf, "events").select("event_id", "user_id")
+    columns = ["user_id", "c_name", "c_mktsegment"]
+    for k, part in enumerate((F.col("user_id") % 3 != 0, F.col("user_id") % 3 == 0)):
+        upsert_dim(dim.where(part).withColumn("at", F.lit(k)), f"{root}/dim", ["user_id"], ["at"], f"{k},query")
+        events.where(F.col("event_id") % 2 == k).write.parquet(f"{root}/in/part={k}")
+        stream = spark.readStream.schema(events.schema).parquet(f"{root}/in")
+        lookups.lookup_stream(stream.select("event_id", "user_id"), lookups.table_dim(spark, f"{root}/dim", columns, 0), "user_id", f"{root}/out")
+    return lookups.read_looked_up(spark, f"{root}/out").select("event_id", *columns)
+
+
+#: Positions of the change log of ``cdc_snapshot_splice`` come in waves this far apart.
+WAVE = 10_000_000_000
+
+
+def _order_versions(orders: DataFrame) -> DataFrame:
+    """All versions of the orders: made, then updated, deleted and made again, each wave for some of them."""
+    key = F.col("o_orderkey")
+    waves = [("new", "insert", 1), ("up", "update", 2), (None, "delete", 5), ("again", "insert", 10)]
+    parts = [orders.where(key % n == 0).select(key.alias("id"), F.lit(status).cast("string").alias("status"), F.lit(kind).alias("type"), (key + k * WAVE).alias("position")) for k, (status, kind, n) in enumerate(waves)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query("""
+select o_orderkey id, case when o_orderkey % 10 = 0 then 'again' when o_orderkey % 2 = 0 then 'up' else 'new' end status
+from orders where o_orderkey % 5 <> 0 or o_orderkey % 10 = 0""")
+def cdc_snapshot_splice(spark, sf):
+    """A snapshot in four key ranges, each read at another point of the change log, and the changes in three batches."""
+    root = shared_path(spark, "splice")
+    orders = b.table(spark, sf, "orders")
+    versions = _order_versions(orders)
+    least, most, half = orders.agg(F.min("o_orderkey"), F.max("o_orderkey"), F.expr("cast(avg(o_orderkey) as bigint)")).first()
+    #: The log's end before and after each range is read, and when it is read.
+    reads = [(WAVE - 1, WAVE - 1, WAVE - 1), (WAVE - 1, WAVE + half, 2 * WAVE - 1), (WAVE + half, 2 * WAVE + half, 2 * WAVE + most), (3 * WAVE, 3 * WAVE + half, 3 * WAVE + half)]
+    ends = iter([p for low, _, high in reads for p in (low, high)] + [4 * WAVE] * 4)
+
+    def read(k: int) -> DataFrame | None:
+        if k == len(reads):
+            return None
+        size = (most - least) // 4 + 1
+        range_ = versions.where((F.col("id") >= least + k * size) & (F.col("id") < least + (k + 1) * size))
+        return cdc.latest_per_key(range_.where(F.col("position") <= reads[k][1]), ["id"], ["position"]).where("type != 'delete'").select("id", "status")
+
+    for k in (1, 2, 3):
+        versions.where(F.col("position").between(k * WAVE, (k + 1) * WAVE - 1)).write.parquet(f"{root}/log/part={k}")
+        log = spark.readStream.schema(versions.schema).parquet(f"{root}/log").select(*versions.columns)
+        snapshots.splice_stream(log, read, lambda: next(ends), f"{root}/copy", ["id"])
+    return snapshots.read_spliced(spark, f"{root}/copy")
+
+
 @query("""
 select user_id::varchar userid, 'c' || user_id cookieid, strftime(ts, '%Y%m%d') signdate, '2024' data_date from events where event_type in ('click', 'view')""")
 def cookie_user_signin(spark, sf):

@@ -27,16 +27,16 @@ def read_stream(spark: SparkSession, source: dict[str, str]) -> DataFrame:
     return stream.load().selectExpr("cast(value as string) value")
 
 
-def write_topic(df: DataFrame, servers: str, topic: str | None = None, batch: str | None = None) -> None:
+def write_topic(df: DataFrame, servers: str, topic: str | None = None, batch: str | None = None, sink: str = "kafka") -> None:
     """Values of a batch to one topic, or each to that in its column ``topic``.
 
     A repeated batch is sent again; with ``batch`` each record carries that name in a header, by which a
-    consumer tells the resend.
+    consumer tells the resend. ``sink`` is the writer, which takes the options and columns of Kafka's.
     """
     own = df.select("value", *([] if topic else ["topic"]))
     if batch is not None:
         own = own.withColumn("headers", F.array(F.struct(F.lit("batch").alias("key"), F.lit(batch).cast("binary").alias("value"))))
-    writer = own.write.format("kafka").mode("append").option("kafka.bootstrap.servers", servers)
+    writer = own.write.format(sink).mode("append").option("kafka.bootstrap.servers", servers)
     (writer.option("topic", topic) if topic else writer).save()
 
 

@@ -1,12 +1,13 @@
 """Dimension store, routing by versions of rules, one commit a batch, and the state of first-seen repair."""
 
+import random
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from shopstream.operators import cdc
-from shopstream.streaming import dimensions, pipelines, streams, visitors
+from shopstream.streaming import dimensions, lookups, pipelines, snapshots, streams, visitors
 
 KIND = "k long, t int, v string"
 
@@ -146,3 +147,57 @@ def test_first_seen_state_forgets(spark, tmp_path):
         time.sleep(1.5)
     new = spark.read.parquet(f"{root}/out/rows").where("is_new = '1'")
     assert ("a", 4) in {(r.mid, r.ts) for r in new.collect()}
+
+
+def test_late_dimension_rows_repair_what_waits(spark, tmp_path):
+    root, kind = f"file://{tmp_path}", "k long, x long"
+    dims = [spark.createDataFrame([(1, "one")], "k long, v string"), spark.createDataFrame([(1, "one"), (2, "two")], "k long, v string")]
+    batches = [[(1, 0), (2, 1), (None, 2)] + [(9, i) for i in range(3, 203)], [(2, 300)]]
+    counts = []
+    for n, rows in enumerate(batches):
+        spark.createDataFrame(rows, kind).coalesce(1).write.parquet(f"{root}/in/part={n}")
+        stream = spark.readStream.schema(kind).parquet(f"{root}/in").select("k", "x")
+        counts += lookups.lookup_stream(stream, lookups.RefreshedDim(lambda d=dims[n]: d), "k", f"{root}/out", most_waiting=64)
+    assert counts[0]["waiting"] <= 64 and sum(counts[0].values()) == 201 and counts[0]["overflow"] > 0
+    found = {(r.k, r.x): r.v for r in spark.read.parquet(f"{root}/out/found").collect()}
+    assert found[(1, 0)] == "one" and found[(2, 300)] == "two" and found[(None, 2)] is None
+    everything = lookups.read_looked_up(spark, f"{root}/out").collect()
+    assert len(everything) == 204 == len({(r.k, r.x) for r in everything})
+    waited = spark.read.parquet(f"{root}/out/waiting/batch=0").where("k = 2").count()
+    assert waited == 0 or found[(2, 1)] == "two"
+
+
+def test_refreshed_dimension(spark):
+    loads = []
+    dim = lookups.RefreshedDim(lambda: loads.append(1) or spark.range(len(loads)), 0.5)
+    assert (dim().count(), dim().count(), len(loads)) == (1, 1, 1)
+    time.sleep(0.6)
+    assert (dim().count(), len(loads)) == (2, 2)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_splice_equals_the_table_for_any_interleaving(spark, tmp_path, seed):
+    pick = random.Random(seed)
+    log, rows = [], {k: f"old{k}" for k in range(0, 12, 2)}
+    states = [dict(rows)]  # the table at each position; those before the log are 0
+    for position in range(1, 25):
+        k = pick.randrange(12)
+        kind = "delete" if k in rows and pick.random() < 0.4 else "update" if k in rows else "insert"
+        rows = {x: v for x, v in rows.items() if x != k} | ({} if kind == "delete" else {k: f"v{position}"})
+        log.append((k, None if kind == "delete" else f"v{position}", kind, position))
+        states.append(dict(rows))
+    at = sorted(pick.randrange(25) for _ in range(9))  # low, read and high of three chunks
+    ends = iter([at[i] for i in (0, 2, 3, 5, 6, 8)] + [24] * 9)
+    cuts = sorted(pick.sample(range(1, 24), 2))
+
+    def read(k):
+        own = [(x, v) for x, v in states[at[3 * k + 1]].items() if x // 4 == k] if k < 3 else None
+        return None if own is None else spark.createDataFrame(own, "k long, v string")
+
+    kind = "k long, v string, type string, position long"
+    for n, (a, b) in enumerate(zip([0, *cuts], [*cuts, 24])):
+        spark.createDataFrame(log[a:b], kind).coalesce(1).write.parquet(f"file://{tmp_path}/log/part={n}")
+        stream = spark.readStream.schema(kind).parquet(f"file://{tmp_path}/log").select("k", "v", "type", "position")
+        applied = snapshots.splice_stream(stream, read, lambda: next(ends), f"file://{tmp_path}/copy", ["k"], buckets=2)
+    assert applied == 3
+    assert {r.k: r.v for r in snapshots.read_spliced(spark, f"file://{tmp_path}/copy").collect()} == rows
