@@ -23,6 +23,11 @@ def json_merge(a: Named, b: Named) -> Column:
     return F.map_concat(F.map_filter(a, lambda k, _: ~F.map_contains_key(b, k)), b)
 
 
+def fields_of(row: Column) -> Column:
+    """A struct as a map of variants: numbers, texts and nested values keep their types."""
+    return F.parse_json(F.to_json(row)).cast("map<string,variant>")
+
+
 def json_put(c: Named, key: str, value: Named) -> Column:
     return json_merge(c, F.create_map(F.lit(key), col(value).cast("string")))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.jsons import project_json
 from .skew import bounded_join
@@ -11,6 +12,8 @@ from .skew import bounded_join
 ENVELOPE = "struct<database:string,tableName:string,before:map<string,string>,after:map<string,string>,type:string,position:bigint>"
 
 
+#: The same with fields of any type.
+TYPED = ENVELOPE.replace("map<string,string>", "map<string,variant>")
 #: The sink type of dimension tables.
 KEYED = "hbase"
 
@@ -35,23 +38,27 @@ def _position(rows: DataFrame) -> list[str]:
 
 def normalize_cdc(raw: DataFrame) -> DataFrame:
     """(topic, op, before, after) to database, tableName, before, after, type; a position stays."""
-    none = F.create_map().cast("map<string,string>")
-    return raw.select(cdc_db("topic").alias("database"), cdc_table("topic").alias("tableName"), F.coalesce("before", none).alias("before"), F.coalesce("after", none).alias("after"), cdc_op("op").alias("type"), *_position(raw))
+    side = lambda c: F.coalesce(c, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast(T.ArrayType(raw.schema[c].dataType.valueType)))).alias(c)
+    return raw.select(cdc_db("topic").alias("database"), cdc_table("topic").alias("tableName"), side("before"), side("after"), cdc_op("op").alias("type"), *_position(raw))
 
 
 def to_envelope(cdc: DataFrame) -> DataFrame:
     return cdc.select(F.to_json(F.struct("database", "tableName", "before", "after", "type", *_position(cdc))).alias("value"))
 
 
-def parse_envelopes(lines: DataFrame, value: str = "value") -> DataFrame:
-    """Adds ``e``, the envelope of a line; null for what is none, is cut off or names no table."""
-    parsed = F.from_json(F.col(value), f"{ENVELOPE[:-1]},broken:string>", {"columnNameOfCorruptRecord": "broken"})
+def parse_envelopes(lines: DataFrame, value: str = "value", typed: bool = False) -> DataFrame:
+    """Adds ``e``, the envelope of a line; null for what is none, is cut off or names no table.
+
+    Fields are text, or with ``typed`` variants, so that numbers and nested values stay what they are.
+    """
+    kind = TYPED if typed else ENVELOPE
+    parsed = F.from_json(F.col(value), f"{kind[:-1]},broken:string>", {"columnNameOfCorruptRecord": "broken"})
     whole = F.col("_e.broken").isNull() & F.col("_e.tableName").isNotNull()
     return lines.withColumn("_e", parsed).withColumn("e", F.when(whole, F.col("_e").dropFields("broken"))).drop("_e")
 
 
-def from_envelope(lines: DataFrame, value: str = "value") -> DataFrame:
-    return parse_envelopes(lines, value).where("e is not null").select("e.*")
+def from_envelope(lines: DataFrame, value: str = "value", typed: bool = False) -> DataFrame:
+    return parse_envelopes(lines, value, typed).where("e is not null").select("e.*")
 
 
 def broken_envelopes(parsed: DataFrame, value: str = "value") -> DataFrame:
@@ -121,7 +128,7 @@ def route_cdc(cdc: DataFrame, config: DataFrame) -> DataFrame:
     payload = project_json("after", "sink_columns")
     keyed = F.map_concat(F.map_filter(payload, lambda k, _: k != F.col("sink_pk")), F.map_from_arrays(F.array(F.coalesce("sink_pk", F.lit("id"))), F.array(key)))
     whole = F.when((F.col("sink_type") == KEYED) & key.isNotNull(), keyed).otherwise(payload)
-    return rows.withColumn("key", key).withColumn("payload", whole).drop("sink_columns")
+    return rows.withColumn("key", key.cast("string")).withColumn("payload", whole).drop("sink_columns")
 
 
 def routed(rows: DataFrame, sink_type: str) -> DataFrame:

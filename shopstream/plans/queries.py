@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text, times
+from ..functions import jsons, text, times
 from ..operators import cdc, logs, portrait, rankings, sessions, skew, traffic, variables, warehouse
 from ..sources import bindings as b
 from ..sources.shared import shared_path
@@ -523,6 +523,27 @@ def cdc_route_stream(spark, sf):
     return kafka.unionByName(dim).unionByName(other).groupBy("sink_table").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("ids")).unionByName(lost)
 
 
+@query("""
+select o_orderkey id, o_totalprice price, o_custkey customer, o_orderpriority priority, o_orderkey % 3 = 0 urgent, 'NUMBER' kind, 'OBJECT<id: BIGINT, tags: ARRAY<STRING>>' nested
+from orders""")
+def cdc_typed_stream(spark, sf):
+    """Numbers, booleans and nested values are captured, sent as envelopes, routed and read back with their types."""
+    root = shared_path(spark, "typed")
+    orders = streams.table_stream(spark, sf, "orders")
+    customer = F.struct(F.col("o_custkey").alias("id"), F.array("o_orderpriority", F.lit("x")).alias("tags"))
+    fields = jsons.fields_of(F.struct(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("price"), customer.alias("customer"), (F.col("o_orderkey") % 3 == 0).alias("urgent")))
+    raw = orders.select(F.lit("mysql.shop.order_info").alias("topic"), F.lit("CREATE").alias("op"), fields.alias("after"), F.lit(None).cast("map<string,variant>").alias("before"))
+    pipelines.capture_stream(raw, root)
+    rules = spark.createDataFrame([("order_info", "insert", "hbase", "dim_order", "price, customer, urgent", "id")], "source_table string, operate_type string, sink_type string, sink_table string, sink_columns string, sink_pk string")
+    pipelines.route_stream(streams.read_stream(spark, {"path": f"{root}/envelopes/*"}), lambda: rules, root)
+    v = F.parse_json("value")
+    get = lambda path, kind: F.try_variant_get(v, path, kind)
+    return pipelines.read_routed_dim(spark, root, "dim_order").select(
+        get("$.id", "bigint").alias("id"), get("$.price", "double").alias("price"), get("$.customer.id", "bigint").alias("customer"), get("$.customer.tags[0]", "string").alias("priority"), get("$.urgent", "boolean").alias("urgent"),
+        F.regexp_replace(F.schema_of_variant(get("$.price", "variant")), r"^(DECIMAL.*|DOUBLE|BIGINT)$", "NUMBER").alias("kind"), F.schema_of_variant(get("$.customer", "variant")).alias("nested"),
+    )
+
+
 #: Rules by the position from which they hold: a sink that changes, one that ends, one that begins late, and a dimension whose columns lack the key.
 RULE_CHANGES = [
     ("order_info", "insert", "kafka", "dwd_order_info", "id,user_id,status", None, 0, "update"),
@@ -833,6 +854,40 @@ def session_analysis_job(spark, sf):
     return out
 
 
+_VALUES = ["user_id", "page_id", "action_time", "search_keyword", "click_category_id", "click_product_id", "order_category_ids", "order_product_ids", "pay_category_ids", "pay_product_ids"]
+_VALUES_SQL = " || '|' || ".join(f"coalesce({c}::varchar, '')" for c in _VALUES)
+
+
+@query(f"""with {JOB}
+select 'session_random_extract' as name, session_id, date_hour as value from ranked join quota using (date_hour) where r <= quota
+union all select 'session_detail', session_id, {_VALUES_SQL} from d where session_id in (select session_id from extracted)
+union all select 'top10_category', null, category_id || '|' || a || '|' || o || '|' || p from top
+union all select 'top10_category_session', session_id, category_id || '|' || n from best
+union all select 'top10_session_detail', session_id, {_VALUES_SQL} from d join (select session_id from best) using (session_id)
+union all select 'session_aggr_stat', null, count(*)::varchar from kept
+union all select 'before', null, count(*)::varchar from prof union all select 'after', null, count(*)::varchar from kept""")
+def session_analysis_rows(spark, sf):
+    """The rows of the job's six tables, and the sessions before and after its filter as counted on the way."""
+    from .session_analysis import run_session_analysis
+
+    root, counts = shared_path(spark, "session-rows"), {}
+    params = {"startDate": ["2024-01-01"], "endDate": ["2024-01-15"], "startAge": ["10"], "endAge": ["45"], "sex": ["male"]}
+    run_session_analysis(b.user_visit_action(spark, sf), b.user_info(spark, sf), params, root, 7, counts=counts)
+    all_of = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in _VALUES])
+    none = F.lit(None).cast("string")
+    values = {
+        "session_random_extract": ("session_id", F.col("date_hour")),
+        "session_detail": ("session_id", all_of),
+        "top10_category": (none, F.concat_ws("|", "category_id", "click_count", "order_count", "pay_count")),
+        "top10_category_session": ("session_id", F.concat_ws("|", "category_id", "click_count")),
+        "top10_session_detail": ("session_id", all_of),
+        "session_aggr_stat": (none, F.col("session_count").cast("string")),
+    }
+    parts = [spark.read.parquet(f"{root}/{name}").select(F.lit(name).alias("name"), (F.col(s) if isinstance(s, str) else s).alias("session_id"), v.alias("value")) for name, (s, v) in values.items()]
+    parts.append(spark.createDataFrame([(k, None, str(v)) for k, v in counts.items()], "name string, session_id string, value string"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 FIRST_LOAD = "1996-01-04"
 
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, Observation
+from pyspark.sql import functions as F
 
 from ..operators import rankings, sessions
 from ..sources.io import write_result
@@ -38,13 +41,41 @@ def _results(own: DataFrame, kept: DataFrame, total: int, n: int) -> dict[str, D
     }
 
 
-def run_session_analysis(actions: DataFrame, users: DataFrame, params: dict[str, list[str]], root: str, task_id: int, total: int = 100, n: int = 10) -> list[str]:
-    """Writes all result tables of a task and returns their names; the sessions that they share are held meanwhile, not the actions."""
-    kept = select_sessions(actions, users, params).persist()
-    try:
-        results = _results(_scan(actions, params), kept, total, n)
-        for name, rows in results.items():
-            write_result(rows, f"{root}/{name}", task_id)
-    finally:
-        kept.unpersist()
+def run_session_analysis(actions: DataFrame, users: DataFrame, params: dict[str, list[str]], root: str, task_id: int, total: int = 100, n: int = 10, counts: dict[str, int] | None = None) -> list[str]:
+    """Writes all result tables of a task and returns their names.
+
+    The actions are read twice: for the sessions, and once for the actions of those that the filter keeps, which
+    are written and serve all tables; tables that others build on are read back. ``counts`` gets the sessions
+    before and after the filter, counted while the kept ones are written. What only this run reads is deleted.
+    """
+    spark = actions.sparkSession
+    work = f"{root}/_work-{uuid.uuid4().hex}"
+
+    def put(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{work}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{work}/{name}")
+
+    before, after = Observation("before"), Observation("after")
+    one = F.count(F.lit(1)).alias("n")
+    own = _scan(actions, params)
+    profiles = sessions.session_profiles(sessions.aggregate_sessions(own), users).observe(before, one)
+    kept = put(sessions.filter_sessions(profiles, params).observe(after, one), "kept")
+    if counts is not None:
+        counts |= {"before": before.get["n"], "after": after.get["n"]}
+    details = put(sessions.session_details(kept, own), "details")
+    extracted = put(sessions.extract_sessions(kept, total), "extracted")
+    top = put(rankings.top_categories(rankings.category_counts(rankings.category_events(details)), n), "top")
+    best = put(rankings.top_sessions(rankings.session_category_clicks(details), top, n), "best")
+    results = {
+        "session_aggr_stat": sessions.session_ratios(sessions.session_stats(kept)),
+        "session_random_extract": extracted,
+        "session_detail": sessions.session_details(extracted, details),
+        "top10_category": top,
+        "top10_category_session": best.drop("rank"),
+        "top10_session_detail": rankings.top_session_details(best, details),
+    }
+    for name, rows in results.items():
+        write_result(rows, f"{root}/{name}", task_id)
+    place = spark._jvm.org.apache.hadoop.fs.Path(work)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
     return list(results)

@@ -99,7 +99,7 @@ def route_stream(envelopes: DataFrame, config: Callable[[], DataFrame], root: st
     ``servers`` if given (with the batch's name as a header), else to folders; those for dimensions are upserted
     by the key in the record. Nothing is lost: lines that are no envelope are kept in ``dirty``, what has no
     route in ``unmatched``, and what has a route to another sink, or to a dimension without a key, in
-    ``unrouted``; only deletions are left out, as the rules don't have them.
+    ``unrouted``; fields keep their JSON types. Only deletions are left out, as the rules don't have them.
 
     Of a key's changes the one of the highest ``position`` wins; of records without one, that of the last batch,
     and in a batch the greatest value, as nothing else tells their order.
@@ -119,7 +119,7 @@ def route_stream(envelopes: DataFrame, config: Callable[[], DataFrame], root: st
             return
         rules = config()
         rules = cdc.rule_versions(rules) if "position" in rules.columns else rules
-        parsed = cdc.parse_envelopes(batch).persist()
+        parsed = cdc.parse_envelopes(batch, typed=True).persist()
         rows = cdc.route_cdc(cdc.drop_deletes(parsed.where("e is not null").select("e.*")), rules).persist()
         try:
             write_batch(cdc.broken_envelopes(parsed), f"{root}/dirty", batch_id)

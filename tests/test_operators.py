@@ -188,3 +188,19 @@ def test_plans(spark):
     assert "o_orderpriority" not in orders._jdf.queryExecution().executedPlan().toString()
     lines = QUERIES["decision_variables"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in lines
+
+
+def test_session_job_joins_the_actions_once(spark, tmp_path, monkeypatch):
+    from shopstream.plans import session_analysis
+
+    rows = [(f"s{i % 5}", i % 5, at(i), "2024-01-01", None, i % 3, None, None) for i in range(60)]
+    own = spark.createDataFrame(rows, "session_id string, user_id long, action_time string, date string, search_keyword string, click_category_id long, order_category_ids string, pay_category_ids string")
+    users = spark.createDataFrame([(i, 20 + i, "p", "c", "male") for i in range(5)], "user_id long, age int, professional string, city string, sex string")
+    joined, details = [], sessions.session_details
+    monkeypatch.setattr(sessions, "session_details", lambda kept, actions: joined.append(len(actions.inputFiles())) or details(kept, actions))
+    own.write.parquet(f"file://{tmp_path}/actions")
+    counts = {}
+    names = session_analysis.run_session_analysis(spark.read.parquet(f"file://{tmp_path}/actions"), users, {"startAge": ["21"], "endAge": ["23"]}, f"file://{tmp_path}/out", 1, counts=counts)
+    assert counts == {"before": 5, "after": 3} and len(joined) == 2 and len(names) == 6
+    assert spark.read.parquet(f"file://{tmp_path}/out/session_detail").count() == 36
+    assert not [p for p in (tmp_path / "out").iterdir() if p.name.startswith("_work")]

@@ -1,5 +1,6 @@
 """Dimension store, routing by versions of rules, one commit a batch, and the state of first-seen repair."""
 
+import json
 import random
 import time
 
@@ -201,3 +202,13 @@ def test_splice_equals_the_table_for_any_interleaving(spark, tmp_path, seed):
         applied = snapshots.splice_stream(stream, read, lambda: next(ends), f"file://{tmp_path}/copy", ["k"], buckets=2)
     assert applied == 3
     assert {r.k: r.v for r in snapshots.read_spliced(spark, f"file://{tmp_path}/copy").collect()} == rows
+
+
+def test_types_survive_an_envelope(spark):
+    line = '{"database":"d","tableName":"k","before":{"id":1},"after":{"id":7,"x":1.5,"deep":{"a":[1,"b",null]},"flag":true,"none":null},"type":"insert","position":3}'
+    rows = cdc.from_envelope(spark.createDataFrame([(line,)], "value string"), typed=True)
+    rule = spark.createDataFrame([("k", "insert", "hbase", "dim", "x,deep,flag,none", None)], RULES)
+    found = cdc.route_cdc(rows, rule).select("key", F.to_json("payload").alias("value")).first()
+    assert found.key == "7" and json.loads(found.value) == {"id": 7, "x": 1.5, "deep": {"a": [1, "b", None]}, "flag": True, "none": None}
+    again = cdc.from_envelope(cdc.to_envelope(rows), typed=True).select(F.to_json("after").alias("after")).first()
+    assert json.loads(again.after) == json.loads(line)["after"]
