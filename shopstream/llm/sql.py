@@ -46,21 +46,24 @@ def _joined(units: str) -> str:
     return f"case when gap = ' ' then array_to_string({units}, ' ') else array_to_string({units}, '') end"
 
 
-#: Lines of ten words or more count in words, others in characters; variants of both kinds are kept apart.
+#: Two lines of which one has ten words or more count in words, others in characters; variants of both kinds are
+#: kept apart. A line one unit short of its kind only gets gaps.
 OP4 = f"""
 with l as (
   select doc_id, line - 1 line, {_WORDS.format("body")} w
   from (select doc_id, unnest(string_split(text, chr(10))) body, unnest(range(1, len(string_split(text, chr(10))) + 1)) line from documents where text is not null)),
 f as (select w, min((doc_id, line)) f from l where len(w) >= 1 group by w),
 e as (select doc_id, line from l join f using (w) where (doc_id, line) <> f),
-q as (select f, case when len(w) >= 10 then ' ' else '' end gap, case when len(w) >= 10 then w else string_split(array_to_string(w, ' '), '') end w from f),
-c as (select f, gap, w, len(w) n, list_slice(w, 1, 5) p, list_slice(w, len(w) - 4, len(w)) s from q where len(w) >= 10),
+q as (
+  select f, ' ' gap, w from f where len(w) >= 9
+  union all select f, '', string_split(array_to_string(w, ' '), '') from f where len(w) < 10),
+c as (select f, gap, w, len(w) n, len(w) >= 10 whole, list_slice(w, 1, 5) p, list_slice(w, len(w) - 4, len(w)) s from q where len(w) >= 9),
 k as (
   select * from c
   where (gap, p) in (select (gap, p) from c group by gap, p having count(*) > 1) or (gap, s) in (select (gap, s) from c group by gap, s having count(*) > 1)),
 v as (
   select f, md5(gap || chr(9) || {_joined("list_slice(w, 1, i)")} || chr(10) || {_joined("list_slice(w, i + 2, n)")}) x
-  from (select *, unnest(range(0, n)) i from k)
+  from (select *, unnest(range(0, n)) i from k where whole)
   union select f, md5(gap || chr(9) || {_joined("list_slice(w, 1, i)")} || chr(10) || {_joined("list_slice(w, i + 1, n)")})
   from (select *, unnest(range(0, n + 1)) i from k)),
 g as (select x, min(f) g from v group by x having min(f) < max(f)),

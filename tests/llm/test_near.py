@@ -166,9 +166,14 @@ def brute_lines(docs):
     flat = sorted((i, k, x.split()) for i, t in docs for k, x in enumerate((t or "").split("\n")))
     first = {}
     exact = {(i, k) for i, k, w in flat if w and first.setdefault(tuple(w), (i, k)) != (i, k)}
-    units = [(at, len(w) >= 10, list(w) if len(w) >= 10 else list(" ".join(w))) for w, at in first.items()]
-    units = [x for x in units if len(x[2]) >= 10]
-    near = {at for at, kind, w in units if any(other < at and kind == k and edit_distance_one(v, w) for other, k, v in units if abs(len(v) - len(w)) <= 1)}
+    units = [(at, w, list(" ".join(w))) for w, at in first.items()]
+
+    def close(a, b):  # by words if one line has ten, else by characters if one has ten
+        (_, v, x), (_, w, y) = a, b
+        v, w = (v, w) if max(len(v), len(w)) >= 10 else (x, y)
+        return max(len(v), len(w)) >= 10 and edit_distance_one(list(v), list(w))
+
+    near = {b[0] for b in units if any(a[0] < b[0] and abs(len(a[1]) - len(b[1])) <= 1 and close(a, b) for a in units)}
     return exact, near
 
 
@@ -185,6 +190,11 @@ def test_lines(spark):
         own, k = list(line), int(rng.integers(0, len(line)))
         own[k : k + 1] = [[], ["\u6c34"], ["\U0001f600", own[k]]][int(rng.integers(0, 3))]
         lines.append("".join(own))
+    for n in (9, 10, 11):  # across the bounds, in both directions
+        w = prose(rng, n).split()
+        lines += [" ".join(w), " ".join(w[:4] + w[5:]), " ".join([*w[:2], "put", *w[2:]]), "x".join(w)[: n + 30]]
+        c = "".join(chr(0x5E00 + int(k)) for k in rng.integers(0, 900, n))
+        lines += [c, c[:3] + c[4:], c[:7] + "\u6c34" + c[7:]]
     lines += lines[:20] + ["", "  ", "a\tb  c d e", "a b c d e", " a b \r c\x0bd e ", "OK", "abcdefghij", "a b c d e f g h i j", "a b c d e f g h i"]
     docs = [(i, "\n".join(lines[int(k)] for k in rng.integers(0, len(lines), 9))) for i in range(70)]
     exact, near = brute_lines(docs)
@@ -239,6 +249,19 @@ def test_lines_odd_rows(spark):
     assert kept.columns == ["doc_id", "text", "lang", "kept", "n_words"]
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "1", "2", "4", "4", "None"]
     assert dedupe_lines(documents(spark, [])).collect() == []
+    clash = documents(spark, rows).selectExpr("doc_id", "text", "1 _removed_in", "2 _places", "3 places", "4 own", "5 `a.b`", "6 line")
+    kept = without_repeated_lines(clash)
+    assert kept.columns == clash.columns and kept.count() == 6
+    other = clash.withColumnRenamed("doc_id", "id").withColumnRenamed("text", "kept")
+    assert without_repeated_lines(other, id_col="id", text_col="kept").columns == other.columns
+
+
+def test_a_word_less_or_more_counts_alike(spark):
+    words = "one two three four five six seven eight nine ten".split()
+    more, less = " ".join([*words, "eleven"]), " ".join(words[:3] + words[4:])
+    for first, second in ((" ".join(words), more), (" ".join(words), less), (less, " ".join(words))):
+        rows = dedupe_lines(documents(spark, [(1, first), (2, second)])).collect()
+        assert {r.doc_id: r.n_near for r in rows} == {1: 0, 2: 1}
 
 
 @pytest.mark.parametrize("block", [1024, 16])
