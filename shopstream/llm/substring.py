@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
-from .words import SPACED, Chunk, chunks, sliding
+from .words import CHECK_POWERS, SPACED, Chunk, chunks, sliding
 
 _TOP = np.uint64(2**64 - 1)
 
@@ -59,7 +59,7 @@ def _alive(c: Chunk, width: int, window: int, alive: np.ndarray, repeated: list[
 
 
 def _parts(rows: DataFrame, widths: list[int], window: int) -> DataFrame:
-    """(doc_id, hash, place) of the parts of the last width; ``rows`` has doc_id, text and, for each width before, the repeated hashes of the text."""
+    """(doc_id, hash, check, place) of the parts of the last width; ``rows`` has doc_id, text and, for each width before, the repeated hashes of the text."""
     kind = rows.schema["doc_id"].dataType.simpleString()
     last = widths[-1]
 
@@ -75,20 +75,24 @@ def _parts(rows: DataFrame, widths: list[int], window: int) -> DataFrame:
                 hashes, chosen = _anchors(c, last, window, alive)
                 place = np.flatnonzero(chosen)
                 text = np.searchsorted(c.first, place, "right") - 1
+                check = c.windows(last, CHECK_POWERS)[0][place] if last == window else hashes[place]
                 found, place = hashes[place], place - c.first[text]
                 if last < window:  # one row for a hash and text is enough
                     order = np.lexsort((found, text))
-                    text, found, place = text[order], found[order], place[order]
+                    text, found, check, place = text[order], found[order], check[order], place[order]
                     new = np.concatenate([[True], (text[1:] != text[:-1]) | (found[1:] != found[:-1])])[: len(text)]
-                    text, found, place = text[new], found[new], place[new]
+                    text, found, check, place = text[new], found[new], check[new], place[new]
                 ids = b.column(0).slice(c.at, len(c)).take(pa.array(text))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(found.view(np.int64)), pa.array(place, pa.int32())], names=["doc_id", "hash", "place"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(found.view(np.int64)), pa.array(check.view(np.int64)), pa.array(place, pa.int32())], names=["doc_id", "hash", "check", "place"])
 
-    return rows.mapInArrow(work, f"doc_id {kind}, hash long, place int")
+    return rows.mapInArrow(work, f"doc_id {kind}, hash long, check long, place int")
 
 
 def repeated_windows(docs: DataFrame, window: int, tables: Scratch) -> DataFrame:
-    """(doc_id, place) of each window that starts in a document with a smaller id, too."""
+    """(doc_id, place) of each window that starts in a document with a smaller id, too.
+
+    Windows of the wanted length are equal if two hashes are, 128 bits in all, as what is removed is gone.
+    """
     docs = docs.where("doc_id is not null")
     rows, widths = docs, []
     for width in levels(window):
@@ -103,9 +107,9 @@ def repeated_windows(docs: DataFrame, window: int, tables: Scratch) -> DataFrame
             rows = rows.join(found, "doc_id")
         else:
             parts = tables.put(parts, "windows")
-            first = parts.groupBy("hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+            first = parts.groupBy("hash", "check").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
             first = tables.put(first.drop("last"), "first")
-            return parts.join(first, "hash").where("doc_id > first").select("doc_id", "place")
+            return parts.join(first, ["hash", "check"]).where("doc_id > first").select("doc_id", "place")
     raise AssertionError
 
 

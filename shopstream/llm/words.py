@@ -56,6 +56,8 @@ class _Powers:
 
 
 POWERS, _WINDOW_POWERS = _Powers(_BASE), _Powers(_WINDOW_BASE)
+#: For a second hash of a window, where 64 bits are too few to take equal hashes as equal windows.
+CHECK_POWERS = _Powers(0xA24BAED4963EE407)
 
 
 @dataclass
@@ -75,12 +77,12 @@ class Chunk:
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
 
-    def windows(self, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """The hash of the ``width`` words from each word on, and whether they lie in one text."""
+    def windows(self, width: int, powers: _Powers | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The hash of the ``width`` words from each word on, and whether they lie in one text; other ``powers`` give another hash."""
         n = len(self.hashes) - width + 1
         if n <= 0:
             return np.zeros(0, np.uint64), np.zeros(0, bool)
-        up, down = _WINDOW_POWERS.upto(len(self.hashes) + 1)
+        up, down = (powers or _WINDOW_POWERS).upto(len(self.hashes) + 1)
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.hashes * up[:-1])])
         text = np.repeat(np.arange(len(self)), self.counts())
         return mix((total[width:] - total[:n]) * down[:n]), text[:n] == text[width - 1 :]
