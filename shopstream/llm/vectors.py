@@ -91,13 +91,16 @@ def _encode(vectors: DataFrame, kind: np.dtype, band_bits: int, n_bands: int) ->
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            by_dims: dict[int, list[int]] = {}
-            raw = [None if x is None or any(y is None for y in x) else np.array(x, kind) for x in b.column(2).to_pylist()]
-            for i, x in enumerate(raw):
-                if x is not None and len(x) and np.isfinite(x).all() and x.any():
-                    by_dims.setdefault(len(x), []).append(i)
-            for dims, own in by_dims.items():
-                rows = np.stack([raw[i] for i in own]) + kind.type(0)  # no negative zeros
+            lengths = b.column(2).value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            values = b.column(2).flatten().cast(pa.from_numpy_dtype(kind)).fill_null(float("nan")).to_numpy(zero_copy_only=False)
+            starts = np.cumsum(lengths) - lengths
+            for dims in np.unique(lengths[lengths > 0]).tolist():
+                own = np.flatnonzero(lengths == dims)
+                rows = values[starts[own][:, None] + np.arange(dims)]
+                usable = np.isfinite(rows).all(axis=1) & rows.any(axis=1)
+                if not usable.any():
+                    continue
+                own, rows = own[usable], rows[usable] + kind.type(0)  # no negative zeros
                 units = _units(rows)
                 turned = units @ _rotation(dims, 0)
                 step = np.abs(turned).max(axis=1) / 127
