@@ -17,13 +17,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Length of the vectors, letters in an n-gram.
-DIMENSIONS, GRAM = 512, 3
+DIMENSIONS, GRAM = 2_048, 3
 #: Texts of so many characters are worked on together; bounds a task's arrays.
-CHUNK_CHARS, ROWS = 200_000, 64
+CHUNK_CHARS, ROWS = 100_000, 64
+#: n-grams whose vectors are made at a time.
+GRAMS = 8_192
+#: Languages that can be learnt; a label column with more isn't one of languages.
+MOST_LANGUAGES = 5_000
 #: Learning takes about so many documents of a language, chosen by a hash of their ids.
 TRAIN_DOCS = 10_000
 #: A text of so many letters in a learnt language has a far larger cosine with its prototype than this;
-#: one of fewer letters may not. Unlike texts have a cosine of 0.04 or so (one over the root of ``DIMENSIONS``).
+#: one of fewer letters may not. Unlike texts have a cosine of 0.02 or so (one over the root of ``DIMENSIONS``).
 SURE_LETTERS, SURE_SCORE = 200, 0.15
 
 
@@ -69,21 +73,29 @@ def _chunk(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     inside = text[:n] == text[GRAM - 1 :]
     text = text[:n][inside]
     grams, gram = _numbered(gram[inside], len(known) ** GRAM)
-    vectors = np.ones((len(grams), DIMENSIONS), np.int8)
-    table, rest = np.stack([_letter(c) for c in known.tolist()]), grams.copy()
-    for k in range(GRAM):  # the last letter is not rotated, the one before by one place, ...
-        vectors *= np.roll(table, k, axis=1)[rest % len(known)]
-        rest //= len(known)
-    vectors = vectors.astype(np.float32)
-    for at in range(0, len(texts), ROWS):
-        own = slice(*np.searchsorted(text, [at, at + ROWS]))
-        rows = min(ROWS, len(texts) - at)
-        times = np.bincount((text[own] - at) * len(grams) + gram[own], minlength=rows * len(grams))
-        out[at : at + rows] = times.reshape(rows, len(grams)).astype(np.float32) @ vectors
+    table = np.stack([_letter(c) for c in known.tolist()])
+    for first in range(0, len(grams), GRAMS):
+        rest = grams[first : first + GRAMS].copy()
+        vectors = np.ones((len(rest), DIMENSIONS), np.int8)
+        for k in range(GRAM):  # the last letter is not rotated, the one before by one place, ...
+            vectors *= np.roll(table, k, axis=1)[rest % len(known)]
+            rest //= len(known)
+        vectors = vectors.astype(np.float32)
+        own = slice(None) if len(grams) <= GRAMS else (gram >= first) & (gram < first + GRAMS)
+        _bundle(out, text[own], gram[own] - first, vectors)
     norms = np.linalg.norm(out, axis=1, keepdims=True)
     return np.divide(out, norms, out=out, where=norms > 0), letters
 
 
+def _bundle(out: np.ndarray, text: np.ndarray, gram: np.ndarray, vectors: np.ndarray) -> None:
+    """Adds the vectors of n-grams to those of their texts, as often as they occur; sorted by text."""
+    for at in range(0, len(out), ROWS):
+        own = slice(*np.searchsorted(text, [at, at + ROWS]))
+        rows = min(ROWS, len(out) - at)
+        times = np.bincount((text[own] - at) * len(vectors) + gram[own], minlength=rows * len(vectors))
+        out[at : at + rows] += times.reshape(rows, len(vectors)).astype(np.float32) @ vectors
+
+
 def vectors(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For consecutive texts: place of the first one, unit vectors, numbers of letters."""
     at = 0
@@ -106,10 +118,13 @@ def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
 
     All rows of ``docs`` are labelled rows to learn from; ``train_docs`` of each language are taken
     in expectation. Null labels and texts are left out. Every language is learnt, however rare; the
-    driver gets its ``DIMENSIONS`` sums (4 KB a language).
+    driver gets a row of ``DIMENSIONS`` sums for each, and more than ``MOST_LANGUAGES`` are a ``ValueError``.
     """
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang is not null and text is not null")
-    frequent = docs.groupBy("lang").count().where(F.col("count") > train_docs).collect()
+    counts = docs.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    frequent = [r for r in counts if r["count"] > train_docs]
     place = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1 << 30)) / (1 << 30)
     taken = F.lit(True)
     if frequent:  # only these are sampled, all others count whole
@@ -129,9 +144,8 @@ def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
             yield pa.RecordBatch.from_arrays([pa.array([lang] * DIMENSIONS), pa.array(np.arange(DIMENSIONS, dtype=np.int32)), pa.array(total)], names=["lang", "k", "x"])
 
     summed = sample.mapInArrow(bundle, "lang string, k int, x double").groupBy("lang", "k").agg(F.sum("x").alias("x"))
-    out: dict[str, np.ndarray] = {}
-    for r in summed.collect():
-        out.setdefault(r["lang"], np.zeros(DIMENSIONS))[r["k"]] = r["x"]
+    rows = summed.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("k", "x")))["x"].alias("x")).toArrow()
+    out = {r["lang"]: np.array(r["x"]) for r in rows.to_pylist()}
     return {lang: v / (np.linalg.norm(v) or 1) for lang, v in sorted(out.items())}
 
 

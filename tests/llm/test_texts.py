@@ -140,6 +140,49 @@ def test_language_accuracy(spark):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def test_close_languages_and_short_texts(spark):
+    """Three languages that share most words and syllables: as right, held out, as plain trigram profiles without random vectors."""
+    rng = np.random.default_rng(44)
+    syllables = ["ka", "to", "ri", "ne", "sul", "mo", "per", "an", "ti", "ro", "es", "la", "vin", "du", "ser", "ol"]
+    more = {"aa": ["ij", "oe", "eu"], "bb": ["ae", "sk", "od"], "cc": ["ch", "ei", "pf"]}
+    word = lambda from_: "".join(rng.choice(from_, int(rng.integers(2, 4))))
+    shared = [word(syllables) for _ in range(120)]
+    own = {lang: shared + [word(syllables + more[lang]) for _ in range(60)] for lang in more}
+    rows = [(i, " ".join(rng.choice(own[lang], int(rng.integers(4, 40)))), lang) for i, lang in enumerate(["aa", "bb", "cc"] * 500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    found = {r.doc_id: r.lang_pred for r in langid.predict(docs, langid.learn(docs.where(~langid.held_out()))).where(langid.held_out()).collect()}
+
+    def plain(text):
+        grams = Counter(f" {text} "[i : i + 3] for i in range(len(text)))
+        norm = sum(n * n for n in grams.values()) ** 0.5
+        return {g: n / norm for g, n in grams.items()}
+
+    profiles = {lang: Counter() for lang in own}
+    for i, text, lang in rows:
+        if i not in found:
+            profiles[lang].update(plain(text))
+    norms = {k: sum(x * x for x in p.values()) ** 0.5 for k, p in profiles.items()}
+    best = lambda text: max(profiles, key=lambda k: sum(x * profiles[k][g] for g, x in plain(text).items()) / norms[k])
+    for least, most in ((4, 15), (15, 99)):
+        own = [(lang == found[i], lang == best(text)) for i, text, lang in rows if i in found and least <= len(text.split()) < most]
+        right, exact = np.mean(own, axis=0)
+        assert len(own) > 80 and right > exact - 0.04 and exact > 0.65
+
+
+def test_labels_that_are_no_languages(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 3)
+    docs = spark.range(10).selectExpr("id doc_id", "'a text' text", "cast(id as string) lang")
+    with pytest.raises(ValueError, match="more than 3 languages"):
+        langid.learn(docs)
+
+
+def test_blocks_of_ngrams_change_nothing(monkeypatch):
+    texts = ["".join(map(chr, np.random.default_rng(k).integers(0x4E00, 0x4E30, 400))) for k in range(3)] + ["", "plain"]
+    want = [v for _, v, _ in langid.vectors(texts)]
+    monkeypatch.setattr(langid, "GRAMS", 50)
+    assert np.allclose(np.concatenate(want), np.concatenate([v for _, v, _ in langid.vectors(texts)]), atol=1e-5)
+
+
 def letter_vector(text):
     """A text's vector in plain Python, from its distinct trigrams; None without letters."""
     letter = lambda c: np.random.default_rng([7, ord(c) if c != " " else 0]).integers(0, 2, langid.DIMENSIONS, dtype=np.int8).astype(int) * 2 - 1
