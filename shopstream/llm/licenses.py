@@ -8,6 +8,7 @@ inside another is dropped if the other has a better priority or, at the same pri
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import reduce
 from operator import or_
@@ -128,8 +129,131 @@ SENTENCES = {
 }
 
 
+#: Hand-written signatures, a space standing for what is between words: priority, label, regex.
+#: 1: dual licenses and exceptions, 2: notices and headers, 3: short names, 4: hints.
+SIGNATURES = [
+    # dual licenses
+    (1, "Apache-2.0 OR MIT", "licensed under either of(?: the)? (?:apache license|mit license)"),
+    (1, "Apache-2.0 OR MIT", "dual licensed under(?: the)? (?:mit(?: license)? (?:and|or)(?: the)? apache|apache(?: license)?(?: version)?(?: 2(?: 0)?)? (?:and|or)(?: the)? mit)"),
+    (1, "GPL OR MIT", "dual licensed under(?: the)? (?:mit(?: license)? (?:and|or)(?: the)? gpl|gpl (?:and|or)(?: the)? mit)"),
+    (1, "BSD OR GPL", "dual licensed under(?: the)? (?:bsd(?: license)? (?:and|or)(?: the)? gpl|gpl (?:and|or)(?: the)? bsd)"),
+    (1, "BSD OR GPL", "dual bsd gpl"),
+    (1, "GPL OR MIT", "dual mit gpl"),
+    (1, "GPL OR MPL", "dual mpl gpl"),
+    (1, "GPL-2.0 OR LGPL-2.1 OR MPL-1.1", "mpl 1 1 gpl 2 0 lgpl 2 1"),
+    (1, "Artistic OR GPL", "(?:under|on) the same terms as perl(?: itself)?"),
+    (1, "CDDL OR GPL-2.0", "cddl(?: 1 [01])? (?:and|or|plus) gpl(?: ?v?2)?"),
+    (1, "CDDL OR GPL-2.0", "the gnu general public license version 2 only gpl or the common development and distribution license"),
+    (1, "dual", "double licen[cs]e[ds]? under"),
+    # exceptions
+    (1, "Classpath-exception", "classpath exception"),
+    (1, "Classpath-exception", "linking this library statically or dynamically with other modules is making a combined work"),
+    (1, "GCC-exception", "gcc runtime library exception"),
+    (1, "Bison-exception", "you may create a larger work that contains part or all of the bison parser skeleton"),
+    (1, "Autoconf-exception", "a program that contains a configuration script generated by autoconf"),
+    (1, "LLVM-exception", "(?:with )?llvm exceptions?"),
+    (1, "Linux-syscall-note", "linux syscall note"),
+    (1, "Linux-syscall-note", "user programs that use kernel services by normal system calls"),
+    (1, "Font-exception", "if you create a document which uses this font and embed this font"),
+    (1, "OpenSSL-exception", "openssl (?:linking )?exception"),
+    (1, "WxWindows-exception", "wxwindows (?:library )?exception"),
+    (1, "FOSS-exception", "universal foss exception"),
+    (1, "Commons-Clause", "commons clause(?: license)?(?: condition)?"),
+    # notices of the gnu licenses
+    (2, "GPL-2.0-only", "version 2 of the license only"),
+    (2, "GPL-2.0-only", "gnu general public license(?: as published by the free software foundation)? version 2 only"),
+    (2, "GPL-3.0-only", "gnu general public license(?: as published by the free software foundation)? version 3 only"),
+    (2, "GPL-2.0-or-later", "gnu general public license(?: gpl)? (?:version|v) ?2(?: 0)? or (?:at your option )?(?:any )?later"),
+    (2, "GPL-3.0-or-later", "gnu general public license(?: gpl)? (?:version|v) ?3(?: 0)? or (?:at your option )?(?:any )?later"),
+    (2, "LGPL-2.1-or-later", "gnu lesser general public license(?: as published by the free software foundation)?(?: either)? version 2 1(?: of the license)? or (?:at your option )?any later"),
+    (2, "LGPL-3.0-or-later", "gnu lesser general public license(?: as published by the free software foundation)?(?: either)? version 3(?: of the license)? or (?:at your option )?any later"),
+    (2, "AGPL-3.0-or-later", "gnu affero general public license(?: as published by the free software foundation)?(?: either)? version 3(?: of the license)? or (?:at your option )?any later"),
+    (2, "GFDL", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license"),
+    (2, "GPL", "this program is free software(?: you can redistribute it and or modify it)? under the terms of the gnu general public license"),
+    (2, "LGPL", "this library is free software you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public license"),
+    (2, "GPL", "you should have received a copy of the gnu general public license"),
+    (2, "LGPL", "you should have received a copy of the gnu (?:lesser|library) general public license"),
+    (2, "AGPL", "you should have received a copy of the gnu affero general public license"),
+    # notices and headers of others
+    (2, "Apache-2.0", "licensed under the apache license version 2 0(?: the license)?"),
+    (2, "Apache-2.0", "under one or more contributor license agreements"),
+    (2, "Apache-2.0", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"),
+    (2, "MIT", "(?:licensed|released|distributed|available|published) under (?:the )?(?:terms of the )?mit licen[cs]e"),
+    (2, "MIT", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    (2, "BSD", "(?:licensed|released|distributed|available|published) under (?:the |a )?(?:terms of the )?bsd licen[cs]e"),
+    (2, "BSD", "governed by a bsd style licen[cs]e"),
+    (2, "BSD", "redistributions in binary form must reproduce the above copyright notice"),
+    (2, "MPL-2.0", "if a copy of the mpl was not distributed with this file you can obtain one at"),
+    (2, "MPL-1.1", "the contents of this file are subject to the mozilla public license version 1 1"),
+    (2, "EPL", "made available under the terms of the eclipse public license"),
+    (2, "CDDL", "subject to the terms of the common development and distribution license"),
+    (2, "BSL-1.0", "distributed under the boost software license(?: version 1 0)?"),
+    (2, "OFL", "this font software is licensed under the sil open font license"),
+    (2, "Unlicense", "anyone is free to copy modify publish use compile sell or distribute this software"),
+    (2, "Zlib", "the origin of this software must not be misrepresented"),
+    (2, "FSFAP", "copying and distribution of this file with or without modification are permitted in any medium without royalty"),
+    (2, "JSON", "the software shall be used for good not evil"),
+    (2, "Beerware", "you can buy me a beer in return"),
+    (2, "ODC-By", "open data commons attribution license"),
+    (2, "ODbL", "open data commons open database license"),
+    (2, "PDDL", "open data commons public domain dedication(?: and)? license"),
+    (2, "community", "(?:model|llama)(?: [0-9])*(?: model)? community license(?: agreement)?"),
+    (2, "OpenRAIL", "(?:creativeml |bigscience )?openrail(?: [a-z])?(?: license)?"),
+    # short names
+    (3, "GPL-2.0", "gplv2(?: 0)?"),
+    (3, "GPL-3.0", "gplv3(?: 0)?"),
+    (3, "LGPL-2.1", "lgplv2(?: 1)?"),
+    (3, "LGPL-3.0", "lgplv3"),
+    (3, "AGPL-3.0", "agplv3"),
+    (3, "BSD-2-Clause", "(?:2|two) clause bsd(?: licen[cs]e)?"),
+    (3, "BSD-3-Clause", "(?:3|three) clause bsd(?: licen[cs]e)?"),
+    (3, "BSD-4-Clause", "(?:4|four) clause bsd(?: licen[cs]e)?"),
+    (3, "0BSD", "(?:0|zero) clause bsd(?: licen[cs]e)?"),
+    (3, "BSD-3-Clause", "(?:modified|revised) bsd license"),
+    (3, "BSD-4-Clause", "original bsd license"),
+    (3, "BSD-2-Clause", "freebsd license"),
+    (3, "CC0-1.0", "cc0(?: 1 0)?(?: universal| public domain dedication)"),
+    (3, "CC0-1.0", "creative commons zero"),
+    (3, "WTFPL", "wtfpl"),
+    (3, "Libpng", "(?:zlib )?libpng license"),
+    (3, "OpenSSL", "openssl license"),
+    (3, "Ruby", "ruby license"),
+    (3, "Vim", "vim license"),
+    (3, "curl", "curl license"),
+    (3, "X11", "x11 license"),
+    (3, "Info-ZIP", "info zip license"),
+    (3, "TCL", "tcl tk license"),
+    (3, "Beerware", "the beer ware license"),
+    (3, "Hippocratic", "hippocratic license"),
+    # hints
+    (4, "public-domain", "(?:released|dedicated) (?:in)?to the public domain"),
+    (4, "public-domain", "no rights reserved"),
+    (4, "proprietary", "unauthorized copying of this (?:file|software)"),
+    (4, "proprietary", "is the (?:confidential and )?proprietary information of"),
+    (4, "EULA", "end user license agreement"),
+    (4, "proprietary", "may not be redistributed"),
+    (4, "noncommercial", "non ?commercial use only"),
+    (4, "research-only", "for research purposes only"),
+    (4, "evaluation-only", "for evaluation purposes only"),
+]
+
+
+def signature(words: str) -> str:
+    """The regex of a hand-written signature."""
+    return rf"(?i)(?<!{WORD})(?:{words.replace(' ?', f'(?:{GAP})?').replace(' ', GAP)})(?!{WORD})"
+
+
+def always(words: str) -> list[str]:
+    """The words of a hand-written signature that are outside of all groups, so that each match has them."""
+    before = None
+    while before != words:  # groups from the inside out
+        before, words = words, re.sub(r"\(\?:[^()]*\)[?*]*", "", words)
+    return re.findall(r"(?<!\S)\w+(?!\S)", words.replace(" ?", " ").replace("licen[cs]e", "licen"))
+
+
 #: Each rule's matches hold one of these, or the words cc by.
 GATE = {"licen", "spdx", "creative", *map(keyword, SENTENCES.values())}
+GATE |= {keyword(" ".join(own)) for _, _, words in SIGNATURES if "licen" not in " ".join(own := always(words))}
 
 
 #: Of rules, the best one first.
@@ -137,7 +261,7 @@ PRIORITIES = 1, 2, 3, 4
 
 
 def rules() -> list[Rule]:
-    """All rules in order: tags (1), sentences and names with a version (2), names alone (3), hints (4)."""
+    """All rules in order: tags (1), sentences and names with a version (2), names alone (3), hints (4); then the hand-written signatures."""
     out = [Rule(label, keyword(words), phrase(words), 3) for words, label in BASE.items()]
     tag = rf"(?i)spdx{GAP}license{GAP}identifier\s*:\s*"
     for family, (name, versions) in FAMILIES.items():
@@ -165,7 +289,7 @@ def rules() -> list[Rule]:
             ]
     for label, words in SENTENCES.items():
         out.append(Rule(label, keyword(words), phrase(words), 2 if len(words) > 30 else 4))
-    return out
+    return out + [Rule(label, keyword(" ".join(always(words))), signature(words), priority) for priority, label, words in SIGNATURES]
 
 
 def _places(text: Column, rule: Column) -> Column:

@@ -264,6 +264,30 @@ def test_licenses(spark):
     assert licenses.scan(documents(spark, [])).collect() == []
 
 
+#: Notices as they are written, with a label that the signatures give them.
+LABELLED = {
+    "Licensed under either of the Apache License, Version 2.0 or the MIT license": "Apache-2.0 OR MIT", "Dual licensed under the MIT or GPL Version 2 licenses.": "GPL OR MIT", "Dual BSD/GPL": "BSD OR GPL",
+    "***** MPL 1.1/GPL 2.0/LGPL 2.1 *****": "GPL-2.0 OR LGPL-2.1 OR MPL-1.1", "under the same terms as Perl itself": "Artistic OR GPL", "CDDL + GPLv2 or CDDL and GPL v2": "CDDL OR GPL-2.0",
+    "with the Classpath exception": "Classpath-exception", "GCC Runtime Library Exception": "GCC-exception", "Apache License v2.0 with LLVM Exceptions": "LLVM-exception", "GPL-2.0 WITH Linux-syscall-note": "Linux-syscall-note",
+    "the GNU General Public License, version 2 only": "GPL-2.0-only", "GNU General Public License version 3 or (at your option) any later version": "GPL-3.0-or-later",
+    "the GNU Lesser General\nPublic License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version": "LGPL-2.1-or-later",
+    "You should have received a copy of the GNU Affero General Public License": "AGPL", "# Use of this source code is governed by a BSD-style license": "BSD", "Released under the terms of the MIT licence": "MIT",
+    "If a copy of the MPL was not distributed with this\n# file, You can obtain one at": "MPL-2.0", "made available under the terms of the Eclipse Public License v2.0": "EPL", "Distributed under the Boost Software License, Version 1.0.": "BSL-1.0",
+    "The Software shall be used for Good, not Evil.": "JSON", "you can buy me a beer in return": "Beerware", "Open Data Commons Public Domain Dedication and License": "PDDL", "Llama 2 Community License Agreement": "community", "CreativeML OpenRAIL-M": "OpenRAIL",
+    "licensed GPLv2": "GPL-2.0", "BSD 2-clause? the two-clause BSD license": "BSD-2-Clause", "CC0 1.0 Universal": "CC0-1.0", "WTFPL": "WTFPL", "Tcl/Tk license": "TCL", "released into the public domain": "public-domain", "For non-commercial use only": "noncommercial", "Unauthorized copying of this file": "proprietary",
+}
+NOTICES = list(LABELLED)
+
+
+def test_signatures(spark):
+    texts = dict(enumerate(NOTICES))
+    found = {r.doc_id: r.labels for r in licenses.scan(documents(spark, list(texts.items()))).collect()}
+    assert {t: LABELLED[t] in found[k] for k, t in texts.items()} == dict.fromkeys(NOTICES, True)
+    assert len(licenses.SIGNATURES) > 90 and all(licenses.always(x) for _, _, x in licenses.SIGNATURES)
+    clean = "the terms of trade under which a user may copy a program; public domains, ruby licence plates and a license to drive"
+    assert licenses.scan(documents(spark, [(1, clean)])).first().labels == []
+
+
 def brute_detections(text):
     """Every rule with Python's regexes on every text; of overlapping ones all pairs are compared."""
     found = []
@@ -280,6 +304,7 @@ def test_licenses_equal_brute_force(spark):
     rng = np.random.default_rng(31)
     parts = [f"{name} {v}" for name, versions in list(licenses.FAMILIES.values())[:14] for v in ("", *(f"version {x}" for x in versions.split()))]
     parts += [*licenses.SENTENCES.values(), *licenses.BASE, "SPDX-License-Identifier: GPL-2.0-or-later", "spdx license identifier: MIT", "CC BY-SA 4.0", "creative commons attribution", "creativecommons.org/licenses/by-nc/2.0", "license", "plain", "\u00e9t\u00e9", "mit", "all rights reserved"]
+    parts += NOTICES
     texts = [str(rng.choice([" ", "\n", ", "])).join(str(x) if rng.random() < 0.7 else str(x).upper() for x in rng.choice(parts, int(rng.integers(0, 9)))) for _ in range(150)]
     rows = {r.doc_id: r for r in licenses.scan(documents(spark, list(enumerate(texts)))).collect()}
     for k, t in enumerate(texts):
