@@ -217,8 +217,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, *, id
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The documents without any hit, with all their columns; each row is judged by its own text, whatever its id."""
-    place = docs.columns.index(text_col)
+    """The documents without any hit, with all their columns; each row is judged by its own text, whatever its id.
+
+    Null and empty texts have no hits and stay. Columns may have any names; those of ``documents`` are not looked
+    at but for the text.
+    """
+    place, names = docs.columns.index(text_col), docs.columns
+    docs = docs.toDF(*map(str, range(len(names))))  # mapInArrow takes no names with dots
     for block in _blocks(benchmark, item_col, item_text_col, block_bytes):
         sent, key = docs.sparkSession.sparkContext.broadcast(_items(block)), uuid.uuid4().hex
 
@@ -229,4 +234,4 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, *, text_col:
                     yield b.slice(c.at, len(c)).filter(pa.array(_hits(c, w)[0] == 0))
 
         docs = docs.mapInArrow(keep, docs.schema)
-    return docs
+    return docs.toDF(*names)

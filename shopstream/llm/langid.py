@@ -184,7 +184,8 @@ def keep_recognised(docs: DataFrame, prototypes: dict[str, np.ndarray], *, text_
 
     Rejected are the texts that ``predict`` calls ``und``, and those of ``sure_letters`` letters or more
     whose largest cosine is below ``sure_score``: their letters don't follow each other as in any language
-    that was learnt. Of shorter texts the cosine doesn't tell that, so they stay.
+    that was learnt. Of shorter texts the cosine doesn't tell that, so they stay. Each row is judged by its
+    own text: null and empty texts go, ids may be null or repeat, columns may have any names.
     """
     sent = docs.sparkSession.sparkContext.broadcast((list(prototypes), np.array([*prototypes.values()], np.float32).reshape(-1, DIMENSIONS)))
     place = docs.columns.index(text_col)
@@ -195,4 +196,5 @@ def keep_recognised(docs: DataFrame, prototypes: dict[str, np.ndarray], *, text_
                 known = (np.array(names) != "und") & ((score >= sure_score) | (letters < sure_letters))
                 yield b.slice(at, len(names)).filter(pa.array(known))
 
-    return docs.mapInArrow(keep, docs.schema)
+    plain = docs.toDF(*map(str, range(len(docs.columns))))  # mapInArrow takes no names with dots
+    return plain.mapInArrow(keep, plain.schema).toDF(*docs.columns)

@@ -356,7 +356,11 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_
 
 
 def first_of_each(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents with one of each group of near-duplicates: the one with the least id."""
+    """The documents, with all their columns, with one of each group of near-duplicates: the one with the least id.
+
+    Null and empty texts and rows with a null id link with nothing, so they stay. Rows that repeat an id are
+    one document: they stay, or go, together. Columns may have any names.
+    """
     gone = near_duplicates(docs, id_col=id_col, **options).where("not kept").select(F.col("doc_id").alias(id_col)).distinct()
     gone = Scratch(docs.sparkSession, "near").put(gone, "gone")  # of known size: the join shuffles texts only if it must
-    return docs.join(gone, id_col, "left_anti").select(docs.columns)
+    return docs.join(gone, id_col, "left_anti").select([F.col(f"`{c}`") for c in docs.columns])

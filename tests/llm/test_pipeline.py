@@ -3,6 +3,7 @@
 import zlib
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from shopstream.llm import bpe
@@ -59,3 +60,27 @@ def test_stages_keep_columns(spark):
         kept = stage(spark, docs, SF)
         assert kept.columns == docs.columns and stage(spark, docs.limit(0), SF).collect() == []
         docs = kept
+
+
+def test_stages_with_odd_rows(spark):
+    """Nulls, empty and very long texts, repeated rows and columns of clashing names pass every stage."""
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").limit(40).select("doc_id", "text", "lang", "source", "n_chars").collect()]
+    long = rows[0][1] + " tail" * 40_000
+    odd = [(None, rows[1][1], "en", "x", 1), (900, None, None, None, None), (901, "", "en", "x", 0), (902, long, "en", "x", len(long)), (903, " \n\t\n", "en", "x", 4), rows[2], rows[2], (rows[3][0], "another text under an id that is there already", "en", "x", 9)]
+    names = ["_removed_in", "_places", "places", "kept", "own", "h", "g", "first", "n_words", "same", "hits", "tie", "component_id", "a.b"]
+    docs = spark.createDataFrame(rows + odd, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.withColumns({n: F.lit(k) for k, n in enumerate(names)}).repartition(3)
+    ids = lambda df: [r.doc_id for r in df.select("doc_id").collect()]
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept[name] = stage(spark, docs, SF)
+        assert kept[name].columns == docs.columns
+        assert {tuple(r)[5:] for r in kept[name].collect()} == {tuple(range(len(names)))}
+    assert 900 not in ids(kept["language"]) and 901 not in ids(kept["language"]) and None in ids(kept["language"])
+    assert {900, 901, 903} <= set(ids(kept["line_dedup"])) and {900, 901, 903} <= set(ids(kept["near_dedup"]))
+    assert {900, 901, 903} <= set(ids(kept["decontamination"]))
+    near = ids(kept["near_dedup"])
+    assert None in near and near.count(rows[2][0]) == 3  # a null id links with nothing; repeated rows are one document
+    tokens = corpus_pipeline.STAGES[-1][1](spark, docs, SF).select("doc_id", "n_tokens", "decoded").collect()
+    assert len(tokens) == len(rows) + len(odd) and [r.n_tokens for r in tokens if r.doc_id == 900] == [0]
+    assert [r.decoded == long for r in tokens if r.doc_id == 902] == [True]
