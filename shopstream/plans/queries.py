@@ -422,12 +422,11 @@ def new_visitor_state_stream(spark, sf):
     """The same in three batches, in order of time; what was seen is in the state store."""
     root = shared_path(spark, "visitors-state")
     events = b.table(spark, sf, "events")
-    third = events.selectExpr("approx_percentile(ts, array(0.33, 0.67)) t")
+    first, second = events.selectExpr("approx_percentile(ts, array(0.33, 0.67))").first()[0]
     rows = visitors.flat_logs(logs.clean(logs.parse_logs(b.app_log(events))))
-    cuts = [F.col("ts") < F.col("t")[0], (F.col("ts") >= F.col("t")[0]) & (F.col("ts") < F.col("t")[1]), F.col("ts") >= F.col("t")[1]]
-    for k, cut in enumerate(cuts):
-        rows.join(F.broadcast(third), cut, "left_semi").write.parquet(f"{root}/in/part={k}")  # third is one row
-        visitors.fix_is_new_stream(spark.readStream.schema(rows.schema).parquet(f"{root}/in"), ["ts", "event_id"], root)
+    for k, cut in enumerate((F.col("ts") < first, (F.col("ts") >= first) & (F.col("ts") < second), F.col("ts") >= second)):
+        rows.where(cut).write.parquet(f"{root}/in/part={k}")
+        visitors.fix_is_new_stream(spark.readStream.schema(rows.schema).parquet(f"{root}/in").select(rows.columns), ["ts", "event_id"], root)
     return spark.read.parquet(f"{root}/rows").select("event_id", "mid", "is_new")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import cdc
-from .dimensions import exists, names_in, read_dim
+from .dimensions import exists, names_in, read_dim, remove
 from .streams import run_batches
 
 #: Parts that the bound on waiting rows is dealt to.
@@ -66,6 +66,7 @@ def lookup_stream(rows: DataFrame, dim: Callable[[], DataFrame], key: str, root:
             n = ranked.agg(F.count_if(stays).alias("waiting"), F.count_if(~stays).alias("overflow")).first()
             counts.append(n.asDict())
             ranked.unpersist()
+            remove(spark, f"{root}/waiting/batch={batch_id - 2}")  # a repeated batch reads the one before it
         finally:
             looked.unpersist()
 
