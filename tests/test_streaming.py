@@ -168,6 +168,22 @@ def test_late_dimension_rows_repair_what_waits(spark, tmp_path):
     assert waited == 0 or found[(2, 1)] == "two"
 
 
+def test_rows_beyond_the_bound_are_looked_up_later(spark, tmp_path):
+    root, kind = f"file://{tmp_path}", "k long, x long"
+    dims = [[], [], [5], range(150), range(200)]
+    batches = [[(i, i) for i in range(200)], [(999, 0)], [(5, 999)], [(0, 999)], [(1, 999)]]
+    counts = []
+    for n, rows in enumerate(batches):
+        spark.createDataFrame(rows, kind).coalesce(1).write.parquet(f"{root}/in/part={n}")
+        dim = spark.createDataFrame([(k, f"v{k}") for k in dims[n]], "k long, v string")
+        stream = spark.readStream.schema(kind).parquet(f"{root}/in").select("k", "x")
+        counts += lookups.lookup_stream(stream, lookups.RefreshedDim(lambda d=dim: d), "k", f"{root}/out", most_waiting=32)
+        everything = [(r.k, r.x, r.v) for r in lookups.read_looked_up(spark, f"{root}/out").collect()]
+        given = [x for b in batches[: n + 1] for x in b]
+        assert sorted(everything, key=str) == sorted([(k, x, f"v{k}" if k in dims[n] else None) for k, x in given], key=str)
+    assert [sum(c.values()) for c in counts] == [200, 201, 200, 51, 1] and counts[0]["overflow"] >= 168
+
+
 def test_refreshed_dimension(spark):
     loads = []
     dim = lookups.RefreshedDim(lambda: loads.append(1) or spark.range(len(loads)), 0.5)
