@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.jsons import project_json
-from .skew import bounded_join
+from .skew import bounded_join, few_rows
 
 ENVELOPE = "struct<database:string,tableName:string,before:map<string,string>,after:map<string,string>,type:string,position:bigint>"
 
@@ -61,11 +61,6 @@ def from_envelope(lines: DataFrame, value: str = "value", typed: bool = False) -
     return parse_envelopes(lines, value, typed).where("e is not null").select("e.*")
 
 
-def broken_envelopes(parsed: DataFrame, value: str = "value") -> DataFrame:
-    """Lines of ``parse_envelopes`` that are no envelope."""
-    return parsed.where("e is null").select(value)
-
-
 def of_tables(cdc: DataFrame, tables: list[str] | None) -> DataFrame:
     """Records of tables named ``database.table``; all without names."""
     return cdc.where(F.concat_ws(".", "database", "tableName").isin(tables)) if tables else cdc
@@ -116,14 +111,16 @@ def route_cdc(cdc: DataFrame, config: DataFrame) -> DataFrame:
     """
     dated = "since" in config.columns
     rules = config.where("not gone") if dated else one_rule_a_key(config)
+    # a plain join would bring all changes of a table and type into one task
+    small = F.broadcast if few_rows(config) else lambda df: df
     named = [F.col("source_table").alias("tableName"), F.col("operate_type").alias("type"), "sink_type", "sink_table", "sink_columns", F.coalesce("sink_pk", F.lit("id")).alias("sink_pk")]
     if dated:
         rules = rules.select(F.col("source_table").alias("_table"), F.col("operate_type").alias("_type"), *named[2:], "since", "until")
         at = F.col("position") if "position" in cdc.columns else F.lit(None).cast("long")
         in_force = F.when(at.isNull(), F.col("until").isNull()).otherwise((at >= F.col("since")) & (F.col("until").isNull() | (at < F.col("until"))))
-        rows = bounded_join(cdc, rules, (F.col("tableName") == F.col("_table")) & (F.col("type") == F.col("_type")) & in_force, "left").drop("_table", "_type", "since", "until")
+        rows = cdc.join(small(rules), (F.col("tableName") == F.col("_table")) & (F.col("type") == F.col("_type")) & in_force, "left").drop("_table", "_type", "since", "until")
     else:
-        rows = bounded_join(cdc, rules.select(*named), ["tableName", "type"], "left")
+        rows = cdc.join(small(rules.select(*named)), ["tableName", "type"], "left")
     key = F.element_at("after", F.col("sink_pk"))
     payload = project_json("after", "sink_columns")
     keyed = F.map_concat(F.map_filter(payload, lambda k, _: k != F.col("sink_pk")), F.map_from_arrays(F.array(F.coalesce("sink_pk", F.lit("id"))), F.array(key)))
@@ -131,20 +128,10 @@ def route_cdc(cdc: DataFrame, config: DataFrame) -> DataFrame:
     return rows.withColumn("key", key.cast("string")).withColumn("payload", whole).drop("sink_columns")
 
 
-def routed(rows: DataFrame, sink_type: str) -> DataFrame:
-    return rows.where(F.col("sink_type") == sink_type).select("sink_table", F.to_json("payload").alias("value"))
-
-
 def unmatched(rows: DataFrame) -> DataFrame:
     return rows.where("sink_type is null")
 
 
-def unrouted(rows: DataFrame, sinks: list[str]) -> DataFrame:
-    """Rows with a route to none of ``sinks``, and those for dimensions that lack their key."""
-    other = ~F.col("sink_type").isin(sinks) | ((F.col("sink_type") == KEYED) & F.col("key").isNull())
-    return rows.where(F.col("sink_type").isNotNull() & other)
-
-
 def latest_per_key(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The last row of each key; grouped, so nothing is sorted and a key's rows are reduced where they are."""
     rest = [c for c in rows.columns if c not in keys]

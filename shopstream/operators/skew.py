@@ -14,6 +14,11 @@ def size_estimate(df: DataFrame) -> int:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
+def few_rows(df: DataFrame, most: int = 100_000) -> bool:
+    """Whether a frame has so few rows; counted, for frames of which Spark has no estimate."""
+    return df.limit(most + 1).count() <= most
+
+
 def bounded_join(left: DataFrame, right: DataFrame, on: str | list[str] | Column, how: str = "inner", bound: int = BROADCAST_BYTES) -> DataFrame:
     """Sends ``right`` to all executors if it is small; else a plain join, which Spark plans."""
     return left.join(F.broadcast(right) if size_estimate(right) <= bound else right, on, how)

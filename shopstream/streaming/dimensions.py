@@ -1,8 +1,8 @@
 """Keyed dimension tables in hash buckets (SNK-7): a batch reads and replaces only the buckets of its keys.
 
 A table's folder has ``data/bucket=N`` and its settings (keys, number of buckets, columns). The new contents
-of the buckets that a batch touches are first written aside; once they are complete, the buckets are
-overwritten from there, so a driver that dies meanwhile loses nothing: the next batch, or the same one again,
+of the buckets that a batch touches are first written aside; once they are complete, they are moved to
+the places of the old ones, so a driver that dies meanwhile loses nothing: the next batch, or the same one again,
 ends the work, and readers take the buckets concerned from what was written aside.
 """
 
@@ -43,6 +43,14 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(place, True)
 
 
+def move(spark: SparkSession, path: str, to: str) -> None:
+    fs, place = _place(spark, path)
+    _, last = _place(spark, to)
+    fs.mkdirs(last.getParent())
+    if not fs.rename(place, last):
+        raise OSError(f"{path} can't be moved to {to}")
+
+
 def write_mark(spark: SparkSession, path: str, text: str = "") -> None:
     """A small file that is there as a whole or not at all: it is written under another name first."""
     fs, place = _place(spark, f"{path}.tmp")
@@ -120,11 +128,15 @@ def read_dim(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def _take_over(spark: SparkSession, path: str, settings: dict) -> None:
+    """Moves buckets that are written aside to their places, one by one; what is left there still counts for readers."""
     for name in _pending(spark, path):
-        rows = _data(spark, path, settings, f"_pending/{name}")
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(_BUCKET).parquet(f"{path}/data")
+        aside = f"{path}/_pending/{name}"
+        for bucket in _buckets_of(spark, aside):
+            own = f"{path}/data/{_BUCKET}={bucket}"
+            remove(spark, own)
+            move(spark, f"{aside}/{_BUCKET}={bucket}", own)
         _done(spark, path, name)
-        remove(spark, f"{path}/_pending/{name}")
+        remove(spark, aside)
 
 
 def _done(spark: SparkSession, path: str, name: str) -> None:
@@ -162,7 +174,8 @@ def upsert_dim(batch: DataFrame, path: str, keys: list[str], order: list[str], n
         if touched:
             # brought together by bucket, so each is one file and its keys are grouped where they are
             rows = _rows(spark, path, settings, touched).unionByName(own, allowMissingColumns=True).repartition(_BUCKET)
-            merged = cdc.latest_per_key(rows, [_BUCKET, *keys], order)
+            old = set(touched) & set(_buckets_of(spark, f"{path}/data"))  # without any, keys are unique by now
+            merged = cdc.latest_per_key(rows, [_BUCKET, *keys], order) if old else rows
             merged.write.mode("overwrite").partitionBy(_BUCKET).parquet(f"{path}/_pending/{name}")
             _take_over(spark, path, settings)
         else:

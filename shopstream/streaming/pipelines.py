@@ -70,6 +70,16 @@ def ensure_table(spark: SparkSession, database: str, table: str, columns: str, p
     spark.sql(f"create table if not exists {database}.{table} ({own}) using parquet location '{path}'")
 
 
+def _by_sink(lines: DataFrame, rules: DataFrame) -> DataFrame:
+    """Lines with their sink (dirty, unmatched, unrouted, kafka or ``cdc.KEYED``) and what it needs of them as text; deletions go."""
+    parsed = cdc.parse_envelopes(lines, typed=True).select(F.col("value").alias("line"), F.col("e").isNull().alias("dirty"), "e.*")
+    rows = cdc.route_cdc(cdc.drop_deletes(parsed), rules)
+    other = ~F.col("sink_type").isin("kafka", cdc.KEYED) | ((F.col("sink_type") == cdc.KEYED) & F.col("key").isNull())
+    sink = F.when(F.col("dirty"), "dirty").when(F.col("sink_type").isNull(), "unmatched").when(other, "unrouted").otherwise(F.col("sink_type"))
+    value = F.when(F.col("dirty"), F.col("line")).when(F.col("sink_type").isNull(), F.to_json("after")).otherwise(F.to_json("payload"))
+    return rows.select(sink.alias("sink"), "sink_type", "sink_table", "tableName", "type", "key", "position", value.alias("value"))
+
+
 def _fold(spark: SparkSession, root: str, batch_id: int, name: str, buckets: int) -> None:
     """Brings a batch's changes of dimensions into their tables; the loop is over the sink tables of the batch."""
     path = f"{root}/changes/batch={batch_id}"
@@ -119,17 +129,14 @@ def route_stream(envelopes: DataFrame, config: Callable[[], DataFrame], root: st
             return
         rules = config()
         rules = cdc.rule_versions(rules) if "position" in rules.columns else rules
-        parsed = cdc.parse_envelopes(batch, typed=True).persist()
-        rows = cdc.route_cdc(cdc.drop_deletes(parsed.where("e is not null").select("e.*")), rules).persist()
+        rows = _by_sink(batch, rules).persist()  # texts only, as variants are many times as large
+        own = lambda sink: rows.where(F.col("sink") == sink)
         try:
-            write_batch(cdc.broken_envelopes(parsed), f"{root}/dirty", batch_id)
-            write_batch(cdc.unmatched(rows).select("tableName", "type", F.to_json("after").alias("after")), f"{root}/unmatched", batch_id)
-            other = cdc.unrouted(rows, ["kafka", cdc.KEYED])
-            write_batch(other.select("sink_type", "sink_table", F.to_json("payload").alias("value")), f"{root}/unrouted", batch_id)
-            keyed = rows.where((F.col("sink_type") == cdc.KEYED) & F.col("key").isNotNull())
-            keyed = keyed.select("sink_table", "key", F.to_json("payload").alias("value"), "position")
-            write_batch(keyed, f"{root}/changes", batch_id)
-            topics = cdc.routed(rows, "kafka")
+            write_batch(own("dirty").select("value"), f"{root}/dirty", batch_id)
+            write_batch(own("unmatched").select("tableName", "type", F.col("value").alias("after")), f"{root}/unmatched", batch_id)
+            write_batch(own("unrouted").select("sink_type", "sink_table", "value"), f"{root}/unrouted", batch_id)
+            write_batch(own(cdc.KEYED).select("sink_table", "key", "value", "position"), f"{root}/changes", batch_id)
+            topics = own("kafka").select("sink_table", "value")
             if servers:
                 write_topic(topics.withColumnRenamed("sink_table", "topic"), servers, batch=name)
             else:
@@ -138,6 +145,5 @@ def route_stream(envelopes: DataFrame, config: Callable[[], DataFrame], root: st
             _fold(spark, root, batch_id, name, buckets)
         finally:
             rows.unpersist()
-            parsed.unpersist()
 
     run_batches(envelopes, each, checkpoint)

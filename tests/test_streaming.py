@@ -100,6 +100,15 @@ def test_two_rules_of_a_key_are_an_error(spark):
         cdc.route_cdc(row, spark.createDataFrame([rule, ("k", "insert", "kafka", "l", "id", None)], RULES)).collect()
 
 
+def test_changes_of_one_table_stay_spread(spark):
+    rows = cdc.from_envelope(lines_of(spark, ("s.db.k", "INSERT", {"id": "4"}, 5)))
+    rule = spark.createDataFrame([("k", "insert", "kafka", "k", "id", None)], RULES)
+    changes = rule.withColumns({"position": F.lit(1).cast("long"), "type": F.lit("update")})
+    for config in (rule, cdc.rule_versions(changes)):
+        plan = cdc.route_cdc(rows, config)._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_rules_hold_from_their_position(spark):
     changes = [("k", "insert", "kafka", "one", "id", None, 10, "update"), ("k", "insert", "kafka", "two", "id", None, 20, "update"), ("k", "insert", "kafka", "two", "id", None, 30, "delete"), ("k", "insert", "kafka", "one", "id", None, 10, "update")]
     versions = cdc.rule_versions(spark.createDataFrame(changes, RULES + ", position long, type string"))
