@@ -83,22 +83,20 @@ _ESCAPES = [("\\", "\\\\"), ("\t", "\\t"), ("\n", "\\n"), ("\r", "\\r")]
 _NULL = "\\N"
 
 
-def _escaped(c: str) -> Column:
-    out = F.col(c).cast("string")
+def _escaped(field: Column) -> Column:
+    out = field
     for raw, written in _ESCAPES:
         out = F.replace(out, F.lit(raw), F.lit(written))
     return F.coalesce(out, F.lit(_NULL))
 
 
 def _unescaped(field: Column) -> Column:
-    """Escaped backslashes are cut out from the left first; what is between them has single ones only."""
-
-    def plain(part: Column) -> Column:
-        for raw, written in _ESCAPES[1:]:
-            part = F.replace(part, F.lit(written), F.lit(raw))
-        return part
-
-    return F.when(field != _NULL, F.array_join(F.transform(F.split(field, r"\\\\", -1), plain), "\\"))
+    """Escaped backslashes and line ends pass through marks that begin with a line end, as no field can hold one."""
+    out = field
+    steps = [("\\\\", "\nb"), ("\\n", "\nn"), ("\\t", "\t"), ("\\r", "\r"), ("\nb", "\\"), ("\nn", "\n")]
+    for written, raw in steps:
+        out = F.replace(out, F.lit(written), F.lit(raw))
+    return F.when(field != _NULL, F.when(F.contains(field, F.lit("\\")), out).otherwise(field))
 
 
 def land(df: DataFrame, root: str, table: str, day: str) -> str:
@@ -108,15 +106,18 @@ def land(df: DataFrame, root: str, table: str, day: str) -> str:
     so a line is a row, and blanks, empty values and a literal ``\\N`` come back as they were.
     """
     path = f"{root}/{table}/{day}"
-    df.select(F.concat_ws("\t", *map(_escaped, df.columns)).alias("value")).write.mode("overwrite").text(path, compression="gzip", lineSep="\n")
+    # as functions of an array, since the code of all columns in one method is too long for the compiler of the JVM
+    fields = F.transform(F.array(*[F.col(c).cast("string") for c in df.columns]), _escaped)
+    lines = df.select(F.array_join(fields, "\t").alias("value"))
+    lines.write.mode("overwrite").option("zlib.compress.level", "BEST_SPEED").text(path, compression="gzip", lineSep="\n")
     return path
 
 
 def read_landed(spark: SparkSession, root: str, table: str, day: str) -> DataFrame:
     """The rows of landing files by the table's columns; fields that a line lacks are null."""
-    fields = F.split("value", "\t", -1)
+    fields = F.transform(F.split("value", "\t", -1), _unescaped)
     lines = spark.read.text(f"{root}/{table}/{day}", lineSep="\n").select(fields.alias("f"))
-    return lines.select(*[_unescaped(F.get("f", F.lit(i))).cast(t).alias(c) for i, (c, t) in enumerate(ODS_SPECS[table].columns.items())])
+    return lines.select(*[F.get("f", F.lit(i)).cast(t).alias(c) for i, (c, t) in enumerate(ODS_SPECS[table].columns.items())])
 
 
 def overwrite_partition(df: DataFrame, path: str, column: str = "dt", value: str | None = None) -> None:

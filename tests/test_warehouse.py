@@ -38,3 +38,14 @@ def test_a_table_that_fails_leaves_the_day_of_all(spark, tmp_path):
     (tmp_path / "kept").rename(broken)
     warehouse.load_ods(spark, root, house, "first", "d")
     assert own() == {"2"} and not (tmp_path / "ods/_staging/d").exists()
+
+
+def test_values_of_a_table_are_escaped_by_one_short_function(spark, tmp_path):
+    """Code for all columns in one method is too long to be compiled, and regular expressions are slow."""
+    root = f"file://{tmp_path}"
+    odd = ["\\b", "\\\nb", "\nb", "\\n", "\\\\n", "b\\", "\r\\r", "\t\\t", "\\N", "", None]
+    warehouse.land(spark.createDataFrame([(v, v, "x") for v in odd], "id string, name string, category2_id string"), root, "base_category3", "d")
+    found = warehouse.read_landed(spark, root, "base_category3", "d")
+    assert sorted(map(repr, [r.id for r in found.collect()])) == sorted(map(repr, odd))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("replace(") <= 6 and plan.count("split(") == 1
