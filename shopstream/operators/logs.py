@@ -34,10 +34,11 @@ def tag_logs(logs: DataFrame, line: str = "line") -> DataFrame:
 def parse_logs(logs: DataFrame, line: str = "line") -> DataFrame:
     """Adds ``log``; null for dirty lines: what is no JSON object of this form, or has no device id.
 
-    A line is parsed once; what the parser can't read whole it reports in the field ``broken``.
+    A line is parsed once: ``explode`` keeps filters on ``log`` above the parser, where a plain column would be
+    copied into each of them. What the parser can't read whole it reports in the field ``broken``.
     """
     log = F.from_json(col(line), LOG, {"columnNameOfCorruptRecord": "broken"})
-    return logs.withColumn("_log", log).withColumn("log", F.when(F.col("_log.broken").isNull() & F.col("_log.common.mid").isNotNull(), F.col("_log"))).drop("_log")
+    return logs.select("*", F.explode(F.array(log)).alias("_log")).withColumn("log", F.when(F.col("_log.broken").isNull() & F.col("_log.common.mid").isNotNull(), F.col("_log"))).drop("_log")
 
 
 def dirty(parsed: DataFrame, line: str = "line") -> DataFrame:

@@ -13,7 +13,7 @@ from ..operators import cdc, logs, portrait, rankings, sessions, skew, traffic,
 from ..sources import bindings as b
 from ..sources.shared import shared_path
 from ..streaming import lookups, pipelines, snapshots, streams, visitors
-from ..streaming.dimensions import upsert_dim
+from ..streaming.dimensions import move, names_in, upsert_dim
 
 PARAMS = {"startAge": ["10"], "endAge": ["45"], "professionals": ["BUILDING,MACHINERY,AUTOMOBILE"], "sex": ["male"], "keywords": ["kw1,kw2,kw3,kw4"], "categoryIds": ["1,2,3,4,5,6,7,8,9,10,11,12,13,14,15"]}
 FLOW = [1, 2, 3, 4]
@@ -419,13 +419,19 @@ def new_visitor_stream(spark, sf):
 
 @query(ORACLES["new_visitor_batch"])
 def new_visitor_state_stream(spark, sf):
-    """The same in three batches, in order of time; what was seen is in the state store."""
+    """The same in three batches, in order of time, and one of rows without a time; what was seen is in the state store."""
     root = shared_path(spark, "visitors-state")
     events = b.table(spark, sf, "events")
-    first, second = events.selectExpr("approx_percentile(ts, array(0.33, 0.67))").first()[0]
+    first, second = events.selectExpr("approx_percentile(ts, array(0.33, 0.67))").first()[0] or (None, None)
     rows = visitors.flat_logs(logs.clean(logs.parse_logs(b.app_log(events))))
-    for k, cut in enumerate((F.col("ts") < first, (F.col("ts") >= first) & (F.col("ts") < second), F.col("ts") >= second)):
-        rows.where(cut).write.parquet(f"{root}/in/part={k}")
+    part = F.when(F.col("ts") < first, 0).when(F.col("ts") < second, 1).when(F.col("ts").isNotNull(), 2).otherwise(3)
+    rows.withColumn("part", part).write.partitionBy("part").parquet(f"{root}/cut")  # all cuts in one pass
+    parts = [name for name in names_in(spark, f"{root}/cut") if name.startswith("part=")]
+    if not parts:  # an empty batch
+        parts = ["part=0"]
+        rows.limit(0).write.parquet(f"{root}/cut/part=0")
+    for name in parts:
+        move(spark, f"{root}/cut/{name}", f"{root}/in/{name}")
         visitors.fix_is_new_stream(spark.readStream.schema(rows.schema).parquet(f"{root}/in").select(rows.columns), ["ts", "event_id"], root)
     return spark.read.parquet(f"{root}/rows").select("event_id", "mid", "is_new")
 

@@ -70,6 +70,13 @@ def test_logs_without_device_are_dirty(spark):
     assert (logs.starts(good).count(), logs.pages(good).count(), logs.displays(good).count()) == (0, 1, 0)
 
 
+def test_a_log_line_is_parsed_once(spark):
+    df = spark.createDataFrame([('{"common":{"mid":"m","is_new":"1"}}', 1), ("{", 2)], "line string, ts long").select(F.concat("line", F.lit("")).alias("line"), "ts")
+    good = visitors.flat_logs(logs.clean(logs.parse_logs(df)).withColumn("event_id", F.lit(1))).where("ts < 9 and mid is not null")
+    assert good._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+    assert [(r.mid, r.is_new, r.ts) for r in good.collect()] == [("m", "1", 1)]
+
+
 def test_cdc_rules(spark):
     raw = spark.createDataFrame([("s.db.t", "CREATE", None, {"id": "1"}), ("s.db.t", "READ", None, {"id": "2"}), ("s.db.t", "DELETE", {"id": "1"}, None), ("s.db.t", None, None, None)], "topic string, op string, before map<string,string>, after map<string,string>")
     own = cdc.normalize_cdc(raw)

@@ -3,11 +3,13 @@
 import json
 import random
 import time
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
-from shopstream.operators import cdc
+from shopstream.operators import cdc, logs
+from shopstream.plans import queries
 from shopstream.streaming import dimensions, lookups, pipelines, snapshots, streams, visitors
 
 KIND = "k long, t int, v string"
@@ -159,6 +161,21 @@ def test_first_seen_state_forgets(spark, tmp_path):
     assert ("a", 4) in {(r.mid, r.ts) for r in new.collect()}
 
 
+def test_first_seen_in_cuts_of_one_pass(spark, tmp_path, monkeypatch):
+    count = spark.sparkContext.accumulator(0)
+    counted = F.udf(lambda line: count.add(1) or line).asNondeterministic()
+    parse = logs.parse_logs
+    monkeypatch.setattr(logs, "parse_logs", lambda rows: parse(rows.withColumn("line", counted("line"))))
+    day = lambda n: datetime(2024, 1, n)
+    given = [(1, day(1), 7), (2, day(2), 7), (3, None, 7), (4, None, 8), (5, day(3), 9), (50, day(4), 9), (6, day(4), 9)]
+    for name, rows, new in (("some", given, {1, 4, 5}), ("timeless", [(1, None, 7)], {1}), ("none", [], set())):
+        count.value = 0
+        spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long").withColumn("event_type", F.lit("view")).write.parquet(f"file://{tmp_path}/{name}/events.parquet")
+        found = queries.QUERIES["new_visitor_state_stream"](spark, f"file://{tmp_path}/{name}").collect()
+        assert sorted((r.event_id, r.is_new) for r in found) == sorted((i, "1" if i in new else "0") for i, *_ in rows if i != 50)  # 50 is dirty
+        assert count.value == len(rows)
+
+
 def test_late_dimension_rows_repair_what_waits(spark, tmp_path):
     root, kind = f"file://{tmp_path}", "k long, x long"
     dims = [spark.createDataFrame([(1, "one")], "k long, v string"), spark.createDataFrame([(1, "one"), (2, "two")], "k long, v string")]
