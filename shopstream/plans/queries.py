@@ -658,7 +658,9 @@ def dim_lookup_stream(spark, sf):
         upsert_dim(dim.where(part).withColumn("at", F.lit(k)), f"{root}/dim", ["user_id"], ["at"], f"{k},query")
         events.where(F.col("event_id") % 2 == k).write.parquet(f"{root}/in/part={k}")
         stream = spark.readStream.schema(events.schema).parquet(f"{root}/in")
-        lookups.lookup_stream(stream.select("event_id", "user_id"), lookups.table_dim(spark, f"{root}/dim", columns, 0), "user_id", f"{root}/out")
+        held = lookups.table_dim(spark, f"{root}/dim", columns, 0)
+        lookups.lookup_stream(stream.select("event_id", "user_id"), held, "user_id", f"{root}/out")
+        held.release()
     return lookups.read_looked_up(spark, f"{root}/out").select("event_id", *columns)
 
 

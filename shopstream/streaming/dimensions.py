@@ -9,6 +9,7 @@ ends the work, and readers take the buckets concerned from what was written asid
 from __future__ import annotations
 
 import json
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -98,7 +99,8 @@ def _data(spark: SparkSession, path: str, settings: dict, folder: str) -> DataFr
     schema = T.StructType([*_schema(settings).fields, T.StructField(_BUCKET, T.IntegerType())])
     if not exists(spark, f"{path}/{folder}"):
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{path}/{folder}")
+    # each read has a name of its own: buckets are moved, so Spark doesn't see that rows it caches of an equal read are old
+    return spark.read.schema(schema).option("read", uuid.uuid4().hex).parquet(f"{path}/{folder}")
 
 
 def _pending(spark: SparkSession, path: str) -> list[str]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -21,14 +22,20 @@ class RefreshedDim:
     """A dimension held for a time to live; then it is read anew."""
 
     def __init__(self, load: Callable[[], DataFrame], ttl_s: float = 86_400):
-        self.load, self.ttl_s, self.at, self.rows = load, ttl_s, 0.0, None
+        self.load, self.ttl_s, self.at, self.held = load, ttl_s, 0.0, None
 
     def __call__(self) -> DataFrame:
-        if self.rows is None or time.monotonic() - self.at >= self.ttl_s:
-            if self.rows is not None:
-                self.rows.unpersist()
-            self.rows, self.at = self.load().persist(), time.monotonic()
-        return self.rows
+        if self.held is None or time.monotonic() - self.at >= self.ttl_s:
+            self.release()
+            # marked, since Spark would take the rows that another one holds of an equal plan instead of reading
+            self.held, self.at = self.load().withColumn("_held", F.lit(uuid.uuid4().hex)).persist(), time.monotonic()
+        return self.held.drop("_held")
+
+    def release(self) -> None:
+        """Lets go of the rows; the next call reads them."""
+        if self.held is not None:
+            self.held.unpersist()
+            self.held = None
 
 
 def table_dim(spark: SparkSession, path: str, columns: list[str], ttl_s: float = 86_400) -> RefreshedDim:

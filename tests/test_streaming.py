@@ -218,6 +218,26 @@ def test_refreshed_dimension(spark):
     assert (dim().count(), len(loads)) == (2, 2)
 
 
+def test_a_dimension_is_read_anew_whoever_holds_it(spark, tmp_path):
+    path = f"file://{tmp_path}/dim"
+    upsert = lambda n: dimensions.upsert_dim(spark.createDataFrame([(k, n, f"v{n}") for k in range(n)], KIND), path, ["k"], ["t"], f"{n},s", buckets=2)
+    values = lambda rows: sorted((r.k, r.v) for r in rows.collect())
+    of = lambda n: [(k, f"v{n}") for k in range(n)]
+    upsert(2)
+    first, own = lookups.table_dim(spark, path, ["k", "v"]), dimensions.read_dim(spark, path).persist()
+    assert values(first()) == values(own) == of(2)
+    upsert(3)
+    second = lookups.table_dim(spark, path, ["k", "v"])
+    assert values(second()) == values(dimensions.read_dim(spark, path)) == of(3)
+    assert values(first()) == of(2)  # held
+    second.release()
+    assert values(first()) == of(2)
+    first.release()
+    assert values(first()) == of(3)
+    first.release()
+    own.unpersist()
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_splice_equals_the_table_for_any_interleaving(spark, tmp_path, seed):
     pick = random.Random(seed)
