@@ -949,7 +949,7 @@ def _ods_source(spark, sf, name: str) -> DataFrame:
     own = {c: at for c in dict.fromkeys([*spec.dates, "create_time"])}
     for k, (c, t) in enumerate(spec.columns.items()):
         if c not in own:
-            own[c] = F.col(key) if k == 0 else F.col(key) % (k + 2) if t != "string" else F.when(F.col(key) % (k + 3) > 0, F.concat_ws("\t", F.lit(f" {c}"), F.lit("\\"), key))
+            own[c] = F.col(key) if k == 0 else F.col(key) % (k + 2) if t != "string" else F.when(F.col(key) % (k + 3) > 0, F.concat(F.lit(f" {c}\t\\\t"), F.col(key).cast("string")))
     return b.table(spark, sf, base).select(*[v.alias(c) for c, v in own.items()])
 
 

@@ -1,5 +1,6 @@
 """Landing files keep values; a day is replaced for all tables or for none."""
 
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -49,3 +50,22 @@ def test_values_of_a_table_are_escaped_by_one_short_function(spark, tmp_path):
     assert sorted(map(repr, [r.id for r in found.collect()])) == sorted(map(repr, odd))
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("replace(") <= 6 and plan.count("split(") == 1
+
+
+def test_fields_of_many_rows_are_escaped_at_once(spark, tmp_path, monkeypatch):
+    """Not one by one in the plan; in blocks, whatever rows a batch begins with, and with escapes that others wrote."""
+    monkeypatch.setattr(warehouse, "_BLOCK", 100)
+    own = [["a\\", "\\b\t", None], ["", "\n\\N\r"], ["\\N", "日\\\\"], [None], ["x" * 300, "\\"], ["n", "tr"]]
+    batch = pa.RecordBatch.from_arrays([pa.array([["\\"], *own, ["\t"]])], ["value"]).slice(1, len(own))
+    lines = [b for b in warehouse._each_field(warehouse._escaped, True, [batch])]
+    assert len(lines) > 1
+    written = [x for b in lines for x in b.column(0).to_pylist()]
+    assert written[:4] == ["a\\\\\t\\\\b\\t\t\\N", "\t\\n\\\\N\\r", "\\\\N\t日\\\\\\\\", "\\N"]
+    foreign = ["\\x", "\\", "\\\\\\", "t\\\\t", "\\N\\N", "\\\\N"]
+    fields = pa.RecordBatch.from_arrays([pa.array([*(x.split("\t") for x in written), foreign])], ["value"])
+    read = [x for b in warehouse._each_field(warehouse._unescaped, False, [fields]) for x in b.column(0).to_pylist()]
+    assert read == [*own, ["\\x", "\\", "\\\\", "t\\t", "\\N\\N", "\\N"]]
+    root = f"file://{tmp_path}"
+    warehouse.land(spark.createDataFrame([("1", "a\tb", None)], "id string, name string, category2_id string"), root, "base_category3", "d")
+    plan = warehouse.read_landed(spark, root, "base_category3", "d")._jdf.queryExecution().optimizedPlan().toString()
+    assert "replace(" not in plan and "transform(" not in plan
