@@ -941,16 +941,27 @@ def ods_all_tables(spark, sf):
     return out
 
 
-def _ods_source(spark, sf, name: str) -> DataFrame:
-    """A source table with values in its key, name, date and amount columns."""
-    base, key, date = _ods_base(name)
-    spec = warehouse.ODS_SPECS[name]
-    at = F.date_format(date, "yyyy-MM-dd HH:mm:ss") if date else F.lit(None).cast("string")
-    own = {c: at for c in dict.fromkeys([*spec.dates, "create_time"])}
-    for k, (c, t) in enumerate(spec.columns.items()):
-        if c not in own:
-            own[c] = F.col(key) if k == 0 else F.col(key) % (k + 2) if t != "string" else F.when(F.col(key) % (k + 3) > 0, F.concat(F.lit(f" {c}\t\\\t"), F.col(key).cast("string")))
-    return b.table(spark, sf, base).select(*[v.alias(c) for c, v in own.items()])
+def _ods_sources(spark, sf, root: str) -> Callable[[str], DataFrame]:
+    """The source tables, with values in their key, name, date and amount columns.
+
+    Keys and dates of the orders, which stand in for most of them, are written once: times are text in a
+    source table, and need not be made of a date anew for each table and day.
+    """
+    key, date = _ods_base("order_info")[1:]
+    orders = b.table(spark, sf, "orders").select(key, F.date_format(date, "yyyy-MM-dd HH:mm:ss").alias(date))
+    orders.write.option("maxRecordsPerFile", 500_000).parquet(f"{root}/orders")  # so many tasks can read it
+
+    def source(name: str) -> DataFrame:
+        base, key, date = _ods_base(name)
+        spec = warehouse.ODS_SPECS[name]
+        at = F.col(date) if date else F.lit(None).cast("string")
+        own = {c: at for c in dict.fromkeys([*spec.dates, "create_time"])}
+        for k, (c, t) in enumerate(spec.columns.items()):
+            if c not in own:
+                own[c] = F.col(key) if k == 0 else F.col(key) % (k + 2) if t != "string" else F.when(F.col(key) % (k + 3) > 0, F.concat(F.lit(f" {c}\t\\\t"), F.col(key).cast("string")))
+        return (spark.read.parquet(f"{root}/orders") if date else b.table(spark, sf, base)).select(*[v.alias(c) for c, v in own.items()])
+
+    return source
 
 
 def _ods_values_sql() -> str:
@@ -975,8 +986,9 @@ def _ods_values_sql() -> str:
 def ods_all_values(spark, sf):
     """The 23 tables of two days, with tabs and backslashes in their values: of each table and day the rows and a hash of all columns."""
     root = shared_path(spark, "ods-values")
+    source = _ods_sources(spark, sf, f"{root}/source")
     for mode, day in (("first", FIRST_LOAD), ("all", DAY)):
-        warehouse.import_source(lambda name: _ods_source(spark, sf, name), f"{root}/land", mode, day)
+        warehouse.import_source(source, f"{root}/land", mode, day)
         warehouse.load_ods(spark, f"{root}/land", f"{root}/ods", mode, day)
     out = []
     for name, spec in warehouse.ODS_SPECS.items():
